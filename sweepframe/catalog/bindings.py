@@ -58,3 +58,34 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 def images(spark: SparkSession, sf: str) -> DataFrame:
     """Every order is an image; those without a ground-truth box are clean."""
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderpriority").alias("set"))
+
+
+def motion(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items of a supplier in shipping order as frame motions; untaxed lines are unmatched."""
+    taxed = F.col("l_tax") > 0
+    number = (
+        (F.col("l_linenumber") * 1000003 + F.col("l_partkey")) * 10007 + F.col("l_suppkey")
+    ) * 101 + F.col("l_quantity").cast("bigint")
+    return table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("clip"), (micros("l_shipdate") / F.lit(86_400_000_000)).cast("bigint").alias("day"),
+        F.col("l_orderkey").alias("image"), number.alias("box_id"),
+        F.when(taxed, (F.col("l_quantity") - 25.0) * 20.0).alias("dx_px"),
+        F.when(taxed, (F.round(F.col("l_discount") * 100.0) - 5.0) * 64.0).alias("dy_px"),
+        (0.5 + F.round(F.col("l_discount") * 100.0) / 8.7).alias("standoff"),
+        (F.col("l_quantity") / 5.0).alias("depth_m"),
+        (F.col("l_extendedprice") / 1013.0).alias("travel_m"),
+    )
+
+
+TRACK_ORDER = ["day", "image", "box_id"]
+
+
+def pens(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as pens; every fiftieth has an impossible circumference."""
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(
+        k.alias("pen_id"), F.when(k % 50 == 49, 0.0).otherwise(100.37 + k % 80).alias("circumference_m"),
+        (10.0 + k % 10).alias("cylinder_depth_m"), (0.0 + k % 7).alias("cone_depth_m"),
+        (0.0 + k * 37 % 360).alias("barge_bearing_deg"), (0.0 + k * 11 % 360).alias("start_bearing_deg"),
+        (k % 2 == 0).alias("clockwise"),
+    )
