@@ -1,6 +1,6 @@
 """Registered queries: every operator bound to the driver tables, with its SQL check."""
 
-from . import alignment, detection, places, reporting, statistics, verdicts  # noqa: F401
+from . import alignment, detection, features, pixels, places, reporting, statistics, temporal, verdicts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

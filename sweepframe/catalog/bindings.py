@@ -89,3 +89,25 @@ def pens(spark: SparkSession, sf: str) -> DataFrame:
         (0.0 + k * 37 % 360).alias("barge_bearing_deg"), (0.0 + k * 11 % 360).alias("start_bearing_deg"),
         (k % 2 == 0).alias("clockwise"),
     )
+
+
+def pass_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes of one supplier's pass; the order number is the frame number."""
+    return box_rows(spark, sf).withColumnRenamed("image", "frame_idx").select(
+        "clip", "frame_idx", "box_id", "x1", "y1", "x2", "y2", "score"
+    )
+
+
+def pass_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of every pass, with a latency; frames whose boxes are all weak stay in."""
+    return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("clip"), F.col("l_orderkey").alias("frame_idx")).agg(
+        F.max("l_quantity").alias("latency_ms"), F.max("l_discount").alias("ood_raw")
+    )
+
+
+def grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as 8 x 8 luma grids in 0..255, with their raw vector and label."""
+    light = F.transform("embedding", lambda v: (v.cast("double") + 0.5) * 255.0)
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("frame"), light.alias("grid"), "embedding", "label"
+    )

@@ -112,7 +112,7 @@ def localise(spark, sf):
     return rows.select("clip", "image", "box_id", "along_m", "across_m", "width_mm", "height_mm")
 
 
-@query(LOCALISED + """, nd AS (SELECT clip, along_m, across_m, min(box_id) AS id FROM lo GROUP BY ALL),
+@query(LOCALISED + """, nd AS (SELECT *, row_number() OVER (ORDER BY clip, along_m, across_m) AS id FROM (SELECT DISTINCT clip, along_m, across_m FROM lo)),
 ed AS (SELECT a.clip, a.id AS a, b.id AS b FROM nd a JOIN nd b ON a.clip = b.clip AND sqrt((a.along_m - b.along_m) ** 2 + (a.across_m - b.across_m) ** 2) <= 0.1503),
 re AS (SELECT clip, id AS a, id AS b FROM nd UNION SELECT re.clip, re.a, ed.b FROM re JOIN ed ON ed.clip = re.clip AND ed.a = re.b),
 cp AS (SELECT clip, a AS id, min(b) AS comp FROM re GROUP BY 1, 2),
