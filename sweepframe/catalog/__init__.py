@@ -1,6 +1,19 @@
 """Registered queries: every operator bound to the driver tables, with its SQL check."""
 
-from . import alignment, detection, features, pixels, places, reporting, statistics, temporal, verdicts  # noqa: F401
+from . import (  # noqa: F401
+    alignment,
+    datasets,
+    detection,
+    features,
+    pixels,
+    places,
+    plans,
+    reporting,
+    statistics,
+    streams,
+    temporal,
+    verdicts,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

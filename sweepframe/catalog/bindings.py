@@ -111,3 +111,57 @@ def grids(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("frame"), light.alias("grid"), "embedding", "label"
     )
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as annotated images of a customer's clip; a few cannot be sized."""
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        k.alias("image"), F.concat(F.lit("clip"), (F.col("o_custkey") % 40).cast("string")).alias("grp"),
+        F.when(k % 997 == 0, 0).otherwise(640 + k % 3 * 320).cast("int").alias("width"),
+        F.when(k % 997 == 0, 0).otherwise(480 + k % 2 * 240).cast("int").alias("height"),
+    )
+
+
+def sample_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """First lines of an order as boxes in image fractions, some flat, tiny or outside."""
+    b = gt_boxes(spark, sf)
+    x1, y1 = F.col("x1") / 64.0, F.col("y1") / 64.0
+    x2 = F.when(F.col("box_id") % 101 == 0, x1).when(F.col("box_id") % 103 == 0, x1 + 1e-4).otherwise(F.col("x2") / 64.0 + F.when(F.col("box_id") % 107 == 0, 1.0).otherwise(0.0))
+    y2 = F.when(F.col("box_id") % 103 == 0, y1 + 1e-4).otherwise(F.col("y2") / 64.0)
+    return b.select(
+        "image", "box_id", F.when(F.col("class_name") == "O", 0).otherwise(1).alias("cls"),
+        x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
+    )
+
+
+def sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as licensed localities; nations are counties, customers' segments the operators."""
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").join(
+        table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    ).select(
+        k.alias("loknr"), F.col("s_name").alias("name"), F.when(k % 5 == 0, "SLETTET").otherwise("AKTIV").alias("status"),
+        F.when(k % 7 != 0, k % 60 + 10.0).alias("lat"), F.when(k % 7 != 0, k % 30 + 0.5).alias("lon"),
+        F.col("n_name").alias("county"), F.col("s_acctbal").alias("capacity"),
+        F.when(k % 3 == 0, "STK").otherwise("TN").alias("capacity_unit"), F.when(k % 3 == 0, "LAND").otherwise("SJØ").alias("placement"),
+        F.concat(F.lit("Fjord "), (k % 4).cast("string"), F.lit(" AS, Havn "), (k % 6).cast("string"), F.lit(" AS")).alias("operators"),
+        F.when(k % 2 == 0, "Matfisk").otherwise("").alias("production_form"),
+    )
+
+
+def forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Events per hour as forecast hours: mean value scaled to waves, count to current."""
+    e = events(spark, sf)
+    return e.groupBy((F.col("user_id") % 10).alias("loknr"), F.floor(F.col("t_us") / F.lit(3_600_000_000)).alias("time")).agg(
+        (F.avg("value") / 60.0 + 0.0123).alias("sea_surface_wave_height_m"),
+        (F.count(F.lit(1)) * 0.09).alias("sea_water_speed_ms"), F.round(F.avg("value") / 5.0, 4).alias("sea_water_temperature_c"),
+    )
+
+
+def daily_temperature(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean event value per user and day as water temperature of a cohort."""
+    e = events(spark, sf)
+    return e.groupBy(F.col("user_id").alias("cohort"), F.floor(F.col("t_us") / F.lit(86_400_000_000)).alias("step")).agg(
+        (F.avg("value") / 5.0 - 1.0).alias("temperature_c")
+    ).withColumn("initial_weight_g", 100.0 + F.col("cohort"))

@@ -117,17 +117,17 @@ ed AS (SELECT a.clip, a.id AS a, b.id AS b FROM nd a JOIN nd b ON a.clip = b.cli
 re AS (SELECT clip, id AS a, id AS b FROM nd UNION SELECT re.clip, re.a, ed.b FROM re JOIN ed ON ed.clip = re.clip AND ed.a = re.b),
 cp AS (SELECT clip, a AS id, min(b) AS comp FROM re GROUP BY 1, 2),
 me AS (SELECT lo.*, comp FROM lo JOIN nd USING (clip, along_m, across_m) JOIN cp ON cp.clip = lo.clip AND cp.id = nd.id)
-SELECT clip, count(*) AS sightings, round(avg(along_m), 3) + 0.0 AS along_m, round(avg(across_m), 3) + 0.0 AS across_m, round(max(score), 3) AS max_score,
-  round(median(depth_m), 2) AS depth_m, round(sqrt((max(along_m) - min(along_m)) ** 2 + (max(across_m) - min(across_m)) ** 2), 3) AS span_m,
+SELECT clip, count(*) AS sightings, round(avg(along_m), 6) + 0.0 AS along_m, round(avg(across_m), 6) + 0.0 AS across_m, round(max(score), 6) AS max_score,
+  round(median(depth_m), 6) AS depth_m, round(sqrt((max(along_m) - min(along_m)) ** 2 + (max(across_m) - min(across_m)) ** 2), 6) AS span_m,
   arg_min(image, (day, image, box_id)) AS first_frame, arg_max(image, (day, image, box_id)) AS last_frame,
   arg_min(image, (-score, day, image, box_id)) AS best_frame,
   CASE WHEN count(*) >= 10 THEN 'strong — seen from many viewpoints' WHEN count(*) >= 3 THEN 'moderate — seen in several frames' ELSE 'weak — one or two frames only' END AS evidence
 FROM me GROUP BY clip, comp""")
 def cluster_sites(spark, sf):
     sites = spatial.cluster_sites(localised(spark, sf), TRACK_ORDER, frame="image", radius_m=0.1503)
-    return sites.select(
+    return rounded(sites.select(
         "clip", "sightings", "along_m", "across_m", "max_score", "depth_m", "span_m", "first_frame", "last_frame", "best_frame", "evidence",
-    )
+    ))
 
 
 PENS = """

@@ -258,9 +258,8 @@ def cluster_sites(
     best = F.min_by(F.struct(F.col(frame).alias("frame"), "x1", "y1", "x2", "y2"), F.struct(-F.col("score"), *order))
     sites = linked.groupBy(*group).agg(
         F.avg("along_m").alias("along_m"), F.avg("across_m").alias("across_m"),
-        F.count(F.lit(1)).alias("sightings"), F.round(F.max("score"), 3).alias("max_score"),
-        F.round(F.avg("score"), 3).alias("mean_score"),
-        F.round(F.hypot(F.max("along_m") - F.min("along_m"), F.max("across_m") - F.min("across_m")), 3).alias("span_m"),
+        F.count(F.lit(1)).alias("sightings"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"),
+        F.hypot(F.max("along_m") - F.min("along_m"), F.max("across_m") - F.min("across_m")).alias("span_m"),
         F.min_by(frame, place).alias("first_frame"), F.max_by(frame, place).alias("last_frame"), best.alias("_best"),
     ).where(F.col("sightings") >= min_sightings)
     tall = linked.unpivot(group, ["depth_m", "width_mm", "height_mm"], "_m", "_v")
@@ -270,8 +269,7 @@ def cluster_sites(
         F.max(F.when(F.col("_m") == "height_mm", F.col("_q")[0])).alias("median_height_mm"),
     )
     out = sites.join(middles, group, "left")
-    digits = {"along_m": 3, "across_m": 3, "depth_m": 2, "median_width_mm": 1, "median_height_mm": 1}
-    out = out.withColumns({c: F.round(c, d) + F.lit(0.0) for c, d in digits.items()}).withColumns({
+    out = out.withColumns({
         "evidence": site_evidence(F.col("sightings")), "best_frame": F.col("_best.frame"),
         "best_x1": F.col("_best.x1"), "best_y1": F.col("_best.y1"), "best_x2": F.col("_best.x2"), "best_y2": F.col("_best.y2"),
     })
