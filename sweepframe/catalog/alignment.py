@@ -55,7 +55,7 @@ def _joined(spark, sf):
     streams = {s: e.where(F.col("event_type") == s).select(*shape) for s in ("purchase", "view")}
     return timealign.asof_nearest(
         e.where(F.col("event_type") == "click").select(*shape), streams,
-        by=["user_id"], time="t_us", tolerance=SIX_HOURS, row_id="event_id", tiebreak="event_id",
+        by=["user_id"], time="t_us", tolerance=SIX_HOURS, tiebreak="event_id",
     )
 
 

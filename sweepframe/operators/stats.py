@@ -344,11 +344,11 @@ def point_biserial(df: DataFrame, event: str, conditions: Sequence[str], keys: S
     for c in conditions:
         x = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
         outcome = F.when(x.isNotNull(), y)
-        r = F.corr(outcome, x)
+        r = F.try_divide(F.covar_pop(outcome, x), F.stddev_pop(F.when(outcome.isNotNull(), x)) * F.stddev_pop(outcome))
         entries.append(F.struct(
             F.lit(c).alias("condition"), F.count(x).alias("n"),
             F.when(
-                (F.min(outcome) < F.max(outcome)) & (F.min(x) < F.max(x)) & (F.count(x) >= 3), F.nanvl(r, F.lit(None))
+                (F.min(outcome) < F.max(outcome)) & (F.min(x) < F.max(x)) & (F.count(x) >= 3), r
             ).alias("r"),
             F.avg(F.when(y == 1, x)).alias("mean_when_event"),
             F.avg(F.when(y == 0, x)).alias("mean_when_clean"),

@@ -18,7 +18,6 @@ def asof_nearest(
     by: Sequence[str],
     time: str,
     tolerance: float,
-    row_id: str,
     tiebreak: str,
     drop: Sequence[str] = ("t_header", "source_topic"),
 ) -> DataFrame:
@@ -27,33 +26,35 @@ def asof_nearest(
     Stream columns come back as ``<stream>_<column>`` next to ``<stream>_<time>``, the time of
     the match. At equal distance the earlier sample wins; among samples of one instant the
     one with the largest ``tiebreak`` when it lies at or before the row, the smallest when
-    after. Left rows without a time or a match stay, with NULLs. ``row_id`` is unique in
-    ``left``, ``tiebreak`` within a stream's instant.
+    after. Left rows without a time or a match stay, with NULLs.
 
     All streams and the left rows are ordered together, so the whole chain costs one shuffle
     on ``by`` however many streams are joined.
     """
     by = list(by)
     used = {name: [c for c in df.columns if c not in (*by, *drop)] for name, df in streams.items()}
-    places = [*by, time, "_side", "_stream", "_tie"]
+    ties = [f"_tie_{name}" for name in streams]
+    places = [time, "_side", "_stream", *ties]
 
-    def tall(df: DataFrame, side: int, number: int, tie: str) -> DataFrame:
-        payloads = []
+    def tall(df: DataFrame, side: int, number: int) -> DataFrame:
+        payloads = [
+            (F.col(tiebreak) if i == number else F.lit(None)).alias(tie) for i, tie in enumerate(ties)
+        ]
         for i, name in enumerate(streams):
             shape = F.struct(*[F.col(c) for c in used[name]]) if i == number else F.lit(None)
             payloads.append(shape.alias(f"_s_{name}"))
         body = F.struct(*left.columns) if side == 1 else F.lit(None)
         return df.select(
             *by, time, F.lit(side).alias("_side"), F.lit(number).alias("_stream"),
-            F.col(tie).alias("_tie"), *payloads, body.alias("_left"),
+            *payloads, body.alias("_left"),
         )
 
-    rows = tall(left, 1, -1, row_id)
+    rows = tall(left, 1, -1)
     for i, (name, df) in enumerate(streams.items()):
-        rows = rows.unionByName(tall(df.where(F.col(time).isNotNull()), 0, i, tiebreak))
+        rows = rows.unionByName(tall(df.where(F.col(time).isNotNull()), 0, i))
     seen = {name: F.when(F.col("_stream") == i, F.col(f"_s_{name}")) for i, name in enumerate(streams)}
     placed = ordered_columns(
-        rows, by, places[len(by):],
+        rows, by, places,
         carries={f"_back_{n}": c for n, c in seen.items()},
         nexts={f"_next_{n}": c for n, c in seen.items()},
     ).where(F.col("_side") == 1)
@@ -96,7 +97,7 @@ def join_frames(
     """Frame records with the nearest sample of every stream of the same clip, in clip order."""
     records = frame_records(paths, times)
     joined = asof_nearest(
-        records, streams, by=["clip"], time="t", tolerance=tolerance, row_id="frame", tiebreak="source_topic"
+        records, streams, by=["clip"], time="t", tolerance=tolerance, tiebreak="source_topic"
     )
     return joined.drop(*[f"{name}_t" for name in streams]).orderBy("clip", "msg_index", "frame")
 

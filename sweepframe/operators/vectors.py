@@ -37,12 +37,12 @@ def fit_gaussian(features: DataFrame, vector: str, shrinkage: float = 0.1) -> Ga
     by Spark. Only the F x F result reaches the driver, where it is inverted.
     """
     rows = features.where(F.col(vector).isNotNull())
+    if rows.isEmpty():
+        raise ValueError("a Gaussian needs at least one normal feature row")
     stats = rows.select(
         Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(F.col(vector).cast("array<double>"))).alias("s")
     ).first()["s"]
     n = stats["count"]
-    if n == 0:
-        raise ValueError("a Gaussian needs at least one normal feature row")
     mean = stats["mean"].toArray()
     spread = np.sqrt(stats["variance"].toArray() * (n - 1) / n) + 1e-6
 
