@@ -102,8 +102,7 @@ def localised(spark, sf):
     t = track(spark, sf)
     boxes = box_rows(spark, sf).select("clip", "image", "box_id", "x1", "y1", "x2", "y2", "score")
     on = ["clip", "image", "box_id"]
-    found = spatial.localise(boxes, t, on, 1280.777, 720.333)
-    return found.join(t.select(*on, "day", "depth_m"), on)
+    return spatial.localise(boxes, t, on, 1280.777, 720.333, keep=("day", "depth_m"))
 
 
 @query(LOCALISED + """SELECT clip, image, box_id, along_m, across_m, width_mm, height_mm FROM lo""")

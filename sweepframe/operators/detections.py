@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import group_quantiles, ordered_columns
+from ..plans import group_quantiles, ordered_columns, pin
 from .boxpairs import agreeing
 
 # The threshold lists the published evaluations use.
@@ -101,6 +101,7 @@ def pr_curve(matches: DataFrame, truths: DataFrame, keys: Sequence[str] = ()) ->
         *keys, (-F.col("score")).alias("_rank"), "image", "box_id",
         F.col("gt_id").isNotNull().cast("bigint").alias("_hit"),
     )
+    rows = pin(rows)  # matching is the costly part; the ranking reads its result twice
     ranked = ordered_columns(
         rows, keys, ["_rank", "image", "box_id"], sums={"tp": F.col("_hit"), "fp": F.lit(1) - F.col("_hit")}
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import ordered_columns
+from ..plans import group_sizes, ordered_columns
 from .ranking import top_per_group
 
 # Statuses, verdict texts and their bounds.
@@ -162,11 +162,12 @@ def event_runs(
     """
     keys, order = list(keys), list(order)
     rows = frames.select(*keys, *order, F.coalesce(hit, F.lit(False)).alias("_hit"))
+    sizes = group_sizes(rows, keys)
     cut = F.when(F.col("_hit"), 0).otherwise(1)
     if max_index_gap is not None:
-        rows = ordered_columns(rows, keys, order, lags={"_before": F.col(order[0])})
+        rows = ordered_columns(rows, keys, order, lags={"_before": F.col(order[0])}, sizes=sizes)
         cut = F.when(F.col("_hit") & ~(F.col(order[0]) - F.col("_before") > max_index_gap), 0).otherwise(1)
-    rows = ordered_columns(rows, keys, order, sums={"run": cut})
+    rows = ordered_columns(rows, keys, order, sums={"run": cut}, sizes=sizes)
     # Misses count up, so hits between two misses share a number.
     return rows.where("_hit").groupBy(*keys, "run").agg(
         F.count(F.lit(1)).alias("frames"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last")

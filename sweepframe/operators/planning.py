@@ -120,7 +120,8 @@ def tgc_growth_corrected(
     kinds = dict(temps.dtypes)
     names = [*keys, *order, temperature, initial]
     shape = ", ".join(f"{c} {kinds[c]}" for c in names) + ", weight_g double"
-    rows = temps.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order)
+    parts = int(temps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = temps.select(*names).repartition(parts, *keys).sortWithinPartitions(*keys, *order)
     nk = len(keys)
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import group_quantiles, ordered_columns, pin
+from ..plans import group_limit, group_quantiles, group_sizes, ordered_columns, pin
 from ..plans.components import connected_components
 
 # Reference scale of the camera and the share of travel counted as drift.
@@ -30,10 +30,11 @@ def build_track(
     axes, and says so in ``orient``.
     """
     order = list(order)
+    sizes = group_sizes(motion, [clip])
     so = F.coalesce(F.when(~F.isnan("standoff"), F.col("standoff")), F.lit(float(reference_standoff)))
     rows = ordered_columns(
         motion.withColumns({"standoff_m": so, "mm_per_px": so * F.lit(float(mm_per_px_at_1m))}),
-        [clip], order, lags={"_before": F.lit(1)},
+        [clip], order, lags={"_before": F.lit(1)}, sizes=sizes,
     )
     first = F.col("_before").isNull()
     known = ~first & F.col("dx_px").isNotNull() & F.col("dy_px").isNotNull()
@@ -48,7 +49,7 @@ def build_track(
     })
     placed = ordered_columns(
         rows, [clip], order,
-        sums={"along_m": F.col("_along"), "across_m": F.col("_across"), "drift_m": F.col("_travel")},
+        sums={"along_m": F.col("_along"), "across_m": F.col("_across"), "drift_m": F.col("_travel")}, sizes=sizes,
     )
     ends = rows.groupBy(clip).agg(F.round(F.sum("_along"), 4).alias("_end"))
     turn = F.when(F.col("_end") < 0, -1.0).otherwise(1.0)
@@ -161,10 +162,14 @@ def calibrate_scale(
 
 
 def localise(
-    detections: DataFrame, track: DataFrame, on: Sequence[str], image_width_px: float, image_height_px: float
+    detections: DataFrame, track: DataFrame, on: Sequence[str], image_width_px: float, image_height_px: float,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Position and size on the net of every detection whose frame is on the track."""
-    spots = track.select(*on, "along_m", "across_m", "mm_per_px", "orient", "drift_m")
+    """Position and size on the net of every detection whose frame is on the track.
+
+    ``keep`` names further track columns to hand on, such as the depth.
+    """
+    spots = track.select(*on, *keep, "along_m", "across_m", "mm_per_px", "orient", "drift_m")
     joined = detections.join(spots, list(on))
     scale = F.col("mm_per_px") / 1000.0
     off_x = (F.col("x1") + F.col("x2")) / 2.0 - image_width_px / 2.0
@@ -199,35 +204,34 @@ def link_within(points: DataFrame, radius: float, keys: Sequence[str] = ("clip",
     """
     keys = list(keys)
     side = radius / math.sqrt(2.0) * (1.0 - 1e-12)
-    # Read four times below, so the positions are stored rather than derived again.
-    celled = pin(points.withColumns({
+    cell = [*keys, "_cx", "_cy"]
+    # Read several times below, so the positions are stored rather than derived again.
+    placed = pin(points.withColumns({
         "_cx": F.floor(F.col(x) / side).cast("bigint"), "_cy": F.floor(F.col(y) / side).cast("bigint"),
     }))
-    cell = [*keys, "_cx", "_cy"]
-    by_row = celled.groupBy(*cell, F.col(y).alias("_y")).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    by_column = celled.groupBy(*cell, F.col(x).alias("_x")).agg(F.min(y).alias("_lo"), F.max(y).alias("_hi"))
+    # Cells get a number that is stored with them; it stands for the cell from here on.
+    cells = pin(placed.select(*cell).distinct().withColumn("_cell", F.monotonically_increasing_id()))
+    celled = placed.join(cells, cell)
+    by_row = celled.groupBy(*cell, "_cell", F.col(y).alias("_y")).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    by_column = celled.groupBy(*cell, "_cell", F.col(x).alias("_x")).agg(F.min(y).alias("_lo"), F.max(y).alias("_hi"))
     beside = [o for o in _neighbour_cells() if o[0] > 0]
     above = [o for o in _neighbour_cells() if o[0] == 0]
     edges = _facing(by_row, keys, beside, "_y", radius).unionByName(_facing(by_column, keys, above, "_x", radius))
-    members = connected_components(edges.distinct())
-    node = F.struct(*cell)
-    return (
-        celled.withColumn("_node", node).join(members, F.col("_node") == F.col("node"), "left")
-        .withColumn("component", F.coalesce("component", "_node")).drop("_node", "node", "_cx", "_cy")
-    )
+    members = connected_components(edges).withColumnRenamed("node", "_cell")
+    return celled.join(members, "_cell", "left").withColumn("component", F.coalesce("component", "_cell")).drop("_cell", "_cx", "_cy")
 
 
 def _facing(outline: DataFrame, keys: list[str], offsets: list[tuple[int, int]], across: str, radius: float) -> DataFrame:
     """Cell pairs at the given offsets whose facing outlines come within the radius."""
     shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
     near = outline.select(
-        *keys, F.struct(*keys, "_cx", "_cy").alias("a"), F.col(across).alias("_p"), F.col("_hi").alias("_edge"),
+        *keys, F.col("_cell").alias("a"), F.col(across).alias("_p"), F.col("_hi").alias("_edge"),
         F.col("_cx").alias("_ax"), F.col("_cy").alias("_ay"), F.explode(shifts).alias("_o"),
     ).select(
         *keys, "a", "_p", "_edge", (F.col("_ax") + F.col("_o.dx")).alias("_cx"), (F.col("_ay") + F.col("_o.dy")).alias("_cy")
     )
     far = outline.select(
-        *keys, "_cx", "_cy", F.struct(*keys, "_cx", "_cy").alias("b"), F.col(across).alias("_q"), F.col("_lo").alias("_start")
+        *keys, "_cx", "_cy", F.col("_cell").alias("b"), F.col(across).alias("_q"), F.col("_lo").alias("_start")
     )
     pairs = near.join(far, [*keys, "_cx", "_cy"]).where(
         F.hypot(F.col("_start") - F.col("_edge"), F.col("_q") - F.col("_p")) <= radius
@@ -254,6 +258,8 @@ def cluster_sites(
     keys = list(keys)
     linked = link_within(detections, radius_m, keys)
     group = [*keys, "component"]
+    small = group_sizes(linked, group)[0] <= group_limit(detections.sparkSession)
+    medians = {"depth_m": "depth_m", "width_mm": "median_width_mm", "height_mm": "median_height_mm"}
     place = F.struct(*order)
     best = F.min_by(F.struct(F.col(frame).alias("frame"), "x1", "y1", "x2", "y2"), F.struct(-F.col("score"), *order))
     sites = linked.groupBy(*group).agg(
@@ -261,14 +267,9 @@ def cluster_sites(
         F.count(F.lit(1)).alias("sightings"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"),
         F.hypot(F.max("along_m") - F.min("along_m"), F.max("across_m") - F.min("across_m")).alias("span_m"),
         F.min_by(frame, place).alias("first_frame"), F.max_by(frame, place).alias("last_frame"), best.alias("_best"),
+        *([F.median(c).alias(m) for c, m in medians.items()] if small else []),
     ).where(F.col("sightings") >= min_sightings)
-    tall = linked.unpivot(group, ["depth_m", "width_mm", "height_mm"], "_m", "_v")
-    middles = group_quantiles(tall, [*group, "_m"], "_v", [0.5], "_q").groupBy(*group).agg(
-        F.max(F.when(F.col("_m") == "depth_m", F.col("_q")[0])).alias("depth_m"),
-        F.max(F.when(F.col("_m") == "width_mm", F.col("_q")[0])).alias("median_width_mm"),
-        F.max(F.when(F.col("_m") == "height_mm", F.col("_q")[0])).alias("median_height_mm"),
-    )
-    out = sites.join(middles, group, "left")
+    out = sites if small else sites.join(_medians(linked, group, medians), group, "left")
     out = out.withColumns({
         "evidence": site_evidence(F.col("sightings")), "best_frame": F.col("_best.frame"),
         "best_x1": F.col("_best.x1"), "best_y1": F.col("_best.y1"), "best_x2": F.col("_best.x2"), "best_y2": F.col("_best.y2"),
@@ -279,10 +280,17 @@ def cluster_sites(
         F.format_string(" · %d sightings · ~%.0f×%.0f mm · ", "sightings", "median_width_mm", "median_height_mm"), "evidence",
     )
     return out.withColumn("description", described).drop("_best").orderBy(
-        F.col("sightings").desc(), *keys, "component"
+        F.col("sightings").desc(), *keys, "first_frame"
     ).drop("component")
 
 
+def _medians(linked: DataFrame, group: list[str], names: dict[str, str]) -> DataFrame:
+    """Medians of several columns when one place may hold more rows than a task should."""
+    tall = linked.unpivot(group, list(names), "_m", "_v")
+    middles = group_quantiles(tall, [*group, "_m"], "_v", [0.5], "_q")
+    return middles.groupBy(*group).agg(*[F.max(F.when(F.col("_m") == c, F.col("_q")[0])).alias(m) for c, m in names.items()])
+
+
 def grid_components(
     cells: DataFrame, threshold: float, *, rows: int, cols: int, width_px: float, height_px: float, keys: Sequence[str] = ("frame",)
 ) -> DataFrame:

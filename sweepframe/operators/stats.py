@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.intervals import overlap, wilson
-from ..plans import group_quantiles, ordered_columns
+from ..plans import group_quantiles, ordered_columns, pin
 
 
 def proportion(df: DataFrame, keys: Sequence[str], event: str) -> DataFrame:
@@ -103,7 +103,8 @@ def fit_quality_band(
     )
     usable = rows.where(F.col("_x").isNotNull())
     probs = [i / n_bins for i in range(n_bins + 1)]
-    cuts = group_quantiles(usable, keys, "_x", probs, "_edges").withColumn("_edges", F.array_distinct("_edges"))
+    # One row per key, read three times below.
+    cuts = pin(group_quantiles(usable, keys, "_x", probs, "_edges").withColumn("_edges", F.array_distinct("_edges")))
     top = F.element_at("_edges", -1)
     spot = F.when(F.col("_x") == top, F.size("_edges") - 2).otherwise(bin_index(F.col("_x"), F.col("_edges")))
     binned = usable.join(cuts, keys).where(F.size("_edges") >= 2).withColumn("bin", spot)

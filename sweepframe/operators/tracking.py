@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import ordered_columns
+from ..plans import group_sizes, ordered_columns, pin
 from .ranking import carry_forward
 
 
@@ -70,15 +70,21 @@ def assign_tracks(
     gated = boxes.where(F.col("score") >= rule.conf).select(clip, order, "box_id", "x1", "y1", "x2", "y2")
     busy = gated.select(clip, order).distinct().withColumn("_busy", F.lit(1))
     timeline = frames.select(clip, order).join(busy, [clip, order], "left")
-    counted = ordered_columns(timeline, [clip], [order], sums={"_empty": F.when(F.col("_busy").isNull(), 1).otherwise(0)})
-    active = ordered_columns(counted.where(F.col("_busy").isNotNull()), [clip], [order], lags={"_before": F.col("_empty")})
+    sizes = group_sizes(frames, [clip])
+    counted = ordered_columns(
+        timeline, [clip], [order], sums={"_empty": F.when(F.col("_busy").isNull(), 1).otherwise(0)}, sizes=sizes)
+    active = ordered_columns(
+        counted.where(F.col("_busy").isNotNull()), [clip], [order], lags={"_before": F.col("_empty")}, sizes=sizes)
     idle = F.col("_empty") - F.col("_before")
     active = active.withColumns({
         "idle": F.coalesce(idle, F.lit(0)).cast("int"),
         "_cut": F.when(idle.isNull() | (idle > rule.max_age), 1).otherwise(0),
     })
-    pieces = ordered_columns(active, [clip], [order], sums={"piece": F.col("_cut")}).select(clip, order, "piece", "idle")
-    rows = gated.join(pieces, [clip, order]).repartition(clip, "piece").sortWithinPartitions(clip, "piece", order, "box_id")
+    pieces = ordered_columns(active, [clip], [order], sums={"piece": F.col("_cut")}, sizes=sizes).select(
+        clip, order, "piece", "idle")
+    # A fixed number of partitions: the rows are few bytes but much work, so they must not be merged.
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = gated.join(pieces, [clip, order]).repartition(parts, clip, "piece").sortWithinPartitions(clip, "piece", order, "box_id")
 
     kinds = dict(rows.dtypes)
     shape = (
@@ -114,6 +120,7 @@ def assign_tracks(
         yield pd.DataFrame(out, columns=[clip, "piece", order, "box_id", "track_no", "hits", "is_new"])
 
     followed = rows.select(clip, "piece", order, "idle", "box_id", "x1", "y1", "x2", "y2").mapInPandas(follow, shape)
+    followed = pin(followed)  # read by the numbering of tracks and by the result
     births = ordered_columns(
         followed.where("is_new").select(clip, "piece", "track_no"), [clip], ["piece", "track_no"], sums={"_nth": F.lit(1)}
     ).select(clip, "piece", "track_no", (F.col("_nth") - 1).alias("track_id"))

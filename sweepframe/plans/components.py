@@ -14,11 +14,25 @@ from .durable import pin
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node, component`` for every node that has an edge; the component is its smallest node.
+    """``node, component`` for every node that has an edge; the component is one of its nodes.
 
-    Nodes may be of any ordered type, structs included.
+    Nodes that are not longs already are numbered once, so the rounds move pairs of longs.
     """
-    now = pin(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v")).distinct())
+    if dict(edges.dtypes)[a] == "bigint":
+        return _resolve(pin(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v")).distinct()))
+    given = pin(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b")))
+    ends = given.select(F.col("a").alias("node")).unionByName(given.select(F.col("b").alias("node"))).distinct()
+    # Stored before use: the numbers depend on where a row was computed.
+    numbered = pin(ends.withColumn("no", F.monotonically_increasing_id()))
+    at = lambda end, out: numbered.select(F.col("node").alias(end), F.col("no").alias(out))
+    now = pin(given.join(at("a", "u"), "a").join(at("b", "v"), "b").select("u", "v").distinct())
+    roots = _resolve(now).select(F.col("node").alias("no"), F.col("component").alias("root"))
+    named = numbered.join(roots, "no").join(at("component", "root"), "root")
+    return named.select("node", "component")
+
+
+def _resolve(now: DataFrame) -> DataFrame:
+    """Rounds on pairs of longs; the component is the smallest of its nodes."""
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -33,6 +33,7 @@ def ordered_columns(
     nexts: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
     leads: Mapping[str, Column] | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add ordered columns to ``df`` per ``keys``, ascending by ``order`` (unique per key).
 
@@ -41,12 +42,15 @@ def ordered_columns(
     ``nexts``    earliest non-null value from the row on
     ``lags``     value of the previous row, NULL on the first
     ``leads``    value of the following row, NULL on the last
+
+    ``sizes`` are the largest group and the number of rows, where the caller knows them (or
+    an upper bound); otherwise they are counted.
     """
     wanted = {
         "sums": dict(sums or {}), "carries": dict(carries or {}), "nexts": dict(nexts or {}),
         "lags": dict(lags or {}), "leads": dict(leads or {}),
     }
-    largest, total = group_sizes(df, keys)
+    largest, total = sizes or group_sizes(df, keys)
     limit = group_limit(df.sparkSession)
     if largest <= limit:
         return _within(df, list(keys), list(order), wanted)

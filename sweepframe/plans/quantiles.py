@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import pin
 from .ordered import ordered_columns
 from .sizing import group_limit, group_sizes
 
@@ -16,22 +17,23 @@ def group_quantiles(
 ) -> DataFrame:
     """``keys, name ARRAY<DOUBLE>``: linear-interpolated quantiles of non-null ``value``.
 
-    Equal values are counted before anything else. Small groups use the built-in
-    ``percentile``; a group with more distinct values than one task should hold is ranked
-    through :func:`ordered_columns` and the two neighbours of each position are picked.
+    Groups of ordinary size use the built-in ``percentile``. For larger ones equal values are
+    counted first; a group that still has more distinct values than one task should hold is
+    ranked through :func:`ordered_columns` and the two neighbours of each position are picked.
     """
     keys = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    largest, _ = group_sizes(counts, keys)
-    if largest <= group_limit(df.sparkSession):
-        at = ", ".join(repr(float(p)) + "D" for p in probs)
-        return counts.groupBy(*keys).agg(F.expr(f"percentile(_v, array({at}), _c)").alias(name))
-
-    ranked = ordered_columns(counts, keys, ["_v"], sums={"_upto": F.col("_c")})
+    limit = group_limit(df.sparkSession)
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    at = "array(" + ", ".join(repr(float(p)) + "D" for p in probs) + ")"
+    if group_sizes(values, keys)[0] <= limit:
+        return values.groupBy(*keys).agg(F.expr(f"percentile(_v, {at})").alias(name))
+
+    counts = pin(values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    sizes = group_sizes(counts, keys)
+    if sizes[0] <= limit:
+        return counts.groupBy(*keys).agg(F.expr(f"percentile(_v, {at}, _c)").alias(name))
+
+    ranked = ordered_columns(counts, keys, ["_v"], sums={"_upto": F.col("_c")}, sizes=sizes)
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:
         ranked = ranked.join(totals, keys)

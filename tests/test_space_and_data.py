@@ -95,7 +95,7 @@ def test_linkage_against_all_pairs(spark, seed):
         for j in range(i):
             if math.dist(pts[i], pts[j]) <= 0.2013:
                 parent[find(i)] = find(j)
-    label = {r["i"]: tuple(r["component"]) for r in got}
+    label = {r["i"]: r["component"] for r in got}
     assert len(label) == len(pts)
     for i in range(len(pts)):
         for j in range(i):
