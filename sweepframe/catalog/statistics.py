@@ -65,7 +65,8 @@ r AS (SELECT linestatus, run, count(*) AS bins, min(bin) AS first_bin, min(lo) A
   sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM q GROUP BY 1, 2),
 best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY linestatus ORDER BY bins DESC, first_bin) = 1)
 SELECT s.linestatus, bins IS NOT NULL AS fitted, range_lo, range_hi, bins, n AS frames, k AS events,
-  round(k / n::DOUBLE, 6) AS rate, round({LO}, 6) AS ci_lo, round({HI}, 6) AS ci_hi
+  round(k / n::DOUBLE, 6) AS rate, CASE WHEN bins > 0 THEN round({LO}, 6) END AS ci_lo,
+  CASE WHEN bins > 0 THEN round({HI}, 6) END AS ci_hi
 FROM (SELECT DISTINCT linestatus FROM w) s LEFT JOIN best USING (linestatus)""")
 def envelope_fit(spark, sf):
     bins = stats.dose_response(frames(spark, sf), "standoff", "event", EDGES, ["linestatus"])
@@ -86,11 +87,11 @@ r AS (SELECT linestatus, run, count(*) AS bins, min(bin) AS first_bin, max(bin)
   sum(n)::BIGINT AS n, sum(k)::BIGINT AS k, any_value(lowest) AS lowest, any_value(highest) AS highest FROM q GROUP BY 1, 2),
 best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY linestatus ORDER BY bins DESC, first_bin) = 1)
 SELECT linestatus, bins IS NOT NULL AS fitted, CASE WHEN bins IS NULL THEN 'no contiguous range meets the target' END AS note,
-  CASE WHEN first_bin > lowest THEN round(lo, 2) END AS band_min, CASE WHEN last_bin < highest THEN round(hi, 2) END AS band_max,
-  bins, n AS frames, k AS events, round(k / n::DOUBLE, 4) AS rate
+  CASE WHEN first_bin > lowest THEN round(lo, 6) END AS band_min, CASE WHEN last_bin < highest THEN round(hi, 6) END AS band_max,
+  bins, n AS frames, k AS events, round(k / n::DOUBLE, 6) AS rate
 FROM (SELECT DISTINCT linestatus FROM fr) LEFT JOIN best USING (linestatus)""")
 def quality_band_fit(spark, sf):
-    return stats.fit_quality_band(frames(spark, sf), "sharpness", "event", 0.35, keys=["linestatus"])
+    return rounded(stats.fit_quality_band(frames(spark, sf), "sharpness", "event", 0.35, keys=["linestatus"]))
 
 
 BAND = FRAMES + f""", g AS (SELECT clip, linestatus, count(*) AS n, sum(event)::BIGINT AS k FROM fr

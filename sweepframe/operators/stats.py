@@ -123,9 +123,9 @@ def fit_quality_band(
     )
     return fit.select(
         *[k for k in keys if k != "_all"], F.col("bins").isNotNull().alias("fitted"), note.alias("note"),
-        F.when(F.col("first_bin") > F.col("_lowest"), F.round("lo", 2)).alias("band_min"),
-        F.when(F.col("last_bin") < F.col("_highest"), F.round("hi", 2)).alias("band_max"),
-        "bins", F.col("n").alias("frames"), F.col("k").alias("events"), F.round("rate", 4).alias("rate"),
+        F.when(F.col("first_bin") > F.col("_lowest"), F.col("lo")).alias("band_min"),
+        F.when(F.col("last_bin") < F.col("_highest"), F.col("hi")).alias("band_max"),
+        "bins", F.col("n").alias("frames"), F.col("k").alias("events"), "rate",
     )
 
 
