@@ -23,6 +23,8 @@ from .common import AT, located, new_folder, on_files, squeezed, store, text_of
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Many small stores: no megabytes set aside for the log of each.
+SETTINGS = {PROVIDER: ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def sha256(text: Column) -> Column:
@@ -36,8 +38,9 @@ def _rank(size: Column, doc_id: Column, at: Column) -> Column:
 
 def absorb(spark: SparkSession, index_path: str, schema, state_path: str) -> DataFrame:
     """Stream the index files that weren't seen yet into the state; the whole state as a table."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).parquet(index_path)
         keyed = stream.groupBy("digest").agg(
@@ -49,7 +52,8 @@ def absorb(spark: SparkSession, index_path: str, schema, state_path: str) -> Dat
         )
         run.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = spark.read.format("statestore").load(state_path)
     held = [f.name for f in state.schema["value"].dataType.fields]
     return state.select(
