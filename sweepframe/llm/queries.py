@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact
+from . import exact, mixing, quality, resample
 
 QUERIES = {
+    "op3_quality_rules": quality.op3_quality_rules,
     "op6_exact_dedup": exact.op6_exact_dedup,
+    "op7_importance_resampling": resample.op7_importance_resampling,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op6_exact_dedup": exact.ORACLE,
