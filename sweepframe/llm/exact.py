@@ -23,8 +23,13 @@ from .common import AT, located, new_folder, on_files, squeezed, store, text_of
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Many small stores: no megabytes set aside for the log of each.
-SETTINGS = {PROVIDER: ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+#: An executor may hold hundreds of stores: no megabytes set aside for the log of each, and one bound
+#: on the memory of all of them together.
+ROCKS_CONF = "spark.sql.streaming.stateStore.rocksdb."
+SETTINGS = {
+    PROVIDER: ROCKS, ROCKS_CONF + "allowFAllocate": "false", ROCKS_CONF + "boundedMemoryUsage": "true", ROCKS_CONF + "maxMemoryUsageMB": "256",
+    ROCKS_CONF + "writeBufferSizeMB": "2",
+}
 
 
 def sha256(text: Column) -> Column:
