@@ -59,4 +59,4 @@ def squeezed(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order; an array, empty for an empty text."""
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE + "+"), "")

@@ -24,18 +24,17 @@ ALPHA = 1.0
 TARGET_ROWS = 20_000
 
 
-def grams(words: Column) -> tuple[Column, Column]:
-    """``(hashed endings, buckets of single endings and of pairs)`` of an array of words.
+def endings(words: Column) -> Column:
+    """A hash of the ending of each word."""
+    return F.transform(words, lambda w: F.xxhash64(F.right(w, F.lit(AFFIX))))
+
+
+def single(end: Column) -> Column:
+    return F.pmod(end, F.lit(BUCKETS)).cast("int")
 
-    The second needs the first as a column named ``ends``.
-    """
-    ends = F.transform(words, lambda w: F.xxhash64(F.right(w, F.lit(AFFIX))))
-    single = F.transform("ends", lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
-    pair = F.zip_with(
-        F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), F.slice("ends", 2, F.greatest(F.size("ends") - 1, F.lit(0))),
-        lambda a, b: (F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)) + BUCKETS).cast("int"),
-    )
-    return ends, F.concat(single, pair)
+
+def pair(end: Column, following: Column) -> Column:
+    return (F.pmod(F.xxhash64(end, following), F.lit(BUCKETS)) + BUCKETS).cast("int")
 
 
 def target_ids(labels: DataFrame, wanted: Column, rows: int = TARGET_ROWS, seed: int = 17) -> DataFrame:
@@ -52,9 +51,10 @@ def target_ids(labels: DataFrame, wanted: Column, rows: int = TARGET_ROWS, seed:
 
 def weights(words: DataFrame, targets: DataFrame) -> DataFrame:
     """One row, ``w array<double>``, from ``(doc_id, words)`` of the whole corpus and the target's identifiers."""
-    ends, buckets = grams(F.col("words"))
+    fewer = F.greatest(F.size("ends") - 1, F.lit(0))
+    buckets = F.concat(F.transform("ends", single), F.zip_with(F.slice("ends", 1, fewer), F.slice("ends", 2, fewer), pair))
     marked = words.join(F.broadcast(targets), words["doc_id"] == targets["target_id"], "left")
-    marked = marked.select(ends.alias("ends"), F.col("target_id").isNotNull().cast("long").alias("trusted"))
+    marked = marked.select(endings(F.col("words")).alias("ends"), F.col("target_id").isNotNull().cast("long").alias("trusted"))
     counts = marked.select("trusted", F.explode(buckets).alias("bucket")).groupBy("bucket").agg(
         F.sum("trusted").alias("t"), F.count(F.lit(1)).alias("r"))
     every = words.sparkSession.range(2 * BUCKETS).select(F.col("id").cast("int").alias("bucket"))
@@ -65,8 +65,14 @@ def weights(words: DataFrame, targets: DataFrame) -> DataFrame:
     return store(table.select(F.when(F.col("nt") > 0, weight).otherwise(F.transform("c", lambda x: F.lit(0.0))).alias("w")), "weights")
 
 
-def log_ratio(grams: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` of ``grams``, with the number of n-grams in ``buckets`` and the sum of their weights (0 for none)."""
-    weighed = grams.select(*keep, "buckets", table.select("w").scalar().alias("w"))
-    total = F.aggregate("buckets", F.lit(0.0), lambda s, b: s + F.get("w", b))
-    return weighed.select(*keep, F.size("buckets").cast("long").alias("n_grams"), total.alias("log_sum"))
+def log_ratio(rows: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` of ``rows`` with the number of n-grams in ``words`` and the sum of their weights (0 for none)."""
+    weighed = rows.select(*keep, endings(F.col("words")).alias("ends"), table.select("w").scalar().alias("w"))
+    last = F.size("ends") - 1
+
+    def at(end: Column, i: Column) -> Column:
+        both = F.get("w", pair(end, F.get("ends", i + 1)))
+        return F.get("w", single(end)) + F.when(i < last, both).otherwise(F.lit(0.0))
+
+    total = F.aggregate(F.transform("ends", at), F.lit(0.0), lambda s, x: s + x)
+    return weighed.select(*keep, F.greatest(2 * F.size("ends") - 1, F.lit(0)).cast("long").alias("n_grams"), total.alias("log_sum"))

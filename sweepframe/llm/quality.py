@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import SPACE, squeezed, text_of, words_of
+from .common import SPACE, text_of, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -52,11 +52,12 @@ def rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     whole = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(SPACE.replace("[", "[^")))
     cut = whole.select(
-        "doc_id", words_of(F.col("text")).alias("words"), F.length(squeezed(F.col("text"))).cast("long").alias("word_chars"),
+        "doc_id", words_of(F.col("text")).alias("words"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("lines"),
     )
     hashed = cut.select(
-        "doc_id", "words", "word_chars", "n_symbols", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
+        "doc_id", "words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
     seen = hashed.select("doc_id", "words", "word_chars", "n_symbols", "n_dup_lines", _windows(F.col("hashes")).alias("windows"))
@@ -83,10 +84,8 @@ def quality_rules(
     base = rules(docs, doc_id, text)
     raw = docs.select(F.col(doc_id).alias("doc_id"), words_of(text_of(text)).alias("words"))
     table = ngrams.weights(raw, ngrams.target_ids(labels, F.col("quality") == 1, target_rows))
-    ends, buckets = ngrams.grams(F.col("words"))
     kept = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    grams = base.select("doc_id", *kept, ends.alias("ends")).select("doc_id", *kept, buckets.alias("buckets"))
-    scored = ngrams.log_ratio(grams, table, ["doc_id", *kept]).select(
+    scored = ngrams.log_ratio(base, table, ["doc_id", *kept]).select(
         "doc_id", *kept, (F.col("log_sum") / F.greatest("n_grams", F.lit(1))).alias("log_ratio"))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
 

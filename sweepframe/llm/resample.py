@@ -41,10 +41,8 @@ def importance(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         trusted &= ~held_out
     raw = docs.select(F.col(doc_id).alias("doc_id"), words_of(text_of(text)).alias("words"))
     table = ngrams.weights(raw, ngrams.target_ids(labels, trusted, target_rows))
-    ends, buckets = ngrams.grams(F.col("words"))
     rows = located(docs, F.col(doc_id).alias("doc_id"), words_of(text_of(text)).alias("words"))
-    grams = rows.select(AT, "doc_id", ends.alias("ends")).select(AT, "doc_id", buckets.alias("buckets"))
-    scored = ngrams.log_ratio(grams, table, [AT, "doc_id"])
+    scored = ngrams.log_ratio(rows, table, [AT, "doc_id"])
     ratio = F.col("log_sum") / F.greatest("n_grams", F.lit(1))
     return scored.select(AT, "doc_id", "n_grams", ratio.alias("log_ratio"), (ratio * PASSAGE).alias("log_weight"))
 
