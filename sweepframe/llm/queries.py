@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, quality, resample
+from . import exact, langid, mixing, packing, quality, resample, simhash, tokencount
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_language_id": langid.op2_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_importance_resampling": resample.op7_importance_resampling,
+    "op9_token_counts": tokencount.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
