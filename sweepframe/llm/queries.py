@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact, langid, mixing, packing, quality, resample, simhash, tokencount
+from . import exact, langid, mixing, packing, phrases, quality, resample, simhash, suffixes, tokencount
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_language_id": langid.op2_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_suffix_array": suffixes.op4_suffix_array,
     "op5_packing": packing.op5_packing,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_importance_resampling": resample.op7_importance_resampling,
+    "op8_phrase_automata": phrases.op8_phrase_automata,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op4_suffix_array": suffixes.ORACLE,
     "op6_exact_dedup": exact.ORACLE,
+    "op8_phrase_automata": phrases.ORACLE,
 }
