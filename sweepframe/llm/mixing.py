@@ -132,7 +132,8 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
         AT, "source", "shard", "size", "__begin", "__end",
         F.explode(F.sequence(F.expr(f"__begin div {block_words}"), F.expr(f"(__end - 1) div {block_words}"))).alias("block"))
     c = chosen.select(F.col("source").alias("__s"), F.col("shard").alias("__d"), F.col("block").alias("__b"))
-    met = touched.join(c, F.col("source").eqNullSafe(F.col("__s")) & (F.col("shard") == F.col("__d")) & (F.col("block") == F.col("__b")))
+    # The blocks come out of an explode, whose size Spark can't foresee: never broadcast them.
+    met = touched.join(c.hint("merge"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("shard") == F.col("__d")) & (F.col("block") == F.col("__b")))
     begin = F.greatest("__begin", F.col("block") * b)
     span = F.struct((begin - F.col("__begin")).alias("start"), (F.least("__end", (F.col("block") + 1) * b) - begin).alias("length"))
     spans = met.groupBy(AT).agg(F.sort_array(F.collect_list(span)).alias("spans"))
