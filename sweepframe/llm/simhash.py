@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.components import connected_components
 from .common import AT, located, on_files, store
@@ -53,7 +54,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
     found = np.array([fingerprint(t.as_py()) for t in texts], np.uint64)
     return pa.array(found.view(np.int64))
