@@ -159,3 +159,57 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+#: The same mix from whole lists of quotients, which the operator never writes out.
+ORACLE = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(concat_ws('|', '{SEED}', CAST(doc_id AS VARCHAR))) AS fate
+  FROM documents
+), s0 AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), s1 AS (
+  SELECT *, [{", ".join(str(w) for w in WEIGHTS)}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS weight, {MOST} * source_size AS top FROM s0
+), s2 AS (
+  SELECT *, ({SHARE} * sum(source_size) OVER () - coalesce(sum(top) OVER low, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER low, 0)) AS level
+  FROM s1 WINDOW low AS (ORDER BY top / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s AS (
+  SELECT source, source_size, least(top, weight * coalesce(min_by(level, top / weight) FILTER (level * weight < top) OVER (), 1e300)) AS target,
+    CAST(ceil(greatest(source_size, 1) / {SHARD_WORDS}) AS BIGINT) AS shards
+  FROM s2
+), quotient AS (
+  SELECT source, target / (2 * j + 1) AS q, j FROM (SELECT *, unnest(range(0, CAST(target / {BLOCK_WORDS} + 2 AS BIGINT))) AS j FROM s)
+), seat AS (
+  SELECT source, row_number() OVER (ORDER BY q DESC, source NULLS LAST, j) AS nth FROM quotient
+), blocks AS (
+  SELECT source, count(*) AS blocks FROM seat WHERE nth <= (SELECT round(sum(target) / {BLOCK_WORDS}) FROM s) GROUP BY source
+), dealt AS (
+  SELECT d.*, source_size, target, CAST('0x' || substr(fate, 1, 8) AS BIGINT) % shards AS shard FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+), shard AS (
+  SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size FROM dealt GROUP BY source, shard
+), shard_seat AS (
+  SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * j + 1) DESC, shard, j) AS nth
+  FROM (SELECT *, unnest(range(0, CAST({MOST} * shard_size / {BLOCK_WORDS} + 3 AS BIGINT))) AS j FROM shard WHERE shard_size > 0)
+), quota AS (
+  SELECT h.source, h.shard, CAST(ceil(any_value(h.shard_size) / {BLOCK_WORDS}) AS BIGINT) AS n_blocks, count(b.blocks) AS quota
+  FROM shard h LEFT JOIN shard_seat t ON t.source IS NOT DISTINCT FROM h.source AND t.shard = h.shard
+  LEFT JOIN blocks b ON b.source IS NOT DISTINCT FROM h.source AND t.nth <= b.blocks
+  GROUP BY h.source, h.shard
+), chosen AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY source, shard ORDER BY md5(concat_ws('|', '{SEED + 1}', coalesce(source, ''), CAST(shard AS VARCHAR), CAST(block AS VARCHAR))), block) AS turn
+    FROM (SELECT *, unnest(range(0, n_blocks)) AS block FROM quota)
+  ) WHERE turn <= quota % n_blocks
+), line AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY fate, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM dealt
+), extra AS (
+  SELECT doc_id, sum(least(e, (block + 1) * {BLOCK_WORDS}) - greatest(e - size, block * {BLOCK_WORDS})) AS n
+  FROM line l JOIN chosen c ON c.source IS NOT DISTINCT FROM l.source AND c.shard = l.shard
+    AND c.block * {BLOCK_WORDS} < e AND (c.block + 1) * {BLOCK_WORDS} > e - size
+  GROUP BY doc_id
+)
+SELECT l.doc_id, size, source_size, round(target, 6) AS target,
+  CAST(CASE WHEN n_blocks > 0 THEN quota // n_blocks * size ELSE 0 END + coalesce(n, 0) AS BIGINT) AS taken
+FROM line l JOIN quota q ON q.source IS NOT DISTINCT FROM l.source AND q.shard = l.shard LEFT JOIN extra USING (doc_id)
+"""

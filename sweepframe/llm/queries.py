@@ -20,4 +20,5 @@ ORACLES = {
     "op4_suffix_array": suffixes.ORACLE,
     "op6_exact_dedup": exact.ORACLE,
     "op8_phrase_automata": phrases.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
