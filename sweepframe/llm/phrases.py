@@ -14,7 +14,7 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import regions
@@ -106,17 +106,10 @@ def phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     units = WordUnits(length)
     rows = regions.numbered(docs, doc_id, text)
     ranked = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    hot = regions.common_anchors(rows, units)
-    here = Window.partitionBy("anchor")
-    same = Window.partitionBy("anchor", "content")
-    found = regions.region_rows(ranked, units, hot)
-    found = found.withColumn("nth", F.row_number().over(same.orderBy("doc_id", "file", "row", "start")))
-    found = found.withColumns({"least": F.min("doc_id").over(same), "copies": F.count(F.lit(1)).over(same)})
-    found = found.withColumns({"size": F.count(F.lit(1)).over(here), "from": F.min("least").over(here), "to": F.max("doc_id").over(here)})
-    found = store(found.where(F.col("from") < F.col("to")).drop("from", "to"), "regions")
-
-    later = found.where("doc_id > least").select("file", "row", "start", "windows")
-    heads = found.where("nth = 1 and copies < size")
+    found = regions.repeated(ranked, units).where("later")
+
+    whole = found.where("doc_id > least").select("file", "row", F.explode("starts").alias("start"), "windows")
+    heads = found.where("head and not alone")
     few = regions.cut_out(rows, heads.where(F.col("size") <= regions.LARGE), units)
     least = heads.select("anchor", "content", "least")
     met = few.join(least, ["anchor", "content"]).select("key", "anchor", "content", "part", "windows", "data", "least")
@@ -129,13 +122,9 @@ def phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         first = single.groupBy("key", "check").agg(F.min("least").alias("owner"))
         hits = single.join(first, ["key", "check"]).where("owner < least")
         met = met.unionByName(hits.select("anchor", "content", F.col("part").alias("first"), F.lit(1).alias("n")))
-    firsts = found.where("doc_id = least and copies < size").select("anchor", "content", "file", "row", "start")
+    firsts = found.where("doc_id = least and not alone").select("anchor", "content", "file", "row", F.explode("starts").alias("start"))
     located = met.join(firsts, ["anchor", "content"]).select("file", "row", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("windows"))
-    out = later.unionByName(located)
-    if hot:
-        single = store(regions.region_rows(ranked, units, hot, want_hot=True), "windows")
-        first = single.groupBy("anchor", "content").agg(F.min("doc_id").alias("owner"))
-        out = out.unionByName(single.join(first, ["anchor", "content"]).where("owner < doc_id").select("file", "row", "start", "windows"))
+    out = whole.unionByName(located)
     per_text = out.groupBy("file", "row").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     return rows.join(per_text, ["file", "row"], "left")
 

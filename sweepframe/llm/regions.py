@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import AT, located
+from .common import AT, located, store
 
 #: Units whose anchors are searched at once; a text of any length takes this much memory.
 BLOCK = 1 << 20
@@ -131,7 +131,7 @@ def common_anchors(rows: DataFrame, units) -> list[int]:
             for value in batch.column(0):
                 hashes, _ = units.read(value.as_py())
                 for anchor, _, _ in regions(hashes, units.length, units.k):
-                    seen += np.bincount((anchor >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(seen))
+                    np.add.at(seen, (np.unique(anchor) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         full = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(seen[full])], names=["prefix", "n"])
 
@@ -144,11 +144,11 @@ def _spread(anchor: np.ndarray, hot: set[int]) -> np.ndarray:
     return np.isin((anchor >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), list(hot)) if hot else np.zeros(len(anchor), bool)
 
 
-def region_rows(rows: DataFrame, units, hot: list[int], want_hot: bool = False) -> DataFrame:
-    """``anchor, content, file, row, doc_id, start, windows``: a row per region.
+def region_rows(rows: DataFrame, units, hot: list[int], common: bool = False) -> DataFrame:
+    """``anchor, content, file, row, doc_id, starts, windows``: a row for each different region of a text.
 
-    Regions of common anchors are left out; with ``want_hot`` only they are given, cut into single
-    windows and keyed by a hash of 128 bits of the window itself, so that no key is common but by content.
+    ``starts`` are its places in that text, so a text that repeats itself is no more rows than others.
+    Regions of common anchors are left out; with ``common`` only they are given.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -156,40 +156,72 @@ def region_rows(rows: DataFrame, units, hot: list[int], want_hot: bool = False)
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 few = batch.slice(lo, 64)
-                doc, anchors, contents, starts, windows = [], [], [], [], []
+                parts = []
                 for i, value in enumerate(few.column(3)):
                     hashes, cut = units.read(value.as_py())
                     for anchor, first, n in regions(hashes, units.length, units.k):
-                        common = _spread(anchor, hot)
-                        if want_hot:
-                            first = np.concatenate([np.arange(f, f + m) for f, m in zip(first[common], n[common])] or [np.zeros(0, np.int64)])
-                            texts = [cut(f, 1) for f in first.tolist()]
-                            anchor, n = np.array([xxhash.xxh64_intdigest(t, 1) for t in texts], np.uint64), np.ones(len(first), np.int64)
-                        else:
-                            anchor, first, n = anchor[~common], first[~common], n[~common]
-                            texts = [cut(f, m) for f, m in zip(first.tolist(), n.tolist())]
-                        doc.append(np.full(len(first), i))
-                        anchors.append(anchor)
-                        contents.append(np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64))
-                        starts.append(first)
-                        windows.append(n)
-                if doc:
-                    at = pa.array(np.concatenate(doc))
-                    join = lambda parts: pa.array(np.concatenate(parts).astype(np.uint64).view(np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [join(anchors), join(contents), *[few.column(c).take(at) for c in range(3)], join(starts), join(windows).cast(pa.int32())],
-                        names=["anchor", "content", "file", "row", "doc_id", "start", "windows"])
-
-    return rows.mapInArrow(emit, f"anchor bigint, content bigint, file bigint, row bigint, doc_id {kind}, start bigint, windows int")
+                        wanted = _spread(anchor, hot) == common
+                        anchor, first, n = anchor[wanted], first[wanted], n[wanted]
+                        content = [xxhash.xxh3_64_intdigest(cut(f, m)) for f, m in zip(first.tolist(), n.tolist())]
+                        parts.append((np.full(len(first), i), anchor, np.array(content, np.uint64), first, n))
+                if not parts:
+                    continue
+                doc, anchor, content, first, n = (np.concatenate(x) for x in zip(*parts))
+                order = np.lexsort((first, content, anchor, doc))
+                doc, anchor, content, first, n = (x[order] for x in (doc, anchor, content, first, n))
+                new = np.flatnonzero(np.concatenate((np.ones(min(len(doc), 1), bool), (np.diff(doc) != 0) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))))
+                at = pa.array(doc[new])
+                starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)).astype(np.int32)), pa.array(first.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[new].view(np.int64)), pa.array(content[new].view(np.int64)), *[few.column(c).take(at) for c in range(3)], starts,
+                     pa.array(n[new].astype(np.int32))],
+                    names=["anchor", "content", "file", "row", "doc_id", "starts", "windows"])
+
+    return rows.mapInArrow(emit, f"anchor bigint, content bigint, file bigint, row bigint, doc_id {kind}, starts array<bigint>, windows int")
+
+
+def repeated(rows: DataFrame, units) -> DataFrame:
+    """``region_rows`` of anchors met more than once, with what the table holds of them:
+
+    ``copies``  occurrences of this content, in this text and others
+    ``least``   the smallest ``doc_id`` among them
+    ``head``    whether the row stands for its content: one row of the smallest ``doc_id``
+    ``size``    rows at this anchor
+    ``alone``   whether no other content has this anchor
+    ``later``   whether the anchor is met under more than one ``doc_id``
+
+    Anchors that are common all over the table are counted by content, with partial sums, and joined
+    back; Spark splits that join where a content is common itself. They count as larger than ``LARGE``
+    and never as alone. All others are counted by windows over their anchor.
+    """
+    hot = common_anchors(rows, units)
+    here = Window.partitionBy("anchor")
+    same = Window.partitionBy("anchor", "content")
+    found = region_rows(rows, units, hot)
+    found = found.withColumn("head", F.row_number().over(same.orderBy("doc_id", "file", "row")) == 1)
+    found = found.withColumns({"copies": F.sum(F.size("starts")).over(same), "least": F.min("doc_id").over(same)})
+    found = found.withColumns({
+        "size": F.count(F.lit(1)).over(here), "alone": F.min("content").over(here) == F.max("content").over(here),
+        "later": F.min("doc_id").over(here) < F.max("doc_id").over(here), "met": F.sum(F.size("starts")).over(here),
+    }).where("met > 1").drop("met")
+    found = store(found, "regions")
+    if not hot:
+        return found
+    common = store(region_rows(rows, units, hot, common=True), "common")
+    place = F.struct("doc_id", "file", "row")
+    counted = common.groupBy("anchor", "content").agg(F.sum(F.size("starts")).alias("copies"), F.min(place).alias("best"))
+    common = common.join(counted, ["anchor", "content"]).withColumns({
+        "head": place == F.col("best"), "least": F.col("best.doc_id"), "size": F.lit(LARGE + 1).cast("long"), "alone": F.lit(False), "later": F.lit(True)})
+    return found.unionByName(store(common.select(*found.columns), "regions"))
 
 
 def cut_out(rows: DataFrame, wanted: DataFrame, units) -> DataFrame:
-    """``wanted`` (``anchor, content, file, row, start, windows, size``) with ``data``, the regions' bytes.
+    """``wanted`` (``anchor, content, file, row, starts, windows, size``) with ``data``, the regions' bytes.
 
     If ``size``, the rows at the anchor, is above ``LARGE``, a region is given as its single windows,
     each under the hash of its content as ``anchor``, with ``part`` its place in the region.
     """
-    spot = F.struct("anchor", "content", "start", "windows", "size")
+    spot = F.struct("anchor", "content", F.get("starts", F.lit(0)).alias("start"), "windows", "size")
     per_text = wanted.groupBy("file", "row").agg(F.collect_list(spot).alias("spots"))
 
     def emit(batches):

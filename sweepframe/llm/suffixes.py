@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import regions
@@ -138,31 +138,23 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     bytes that also start elsewhere, null for none."""
     units = ByteUnits(length)
     rows = regions.numbered(docs, doc_id, text)
-    hot = regions.common_anchors(rows, units)
-    here = Window.partitionBy("anchor")
-    same = Window.partitionBy("anchor", "content")
-    found = regions.region_rows(rows, units, hot).drop("doc_id")
-    found = found.withColumn("nth", F.row_number().over(same.orderBy("file", "row", "start")))
-    found = found.withColumns({"copies": F.count(F.lit(1)).over(same), "size": F.count(F.lit(1)).over(here)}).where("size > 1")
-    found = store(found, "regions")
-
-    whole = found.where("copies > 1").select("file", "row", "start", "windows")
+    found = regions.repeated(rows, units)
+    at = lambda df, *more: df.select("file", "row", F.explode("starts").alias("start"), *more)
+
+    whole = at(found.where("copies > 1"), "windows")
     # Contents that share an anchor with others are compared; of equal ones, one stands for all.
-    heads = found.where("nth = 1 and copies < size")
+    heads = found.where("head and not alone")
+    once = heads.where("copies = 1")
     few = regions.cut_out(rows, heads.where(F.col("size") <= regions.LARGE), units)
-    met = few.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: compare(batches, length), "anchor bigint, content bigint, first int, n int")
-    runs = met.join(heads.where("copies = 1"), ["anchor", "content"]).select("file", "row", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("windows"))
-    out = whole.unionByName(runs)
+    met = few.repartition("key").sortWithinPartitions("key").mapInArrow(
+        lambda batches: compare(batches, length), "anchor bigint, content bigint, first int, n int")
     large = heads.where(F.col("size") > regions.LARGE)
     if not large.isEmpty():
         single = store(regions.cut_out(rows, large, units).select("key", F.xxhash64("data").alias("check"), "anchor", "content", "part"), "windows")
         twice = single.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        hits = single.join(twice, ["key", "check"]).join(large.where("copies = 1"), ["anchor", "content"])
-        out = out.unionByName(hits.select("file", "row", (F.col("start") + F.col("part")).alias("start"), F.lit(1).alias("windows")))
-    if hot:
-        single = store(regions.region_rows(rows, units, hot, want_hot=True).drop("doc_id"), "windows")
-        twice = single.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        out = out.unionByName(single.join(twice, ["anchor", "content"]).select("file", "row", "start", "windows"))
+        met = met.unionByName(single.join(twice, ["key", "check"]).select("anchor", "content", F.col("part").alias("first"), F.lit(1).alias("n")))
+    runs = met.join(once, ["anchor", "content"]).select("file", "row", (F.get("starts", F.lit(0)) + F.col("first")).alias("start"), F.col("n").alias("windows"))
+    out = whole.unionByName(runs)
     per_text = out.groupBy("file", "row").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     return rows.join(per_text, ["file", "row"], "left")
 
