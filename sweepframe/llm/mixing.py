@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import AT, SPACE, WORD, located, store, text_of
+from .common import AT, SPACE, WORD, located, on_files, store, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -145,6 +145,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """The mix itself: ``docs`` with every document repeated as often as it is taken whole, and the
     stretches taken once more as one row of their words (joined by one space)."""
+    docs = on_files(docs)
     rows = located(docs)
     chosen = plan(docs, doc_id, text, source, **settings).where("taken > 0").select(F.col(AT).alias("__place"), "whole", "spans")
     met = rows.join(chosen, F.col(AT) == F.col("__place"))
