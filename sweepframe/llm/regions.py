@@ -122,7 +122,7 @@ def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def common_anchors(rows: DataFrame, units) -> list[int]:
     """Hash prefixes of anchors that hold more than ``1 / HOT_SHARE`` of all regions and over ``LARGE``.
 
-    A task counts its regions by the first ``SKETCH_BITS`` bits of the anchor, so what it sends is
+    A task counts the anchors of its texts by ``SKETCH_BITS`` bits of their hash, so what it sends is
     bounded, and so is the list: at most ``HOT_SHARE`` numbers.
     """
     def count(batches):
@@ -131,7 +131,7 @@ def common_anchors(rows: DataFrame, units) -> list[int]:
             for value in batch.column(0):
                 hashes, _ = units.read(value.as_py())
                 for anchor, _, _ in regions(hashes, units.length, units.k):
-                    np.add.at(seen, (np.unique(anchor) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                    np.add.at(seen, _prefix(np.unique(anchor)), 1)
         full = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(seen[full])], names=["prefix", "n"])
 
@@ -140,8 +140,13 @@ def common_anchors(rows: DataFrame, units) -> list[int]:
     return [r[0] for r in sizes.withColumn("total", total).where((F.col("n") > LARGE) & (F.col("n") * HOT_SHARE > F.col("total"))).select("prefix").collect()]
 
 
-def _spread(anchor: np.ndarray, hot: set[int]) -> np.ndarray:
-    return np.isin((anchor >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), list(hot)) if hot else np.zeros(len(anchor), bool)
+def _prefix(anchor: np.ndarray) -> np.ndarray:
+    """First bits of a hash of the anchor, which as the smallest of many hashes is a small number itself."""
+    return (mixed(anchor + _GOLD) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _spread(anchor: np.ndarray, hot: list[int]) -> np.ndarray:
+    return np.isin(_prefix(anchor), hot) if hot else np.zeros(len(anchor), bool)
 
 
 def region_rows(rows: DataFrame, units, hot: list[int], common: bool = False) -> DataFrame:
