@@ -65,16 +65,16 @@ def locate(parts: list[tuple[bytes, int, int]], length: int) -> list[np.ndarray]
 
 
 def scan(batches, length: int):
-    """Rows ``key, anchor, content, part, windows, data, least`` sorted by key to runs of located windows."""
+    """Rows ``anchor, content, windows, data, least`` sorted by anchor to runs of located windows."""
     group: list[tuple] = []
     block: list[tuple] = []
     size = 0
 
     def flush():
         out = [[] for _ in range(4)]
-        for r, flags in zip(block, locate([(r[5], r[4], r[6]) for r in block], length)):
+        for r, flags in zip(block, locate([(r[3], r[2], r[4]) for r in block], length)):
             for start, n in runs_of(flags):
-                for c, v in zip(out, (r[1], r[2], r[3] + start, n)):
+                for c, v in zip(out, (r[0], r[1], start, n)):
                     c.append(v)
         block.clear()
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())],
@@ -84,7 +84,7 @@ def scan(batches, length: int):
         nonlocal size
         if len(group) > 1:
             block.extend(group)
-            size += sum(r[4] + length for r in group)
+            size += sum(r[2] + length for r in group)
         group.clear()
 
     for batch in batches:
@@ -112,12 +112,12 @@ def phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     heads = found.where("head and not alone")
     few = regions.cut_out(rows, heads.where(F.col("size") <= regions.LARGE), units)
     least = heads.select("anchor", "content", "least")
-    met = few.join(least, ["anchor", "content"]).select("key", "anchor", "content", "part", "windows", "data", "least")
-    met = met.repartition("key").sortWithinPartitions("key").mapInArrow(
+    met = few.join(least, ["anchor", "content"]).select("anchor", "content", "windows", "data", "least")
+    met = met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         lambda batches: scan(batches, length), "anchor bigint, content bigint, first int, n int")
     large = heads.where(F.col("size") > regions.LARGE)
     if not large.isEmpty():
-        single = regions.cut_out(rows, large, units).select("key", F.xxhash64("data").alias("check"), "anchor", "content", "part")
+        single = regions.cut_out(rows, large, units, single=True)
         single = store(single.join(least, ["anchor", "content"]), "windows")
         first = single.groupBy("key", "check").agg(F.min("least").alias("owner"))
         hits = single.join(first, ["key", "check"]).where("owner < least")

@@ -20,43 +20,24 @@ from pyspark.sql import functions as F
 
 from .common import AT, located, store
 
-#: Units whose anchors are searched at once; a text of any length takes this much memory.
-BLOCK = 1 << 20
+#: Units whose anchors are searched at once; texts of any length take this much memory.
+BLOCK = 1 << 19
 SKETCH_BITS = 16
 HOT_SHARE = 4096
 #: Rows of one anchor whose texts a task compares together; beyond, windows are compared one by one.
 LARGE = 1000
 _PLACE = np.uint64((1 << 21) - 1)
-_M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """The finalizer of splitmix64: spreads every bit over all others."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def grams(units: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each ``k`` neighbouring units (hashes themselves)."""
-    n = len(units) - k + 1
-    out = mixed(units[:n] + _GOLD)
-    for t in range(1, k):
-        out = mixed(out * _GOLD + units[t:t + n])
-    return out
-
-
-def byte_grams(data: bytes, k: int = 16) -> np.ndarray:
-    """A hash of each ``k`` neighbouring bytes, ``k`` a multiple of 8."""
-    n = len(data) - 7
-    words = np.empty(max(n, 0), np.uint64)
-    for shift in range(8):
-        part = np.frombuffer(data, "<u8", (len(data) - shift) // 8, shift) if len(data) - shift >= 8 else np.zeros(0, np.uint64)
-        words[shift::8] = part
-    out = mixed(words[:len(data) - k + 1] + _GOLD)
-    for t in range(8, k, 8):
-        out = mixed(out * _GOLD + words[t:t + len(data) - k + 1])
-    return out
+    """Spreads every bit of ``x``, which is overwritten."""
+    x ^= x >> np.uint64(31)
+    x *= _B
+    x ^= x >> np.uint64(29)
+    x *= _C
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _smallest(keys: np.ndarray, width: int) -> np.ndarray:
@@ -70,121 +51,138 @@ def _smallest(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def regions(hashes: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(anchor hash, first window, windows)`` of each region, from the k-gram hashes of one text."""
-    total = len(hashes) + k - length  # windows
-    width = length - k + 1
-    for lo in range(0, max(total, 0), BLOCK):
-        part = hashes[lo:min(lo + BLOCK, total) + width - 1]
-        place = np.arange(len(part), dtype=np.uint64)
-        at = (_smallest((part & ~_PLACE) | place, width) & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        yield part[at[first]], first + lo, np.diff(np.append(first, len(at)))
-
-
 class ByteUnits:
-    """A text as bytes."""
+    """A text as bytes; anchors are 16 bytes long."""
 
-    def __init__(self, length: int, k: int = 16):
-        self.length, self.k = length, k
+    k = 16
+
+    def __init__(self, length: int):
+        self.length = length
 
     def read(self, text: str | None) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
-        """Hashes of the text's k-grams, and a function that cuts ``windows`` windows from ``start``."""
+        """The text's units, and a function that cuts ``windows`` windows from ``start``."""
         data = (text or "").encode()
-        if len(data) < self.length:
-            return np.zeros(0, np.uint64), None
-        return byte_grams(data, self.k), lambda start, windows: data[start:start + windows - 1 + self.length]
+        return np.frombuffer(data, np.uint8), lambda start, windows: data[start:start + windows - 1 + self.length]
+
+    def grams(self, units: np.ndarray) -> np.ndarray:
+        """A hash of each ``k`` neighbouring units."""
+        data = units.tobytes()
+        words = np.empty(len(data) - 7, np.uint64)
+        for shift in range(8):
+            words[shift::8] = np.frombuffer(data, "<u8", (len(data) - shift) // 8, shift)
+        out = words[:-8] * _A
+        out += words[8:]
+        return mixed(out)
 
 
 class WordUnits:
-    """A text as words, joined by one space."""
+    """A text as words joined by one space; anchors are four words long."""
 
-    def __init__(self, length: int, k: int = 4):
-        self.length, self.k = length, k
+    k = 4
+
+    def __init__(self, length: int):
+        self.length = length
 
     def read(self, text: str | None) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
         words = (text or "").encode().split()
-        if len(words) < self.length:
-            return np.zeros(0, np.uint64), None
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        return grams(hashes, self.k), lambda start, windows: joined[starts[start]:ends[start + windows - 2 + self.length]]
+        return hashes, lambda start, windows: b" ".join(words[start:start + windows - 1 + self.length])
 
-
-def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``file, row, doc_id, text``: a place as two numbers. Paths are hashed to 64 bits; there are only as many as files."""
-    rows = located(docs, F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.select(F.xxhash64(f"{AT}.file").alias("file"), F.col(f"{AT}.row").alias("row"), "doc_id", "text")
+    def grams(self, units: np.ndarray) -> np.ndarray:
+        n = len(units) - 3
+        out = units[:n].copy()
+        for t in (1, 2, 3):
+            out *= _A
+            out += units[t:t + n]
+        return mixed(out)
 
 
-def common_anchors(rows: DataFrame, units) -> list[int]:
-    """Hash prefixes of anchors that hold more than ``1 / HOT_SHARE`` of all regions and over ``LARGE``.
+def find(units, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(text, anchor hash, first window, windows)`` of each region of ``texts``, in blocks of units.
 
-    A task counts the anchors of its texts by ``SKETCH_BITS`` bits of their hash, so what it sends is
-    bounded, and so is the list: at most ``HOT_SHARE`` numbers.
+    Short texts are searched together: a window that reaches into the next text is none.
     """
-    def count(batches):
-        seen = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for value in batch.column(0):
-                hashes, _ = units.read(value.as_py())
-                for anchor, _, _ in regions(hashes, units.length, units.k):
-                    np.add.at(seen, _prefix(np.unique(anchor)), 1)
-        full = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(seen[full])], names=["prefix", "n"])
-
-    sizes = rows.select("text").mapInArrow(count, "prefix int, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # 2 ** SKETCH_BITS rows at most
-    return [r[0] for r in sizes.withColumn("total", total).where((F.col("n") > LARGE) & (F.col("n") * HOT_SHARE > F.col("total"))).select("prefix").collect()]
-
+    length, width = units.length, units.length - units.k + 1
+    block: list[tuple[int, int, np.ndarray]] = []
+
+    def search():
+        sizes = np.array([len(x) for _, _, x in block])
+        offsets = np.cumsum(sizes) - sizes
+        hashes = units.grams(np.concatenate([x for _, _, x in block]))
+        hashes_at = np.arange(len(hashes), dtype=np.uint64)
+        at = (_smallest((hashes & ~_PLACE) | hashes_at, width) & _PLACE).astype(np.int64)
+        text = np.repeat(np.arange(len(block)), sizes - length + 1)
+        start = np.concatenate([np.arange(o, o + n - length + 1) for o, n in zip(offsets.tolist(), sizes.tolist())])
+        at = at[start]
+        first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
+        n = np.diff(np.append(first, len(at)))
+        owner = text[first]
+        names, before = np.array([i for i, _, _ in block]), np.array([lo for _, lo, _ in block])
+        return names[owner], hashes[at[first]], start[first] - offsets[owner] + before[owner], n
+
+    size = 0
+    for i, codes in enumerate(texts):
+        for lo in range(0, len(codes) - length + 1, BLOCK):
+            part = codes[lo:lo + BLOCK + length - 1]
+            if size + len(part) > BLOCK and block:
+                yield search()
+                block, size = [], 0
+            block.append((i, lo, part))
+            size += len(part)
+    if block:
+        yield search()
 
-def _prefix(anchor: np.ndarray) -> np.ndarray:
-    """First bits of a hash of the anchor, which as the smallest of many hashes is a small number itself."""
-    return (mixed(anchor + _GOLD) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
-
-def _spread(anchor: np.ndarray, hot: list[int]) -> np.ndarray:
-    return np.isin(_prefix(anchor), hot) if hot else np.zeros(len(anchor), bool)
+def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``file, row, doc_id, text``: a place as two numbers. Paths are hashed to 64 bits; there are only as many as files."""
+    rows = located(docs, F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.select(F.xxhash64(f"{AT}.file").alias("file"), F.col(f"{AT}.row").alias("row"), "doc_id", "text")
 
 
-def region_rows(rows: DataFrame, units, hot: list[int], common: bool = False) -> DataFrame:
+def region_rows(rows: DataFrame, units) -> DataFrame:
     """``anchor, content, file, row, doc_id, starts, windows``: a row for each different region of a text.
 
     ``starts`` are its places in that text, so a text that repeats itself is no more rows than others.
-    Regions of common anchors are left out; with ``common`` only they are given.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def emit(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                few = batch.slice(lo, 64)
-                parts = []
-                for i, value in enumerate(few.column(3)):
-                    hashes, cut = units.read(value.as_py())
-                    for anchor, first, n in regions(hashes, units.length, units.k):
-                        wanted = _spread(anchor, hot) == common
-                        anchor, first, n = anchor[wanted], first[wanted], n[wanted]
-                        content = [xxhash.xxh3_64_intdigest(cut(f, m)) for f, m in zip(first.tolist(), n.tolist())]
-                        parts.append((np.full(len(first), i), anchor, np.array(content, np.uint64), first, n))
-                if not parts:
-                    continue
-                doc, anchor, content, first, n = (np.concatenate(x) for x in zip(*parts))
-                order = np.lexsort((first, content, anchor, doc))
-                doc, anchor, content, first, n = (x[order] for x in (doc, anchor, content, first, n))
-                new = np.flatnonzero(np.concatenate((np.ones(min(len(doc), 1), bool), (np.diff(doc) != 0) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))))
-                at = pa.array(doc[new])
-                starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)).astype(np.int32)), pa.array(first.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[new].view(np.int64)), pa.array(content[new].view(np.int64)), *[few.column(c).take(at) for c in range(3)], starts,
-                     pa.array(n[new].astype(np.int32))],
-                    names=["anchor", "content", "file", "row", "doc_id", "starts", "windows"])
+            for lo in range(0, batch.num_rows, 128):
+                few = batch.slice(lo, 128)
+                read = [units.read(v.as_py()) for v in few.column(3)]
+                cuts = [cut for _, cut in read]
+                for doc, anchor, first, n in find(units, [codes for codes, _ in read]):
+                    content = np.fromiter((xxhash.xxh3_64_intdigest(cuts[d](f, m)) for d, f, m in zip(doc.tolist(), first.tolist(), n.tolist())), np.uint64, len(doc))
+                    order = np.lexsort((first, content, anchor, doc))
+                    doc, anchor, content, first, n = (x[order] for x in (doc, anchor, content, first, n))
+                    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))))
+                    at = pa.array(doc[new])
+                    starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)).astype(np.int32)), pa.array(first.astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor[new].view(np.int64)), pa.array(content[new].view(np.int64)), *[few.column(c).take(at) for c in range(3)], starts,
+                         pa.array(n[new].astype(np.int32))],
+                        names=["anchor", "content", "file", "row", "doc_id", "starts", "windows"])
 
     return rows.mapInArrow(emit, f"anchor bigint, content bigint, file bigint, row bigint, doc_id {kind}, starts array<bigint>, windows int")
 
 
+def common_prefixes(found: DataFrame) -> list[int]:
+    """Hash prefixes of anchors that hold more than ``1 / HOT_SHARE`` of all regions and over ``LARGE``.
+
+    Regions are counted by ``SKETCH_BITS`` bits of their anchor's hash, so what a task sends is bounded,
+    and so is the list: at most ``HOT_SHARE`` numbers.
+    """
+    sizes = found.groupBy(prefix().alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # 2 ** SKETCH_BITS rows at most
+    return [r[0] for r in sizes.withColumn("total", total).where((F.col("n") > LARGE) & (F.col("n") * HOT_SHARE > F.col("total"))).select("prefix").collect()]
+
+
+def prefix():
+    """A few bits of a hash of the anchor, which as the smallest of many hashes is a small number itself."""
+    return F.pmod(F.xxhash64("anchor"), F.lit(1 << SKETCH_BITS)).cast("int")
+
+
 def repeated(rows: DataFrame, units) -> DataFrame:
     """``region_rows`` of anchors met more than once, with what the table holds of them:
 
@@ -199,10 +197,11 @@ def repeated(rows: DataFrame, units) -> DataFrame:
     back; Spark splits that join where a content is common itself. They count as larger than ``LARGE``
     and never as alone. All others are counted by windows over their anchor.
     """
-    hot = common_anchors(rows, units)
+    every = store(region_rows(rows, units), "anchors")
+    hot = common_prefixes(every)
     here = Window.partitionBy("anchor")
     same = Window.partitionBy("anchor", "content")
-    found = region_rows(rows, units, hot)
+    found = every.where(~prefix().isin(hot)) if hot else every
     found = found.withColumn("head", F.row_number().over(same.orderBy("doc_id", "file", "row")) == 1)
     found = found.withColumns({"copies": F.sum(F.size("starts")).over(same), "least": F.min("doc_id").over(same)})
     found = found.withColumns({
@@ -212,7 +211,7 @@ def repeated(rows: DataFrame, units) -> DataFrame:
     found = store(found, "regions")
     if not hot:
         return found
-    common = store(region_rows(rows, units, hot, common=True), "common")
+    common = every.where(prefix().isin(hot))
     place = F.struct("doc_id", "file", "row")
     counted = common.groupBy("anchor", "content").agg(F.sum(F.size("starts")).alias("copies"), F.min(place).alias("best"))
     common = common.join(counted, ["anchor", "content"]).withColumns({
@@ -220,37 +219,38 @@ def repeated(rows: DataFrame, units) -> DataFrame:
     return found.unionByName(store(common.select(*found.columns), "regions"))
 
 
-def cut_out(rows: DataFrame, wanted: DataFrame, units) -> DataFrame:
-    """``wanted`` (``anchor, content, file, row, starts, windows, size``) with ``data``, the regions' bytes.
+def cut_out(rows: DataFrame, wanted: DataFrame, units, single: bool = False) -> DataFrame:
+    """``anchor, content, windows, data``: the bytes of the regions ``wanted``.
 
-    If ``size``, the rows at the anchor, is above ``LARGE``, a region is given as its single windows,
-    each under the hash of its content as ``anchor``, with ``part`` its place in the region.
+    With ``single``, ``anchor, content, part, key, check`` instead: a hash of 128 bits of each window
+    of a region, ``part`` its place there.
     """
-    spot = F.struct("anchor", "content", F.get("starts", F.lit(0)).alias("start"), "windows", "size")
-    per_text = wanted.groupBy("file", "row").agg(F.collect_list(spot).alias("spots"))
+    per_text = wanted.groupBy("file", "row").agg(F.collect_list(F.struct("anchor", "content", F.get("starts", F.lit(0)).alias("start"), "windows")).alias("spots"))
 
     def emit(batches):
         for batch in batches:
-            for value, spots in zip(batch.column(0), batch.column(1)):
-                _, cut = units.read(value.as_py())
-                key, anchor, content, part, windows, data = [], [], [], [], [], []
-                for s in spots.as_py():
-                    large = s["size"] > LARGE
-                    for p in range(s["windows"]) if large else (0,):
-                        text = cut(s["start"] + p, 1 if large else s["windows"])
-                        key.append(xxhash.xxh64_intdigest(text, 1) - (1 << 63) if large else s["anchor"])
-                        anchor.append(s["anchor"])
-                        content.append(s["content"])
-                        part.append(p)
-                        windows.append(1 if large else s["windows"])
-                        data.append(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(anchor, pa.int64()), pa.array(content, pa.int64()), pa.array(part, pa.int32()),
-                     pa.array(windows, pa.int32()), pa.array(data, pa.binary())],
-                    names=["key", "anchor", "content", "part", "windows", "data"])
+            for lo in range(0, batch.num_rows, 16):
+                few = batch.slice(lo, 16)
+                cols = [[] for _ in range(5 if single else 4)]
+                for value, spots in zip(few.column(0), few.column(1)):
+                    _, cut = units.read(value.as_py())
+                    for s in spots.as_py():
+                        if single:
+                            texts = [cut(s["start"] + p, 1) for p in range(s["windows"])]
+                            cols[0] += [s["anchor"]] * len(texts)
+                            cols[1] += [s["content"]] * len(texts)
+                            cols[2] += range(len(texts))
+                            cols[3] += [xxhash.xxh64_intdigest(t, 1) - (1 << 63) for t in texts]
+                            cols[4] += [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
+                        else:
+                            for c, v in zip(cols, (s["anchor"], s["content"], s["windows"], cut(s["start"], s["windows"]))):
+                                c.append(v)
+                kinds = [pa.int64(), pa.int64(), pa.int32(), *([pa.int64(), pa.int64()] if single else [pa.binary()])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                                 names=["anchor", "content", *(["part", "key", "check"] if single else ["windows", "data"])])
 
     met = rows.select("file", "row", "text").join(per_text, ["file", "row"]).select("text", "spots")
-    return met.mapInArrow(emit, "key bigint, anchor bigint, content bigint, part int, windows int, data binary")
+    return met.mapInArrow(emit, "anchor bigint, content bigint, " + ("part int, key bigint, check bigint" if single else "windows int, data binary"))
 
 
 def covered(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:

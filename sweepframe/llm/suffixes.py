@@ -25,45 +25,55 @@ LENGTH = 400
 BLOCK_CHARS = 1 << 19
 
 
-def suffix_array(text: str, depth: int) -> list[int]:
-    """Places of all suffixes of ``text`` in the order of their first ``depth`` characters.
+def suffix_array(text: str, depth: int, wanted: np.ndarray | None = None) -> list[int]:
+    """Places of the suffixes of ``text`` in the order of their first ``depth`` characters.
 
-    Characters below 256 are content; a text ends with one above them. The last suffix counts as
-    larger than what would follow, and every run of one character as its end does.
+    ``wanted`` marks the places asked for; the result holds them and those needed to induce them:
+    from each wanted place on, up to the next suffix that is sorted directly. A run of one character
+    is as its end; the last suffix counts as larger than what would follow.
     """
     n = len(text)
     if not n:
         return []
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    # smaller[i]: suffix i is smaller than suffix i + 1. In a run of equal characters, as at the run's end.
+    # smaller[i]: suffix i is smaller than suffix i + 1.
     step = np.sign(np.diff(codes, append=-1))
     unequal = np.flatnonzero(step)
-    following = unequal[np.searchsorted(unequal, np.arange(n))]
-    smaller = step[following] > 0
+    smaller = step[unequal[np.searchsorted(unequal, np.arange(n))]] > 0
+    if wanted is None:
+        kept = np.ones(n, bool)
+    else:
+        # Stretches of larger suffixes end at a smaller one (or at the end of the text): keep the
+        # part of each stretch that starts at a wanted place.
+        stretch = np.concatenate(([0], np.cumsum(smaller)[:-1]))
+        first = np.full(stretch[-1] + 1, n, np.int64)
+        np.minimum.at(first, stretch[wanted], np.flatnonzero(wanted))
+        kept = np.arange(n) >= first[stretch]
+    places = np.flatnonzero(kept)
 
     # Stage one: direct sort.
-    direct = sorted(np.flatnonzero(smaller).tolist(), key=lambda i: text[i:i + depth])
+    direct = sorted(places[smaller[places]].tolist(), key=lambda i: text[i:i + depth])
     # Buckets by first character: induced suffixes come first, those sorted directly last.
     values, bucket = np.unique(codes, return_inverse=True)
-    sizes = np.bincount(bucket)
+    sizes = np.bincount(bucket[places], minlength=len(values))
     ends = np.cumsum(sizes)
     heads = (ends - sizes).tolist()
     of = bucket.tolist()
-    array = [-1] * n
-    placed = np.bincount(bucket[smaller], minlength=len(sizes))
-    tails = (ends - placed).tolist()
+    array = [-1] * len(places)
+    tails = (ends - np.bincount(bucket[places[smaller[places]]], minlength=len(values))).tolist()
     for i in direct:
         b = of[i]
         array[tails[b]] = i
         tails[b] += 1
     # Stage two: scan from the left. The suffix before a placed one, if larger than it, is the next of its bucket.
-    is_direct = smaller.tolist()
-    last = of[n - 1]
-    array[heads[last]] = n - 1
-    heads[last] += 1
-    for at in range(n):
+    induced = (kept & ~smaller).tolist()
+    if induced[n - 1]:
+        last = of[n - 1]
+        array[heads[last]] = n - 1
+        heads[last] += 1
+    for at in range(len(array)):
         i = array[at] - 1
-        if i >= 0 and not is_direct[i]:
+        if i >= 0 and induced[i]:
             b = of[i]
             array[heads[b]] = i
             heads[b] += 1
@@ -80,7 +90,7 @@ def repeated_starts(parts: list[tuple[bytes, int]], length: int) -> list[np.ndar
         owner.append(np.arange(len(data) + 1) < windows)
         at += len(data) + 1
     text, owned = "".join(chars), np.concatenate(owner)
-    array = np.array(suffix_array(text, length), np.int64)
+    array = np.array(suffix_array(text, length, owned), np.int64)
     array = array[owned[array]]
     hits = np.zeros(len(text), bool)
     places = array.tolist()
@@ -97,17 +107,17 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def compare(batches, length: int):
-    """Rows ``key, anchor, content, part, windows, data`` sorted by key to runs of repeated windows."""
+    """Rows ``anchor, content, windows, data`` sorted by anchor to runs of repeated windows."""
     group: list[tuple] = []
     block: list[tuple] = []
     size = 0
 
     def flush():
         out = [[] for _ in range(4)]
-        flags = repeated_starts([(r[5], r[4]) for r in block], length)
+        flags = repeated_starts([(r[3], r[2]) for r in block], length)
         for r, f in zip(block, flags):
             for start, n in runs_of(f):
-                for c, v in zip(out, (r[1], r[2], r[3] + start, n)):
+                for c, v in zip(out, (r[0], r[1], start, n)):
                     c.append(v)
         block.clear()
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())],
@@ -117,7 +127,7 @@ def compare(batches, length: int):
         nonlocal size
         if len(group) > 1:  # a text alone has nothing to meet
             block.extend(group)
-            size += sum(len(r[5]) for r in group)
+            size += sum(len(r[3]) for r in group)
         group.clear()
 
     for batch in batches:
@@ -146,11 +156,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     heads = found.where("head and not alone")
     once = heads.where("copies = 1")
     few = regions.cut_out(rows, heads.where(F.col("size") <= regions.LARGE), units)
-    met = few.repartition("key").sortWithinPartitions("key").mapInArrow(
+    met = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         lambda batches: compare(batches, length), "anchor bigint, content bigint, first int, n int")
     large = heads.where(F.col("size") > regions.LARGE)
     if not large.isEmpty():
-        single = store(regions.cut_out(rows, large, units).select("key", F.xxhash64("data").alias("check"), "anchor", "content", "part"), "windows")
+        single = store(regions.cut_out(rows, large, units, single=True), "windows")
         twice = single.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = met.unionByName(single.join(twice, ["key", "check"]).select("anchor", "content", F.col("part").alias("first"), F.lit(1).alias("n")))
     runs = met.join(once, ["anchor", "content"]).select("file", "row", (F.get("starts", F.lit(0)) + F.col("first")).alias("start"), F.col("n").alias("windows"))

@@ -4,6 +4,7 @@ import collections
 import random
 
 import edge
+import numpy as np
 import pytest
 
 from sweepframe.llm import phrases, regions, suffixes
@@ -92,14 +93,24 @@ def test_suffix_array():
         assert sorted(array) == list(range(len(text)))
         keys = [text[i:i + depth] for i in array]
         assert keys == sorted(keys)
+        wanted = [rng.random() < 0.3 for _ in text]
+        some = suffixes.suffix_array(text, depth, np.array(wanted))
+        keys = [text[i:i + depth] for i in some]
+        assert keys == sorted(keys) and len(set(some)) == len(some) and {i for i, w in enumerate(wanted) if w} <= set(some)
 
 
-def test_regions_own_every_window(monkeypatch):
-    monkeypatch.setattr(regions, "BLOCK", 50)
+@pytest.mark.parametrize("block", [40, 1 << 19])
+def test_regions_own_every_window(monkeypatch, block):
+    monkeypatch.setattr(regions, "BLOCK", block)
     rng = random.Random(4)
-    units = regions.ByteUnits(24)
-    for _ in range(200):
-        text = "".join(rng.choice("ab") for _ in range(rng.randint(0, 200)))
-        hashes, _ = units.read(text)
-        owned = [s + j for _, first, n in regions.regions(hashes, 24, 16) for s, m in zip(first.tolist(), n.tolist()) for j in range(m)]
-        assert owned == list(range(max(0, len(text) - 23)))
+    for units, unit in ((regions.ByteUnits(24), lambda: rng.choice("ab")), (regions.WordUnits(7), lambda: rng.choice(["a ", "b "]))):
+        texts = ["".join(unit() for _ in range(rng.randint(0, 120))) for _ in range(80)]
+        owned, anchors = collections.defaultdict(list), {}
+        read = [units.read(t) for t in texts]
+        for doc, anchor, first, n in regions.find(units, [codes for codes, _ in read]):
+            for d, a, s, m in zip(doc.tolist(), anchor.tolist(), first.tolist(), n.tolist()):
+                owned[d] += range(s, s + m)
+                for k in range(m):  # equal windows have equal anchors
+                    assert anchors.setdefault(read[d][1](s + k, 1), a) == a
+        for d, (codes, _) in enumerate(read):
+            assert owned[d] == list(range(max(0, len(codes) - units.length + 1)))
