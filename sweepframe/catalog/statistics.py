@@ -116,10 +116,12 @@ def matched_band(spark, sf):
 s AS (SELECT *, unnest(range(greatest(0, ka + kb - nb), least(ka + kb, na) + 1)) AS x FROM t),
 p AS (SELECT clip, {LN_CHOOSE.format(n='na', k='x')} + {LN_CHOOSE.format(n='nb', k='(ka + kb - x)')} - ({LN_CHOOSE.format(n='(na + nb)', k='(ka + kb)')}) AS lp,
   {LN_CHOOSE.format(n='na', k='ka')} + {LN_CHOOSE.format(n='nb', k='kb')} - ({LN_CHOOSE.format(n='(na + nb)', k='(ka + kb)')}) AS seen FROM s)
-SELECT clip, round(least(1.0, sum(CASE WHEN lp <= seen + 1e-7 THEN exp(lp) ELSE 0 END)), 5) AS fisher_p FROM p GROUP BY clip""")
+SELECT clip, round(p, 8) AS fisher_p, round(log10(p), 6) AS log10_p
+FROM (SELECT clip, least(1.0, sum(CASE WHEN lp <= seen + 1e-7 THEN exp(lp) ELSE 0 END)) AS p FROM p GROUP BY clip)""")
 def fisher_exact(spark, sf):
     both = stats.matched_band(frames(spark, sf), "linestatus", "standoff", "event", (0.3, 0.7), ["clip"])
-    return both.where(F.col("groups") == 2).select("clip", "fisher_p")
+    p = F.col("fisher_p")
+    return both.where(F.col("groups") == 2).select("clip", F.round(p, 8).alias("fisher_p"), F.round(F.log10(p), 6).alias("log10_p"))
 
 
 @query(FRAMES + """, c AS (SELECT linestatus, clip, count(*) AS n, avg(event) AS m, var_pop(event) * count(*) AS ss FROM fr GROUP BY 1, 2),
@@ -198,15 +200,17 @@ def mediation_ols(spark, sf):
     )
 
 
-@query("""WITH c AS (SELECT p_brand AS model, corr(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END, l_extendedprice) AS r
-  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
-SELECT a.model AS a, b.model AS b, round(a.r, 6) AS r_a, round(b.r, 6) AS r_b
-FROM c a JOIN c b ON a.model < b.model AND a.r * b.r < 0""")
+@query("""WITH e AS (SELECT p_brand AS model, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS event, l_extendedprice, l_quantity
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
+c AS (SELECT model, 'sharpness' AS condition, corr(event, l_extendedprice) AS r FROM e GROUP BY 1
+  UNION ALL SELECT model, 'quantity', corr(event, l_quantity) FROM e GROUP BY 1)
+SELECT a.condition, a.model AS a, b.model AS b, round(a.r, 6) AS r_a, round(b.r, 6) AS r_b
+FROM c a JOIN c b ON a.condition = b.condition AND a.model < b.model AND a.r * b.r < 0""")
 def opposed_pairs(spark, sf):
     items = frames(spark, sf).join(
         table(spark, sf, "part").select(F.col("p_partkey").alias("partkey"), F.col("p_brand").alias("model")), "partkey"
     )
-    r = stats.point_biserial(items, "event", ["sharpness"], ["model"])
+    r = stats.point_biserial(items, "event", ["sharpness", "quantity"], ["model"])
     return rounded(stats.opposed_pairs(r))
 
 

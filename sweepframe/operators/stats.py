@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -151,43 +151,98 @@ def quantile_curve(
 # Comparison of groups --------------------------------------------------------------------
 
 
-def _ln_factorial(n: Column) -> Column:
-    """ln(n!) by Stirling's series at n + 9, shifted back."""
-    z = n.cast("double") + 1.0
-    s = z + 8.0
-    shifted = z
-    for i in range(1, 8):
-        shifted = shifted * (z + float(i))
-    series = 1.0 / (12.0 * s) - 1.0 / (360.0 * s * s * s) + 1.0 / (1260.0 * F.pow(s, F.lit(5.0)))
-    return (s - 0.5) * F.log(s) - s + F.lit(0.5 * float(np.log(2 * np.pi))) + series - F.log(shifted)
+def _stirling_error(n: Column) -> Column:
+    """ln(n!) minus Stirling's formula; a short table below 16, a series above."""
+    k = np.arange(1, 16)
+    exact = np.cumsum(np.log(k)) - ((k + 0.5) * np.log(k) - k + 0.5 * np.log(2 * np.pi))
+    table = F.array(*[F.lit(float(v)) for v in (0.0, *exact)])
+    z = n.cast("double")
+    square = z * z
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - (1 / 1188) / square) / square) / square) / square) / z
+    return F.when(n < 16, F.get(table, n.cast("int"))).otherwise(series)
+
+
+def _deviance(x: Column, m: Column) -> Column:
+    """x ln(x / m) + m - x, as a series where the terms nearly cancel."""
+    v = (x - m) / (x + m)
+    square = v * v
+    tail = F.lit(0.0)
+    for k in range(9, 0, -1):
+        tail = (tail + 1.0 / (2 * k + 1)) * square
+    near = (x - m) * v + 2.0 * x * v * tail
+    return F.when(F.abs(x - m) < 0.1 * (x + m), near).otherwise(F.when(x > 0, x * F.log(x / m)).otherwise(F.lit(0.0)) + m - x)
+
+
+def _ln_binomial(x: Column, n: Column, p: Column) -> Column:
+    """ln of the binomial probability in saddle-point form (Loader, 2000): full precision at any n."""
+    q = 1.0 - p
+    inside = (
+        _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x.cast("double"), n * p) - _deviance((n - x).cast("double"), n * q)
+        - 0.5 * (F.lit(float(np.log(2 * np.pi))) + F.log(x.cast("double")) + F.log1p(-x / n))
+    )
+    ends = lambda share: F.when(share < 0.1, -_deviance(n.cast("double"), n * (1.0 - share)) - n * share).otherwise(n * F.log(1.0 - share))
+    return F.when(n == 0, 0.0).when(x == 0, ends(p)).when(x == n, ends(q)).otherwise(inside)
 
 
 def fisher_p(k_a: Column, n_a: Column, k_b: Column, n_b: Column) -> Column:
     """Two-sided Fisher exact p of a 2×2 table of counts.
 
-    Tables as likely as the observed one or less are summed over the part of the support
-    within 40 standard deviations of the mean; what lies beyond is below double precision.
+    Tables as likely as the observed one or less are summed. On its own side they start at the
+    observed table; on the other side at the point bisection finds, the probabilities falling away
+    from the mode. Both sums run outward. The probabilities are log-concave, so terms fall at least
+    as fast as they do from the mode, and 40 standard deviations outward from each start, not from
+    the mean, leave nothing a double could show beside the first term.
     """
     hits, total = k_a + k_b, n_a + n_b
+    first, last = F.greatest(F.lit(0).cast("bigint"), hits - n_b), F.least(hits, n_a)
+    mode = F.least(last, F.greatest(first, F.floor((n_a + 1.0) * (hits + 1.0) / (total + 2.0)).cast("bigint")))
+    given = F.struct(
+        k_a.alias("k"), n_a.alias("n_a"), n_b.alias("n_b"), hits.alias("hits"), total.alias("total"), (hits / total).alias("share"),
+        first.alias("first"), last.alias("last"), mode.alias("mode"),
+    )
+    p = _let(given, _both_tails)
+    return F.when((n_a > 0) & (n_b > 0), p)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+
+def _both_tails(g: Column) -> Column:
     def ln_p(x: Column) -> Column:
-        def choose(n: Column, k: Column) -> Column:
-            return _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
-
-        return choose(n_a, x) + choose(n_b, hits - x) - choose(total, hits)
-
-    share = hits / total
-    mean = n_a * share
-    spread = F.sqrt(n_a * share * (1 - share) * n_b / F.greatest(total - 1, F.lit(1)))
-    reach = F.ceil(40.0 * spread) + 1
-    first = F.greatest(F.lit(0), hits - n_b, F.floor(mean - reach).cast("bigint"))
-    last = F.least(hits, n_a, F.ceil(mean + reach).cast("bigint"))
-    seen = ln_p(k_a)
-    terms = F.transform(F.sequence(first.cast("bigint"), last.cast("bigint")), ln_p)
-    p = F.aggregate(
-        terms, F.lit(0.0), lambda acc, t: acc + F.when(t <= seen + 1e-7, F.exp(t)).otherwise(0.0)
-    )
-    return F.when((n_a > 0) & (n_b > 0), F.least(F.lit(1.0), p))
+        return _let(x, lambda v: _ln_binomial(v, g["n_a"], g["share"]) + _ln_binomial(g["hits"] - v, g["n_b"], g["share"])) - certain
+
+    certain = _ln_binomial(g["hits"], g["total"], g["share"])
+    spread = F.sqrt(g["n_a"] * g["share"] * (1 - g["share"]) * g["n_b"] / F.greatest(g["total"] - 1, F.lit(1)))
+    above = g["k"] >= g["mode"]
+    far = F.when(above, g["first"]).otherwise(g["last"])
+    start = F.struct(ln_p(g["k"]).alias("seen"), (F.ceil(40.0 * spread) + 64).cast("bigint").alias("reach"), above.alias("above"), far.alias("far"))
+
+    def tails(b: Column) -> Column:
+        likely = lambda x: ln_p(x) > b["seen"] + 1e-7
+
+        def halve(s: Column, _: Column) -> Column:
+            middle = s["inner"] + F.floor((s["outer"] - s["inner"]) / 2).cast("bigint")
+            step = _let(middle, lambda m: F.when(likely(m), F.struct(m.alias("inner"), s["outer"].alias("outer")))
+                        .otherwise(F.struct(s["inner"].alias("inner"), m.alias("outer"))))
+            return F.when(F.abs(s["outer"] - s["inner"]) <= 1, s).otherwise(step)
+
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(g["mode"].alias("inner"), b["far"].alias("outer")), halve, lambda s: s["outer"])
+        outer = F.when(likely(b["far"]), b["far"] + F.when(b["above"], F.lit(-1)).otherwise(F.lit(1))).otherwise(found)
+
+        def outward(x: Column, up: Column) -> Column:
+            end = F.when(up, F.least(g["last"], x + b["reach"])).otherwise(F.greatest(g["first"], x - b["reach"]))
+            inside = F.when(up, x <= g["last"]).otherwise(x >= g["first"])
+            terms = F.when(inside, F.sequence(x, end)).otherwise(F.array().cast("array<bigint>"))
+            return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.exp(ln_p(t)))
+
+        p = outward(g["k"], b["above"]) + _let(outer.cast("bigint"), lambda x: outward(x, ~b["above"]))
+        # A mode no likelier than the observed table belongs to the sum, and then everything does.
+        everything = ~likely(g["mode"]) | (g["first"] == g["last"])
+        return F.when(everything, F.lit(1.0)).otherwise(F.least(F.lit(1.0), p))
+
+    return _let(start, tails)
 
 
 def matched_band(
@@ -212,7 +267,7 @@ def matched_band(
         *keys, "groups", *flat,
         F.when(two, meets).alias("intervals_overlap"),
         F.when(two & meets, "rates overlap").when(two, "rates separate").alias("reading"),
-        F.when(two, F.round(fisher_p(a["k"], a["n"], b["k"], b["n"]), 5)).alias("fisher_p"),
+        F.when(two, fisher_p(a["k"], a["n"], b["k"], b["n"])).alias("fisher_p"),
     )
 
 
@@ -367,17 +422,17 @@ def within_cluster_tests(df: DataFrame, cluster: str, event: str, conditions: Se
     })
 
 
-def opposed_pairs(correlations: DataFrame, model: str = "model", r: str = "r") -> DataFrame:
-    """Pairs of models whose correlation with one condition has opposite sign.
+def opposed_pairs(correlations: DataFrame, model: str = "model", r: str = "r", condition: str = "condition") -> DataFrame:
+    """Pairs of models whose correlations with the same condition have opposite sign.
 
-    Only models of opposite sign meet: the positive side joins the negative side.
+    Only models of opposite sign meet: the positive side joins the negative side of its condition.
     """
-    up = correlations.where(F.col(r) > 0).select(F.col(model).alias("p"), F.col(r).alias("rp"), F.lit(1).alias("sign"))
-    down = correlations.where(F.col(r) < 0).select(F.col(model).alias("q"), F.col(r).alias("rq"), F.lit(1).alias("sign"))
-    pairs = up.join(down, "sign")
+    up = correlations.where(F.col(r) > 0).select(condition, F.col(model).alias("p"), F.col(r).alias("rp"))
+    down = correlations.where(F.col(r) < 0).select(condition, F.col(model).alias("q"), F.col(r).alias("rq"))
+    pairs = up.join(down, condition)
     first = F.col("p") < F.col("q")
     return pairs.select(
-        F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"),
+        condition, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"),
         F.when(first, F.col("rp")).otherwise(F.col("rq")).alias("r_a"),
         F.when(first, F.col("rq")).otherwise(F.col("rp")).alias("r_b"),
     )

@@ -1,6 +1,7 @@
 """Statistics, gates, reports and planning on small fixed inputs."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -70,13 +71,16 @@ def test_band_open_on_the_outer_side(spark):
 
 def test_fisher_against_enumeration(spark):
     def exact(a, na, b, nb):
-        p = lambda x: math.comb(na, x) * math.comb(nb, a + b - x) / math.comb(na + nb, a + b)
-        return sum(p(x) for x in range(max(0, a + b - nb), min(a + b, na) + 1) if p(x) <= p(a) * (1 + 1e-7))
+        p = lambda x: Fraction(math.comb(na, x) * math.comb(nb, a + b - x), math.comb(na + nb, a + b))
+        return float(sum(p(x) for x in range(max(0, a + b - nb), min(a + b, na) + 1) if p(x) <= p(a) * (1 + Fraction(1, 10**7))))
 
-    cases = [(3, 10, 7, 12), (0, 5, 5, 5), (1, 30, 2, 25), (0, 4, 0, 9), (150, 400, 190, 420)]
+    cases = [
+        (3, 10, 7, 12), (0, 5, 5, 5), (1, 30, 2, 25), (0, 4, 0, 9), (4, 4, 9, 9), (150, 400, 190, 420), (190, 420, 150, 400), (10, 1000, 0, 999_000),
+        (0, 999_000, 10, 1000), (3, 20, 3, 20), (0, 20, 6, 20), (20, 20, 0, 20), (40, 60, 1, 900), (1, 1, 0, 1), (2, 3000, 1, 7),
+    ]
     df = spark.createDataFrame(cases, "ka bigint, na bigint, kb bigint, nb bigint")
     got = [r[0] for r in df.select(stats.fisher_p(F.col("ka"), F.col("na"), F.col("kb"), F.col("nb"))).collect()]
-    assert np.allclose(got, [exact(*c) for c in cases], atol=1e-9)
+    assert np.allclose(got, [exact(*c) for c in cases], rtol=1e-9, atol=0)
 
 
 def test_fisher_on_large_counts(spark):
@@ -274,3 +278,11 @@ def test_rubric_checks(spark):
     out = rubric.score_answers(a, r, ["unavailable"]).first()
     assert out["failed_checks"] == ["states_boundary"] and not out["passed"] and out["mentions_any"] is None
     assert rows(rubric.rubric_rates(rubric.score_answers(a, r, ["unavailable"]))) == [(1, 0, 0.0, 0.0, 1.0)]
+
+
+def test_opposed_pairs_keep_to_one_condition(spark):
+    r = spark.createDataFrame(
+        [("c", "x", 0.5), ("c", "y", -0.2), ("d", "x", 0.1), ("d", "y", 0.3), ("d", "z", None)], "condition string, model string, r double")
+    pairs = stats.opposed_pairs(r)
+    assert [tuple(p) for p in pairs.collect()] == [("c", "x", "y", 0.5, -0.2)]
+    assert "Cartesian" not in pairs._jdf.queryExecution().executedPlan().toString()
