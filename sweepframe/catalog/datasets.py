@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..operators import caching, governance, ranking
+from ..plans.seeded import RANGE, draw_sql
 from .bindings import events, sample_boxes, samples
 from .registry import query, table
 from .statistics import rounded
@@ -75,23 +76,33 @@ def class_distribution(spark, sf):
     return governance.class_counts(sample_boxes(spark, sf))
 
 
-@query()
+@query(f"""WITH g AS (SELECT source AS grp, count(*) AS n, {draw_sql(5, "source")} AS spot FROM documents GROUP BY 1),
+r AS (SELECT *, row_number() OVER w AS place, sum(n) OVER w AS upto FROM g WINDOW w AS (ORDER BY spot, grp ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT sum(CASE WHEN place <= 3 THEN n ELSE 0 END) AS taken, sum(n) AS whole FROM r),
+m AS (SELECT grp, place, (upto - taken - n / 2.0::DOUBLE) / greatest(whole - taken, 1) AS middle FROM r, t)
+SELECT doc_id, grp, CASE WHEN place <= 3 THEN ['train', 'val', 'test'][place] WHEN middle < 0.7::DOUBLE THEN 'train'
+  WHEN middle < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split FROM documents JOIN m ON grp = source""")
 def grouped_split(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("grp"))
     return docs.join(governance.grouped_split(docs, "grp", seed=5), "grp").select("doc_id", "grp", "split")
 
 
-@query()
+@query(f"""SELECT doc_id, CASE WHEN spot < 0.7::DOUBLE THEN 'train' WHEN spot < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split
+FROM (SELECT doc_id, {draw_sql(5, "doc_id")} / {RANGE}::DOUBLE AS spot FROM documents)""")
 def ungrouped_split(spark, sf):
     return governance.hash_split(table(spark, sf, "documents").select("doc_id"), "doc_id", seed=5)
 
 
-@query("""SELECT source AS grp, count(DISTINCT CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END) AS splits
-  FROM documents GROUP BY 1 HAVING count(DISTINCT CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END) > 1""")
+LEAKY = "CASE WHEN doc_id % 30 < 10 THEN 'train' WHEN doc_id % 7 < 5 THEN 'train' WHEN doc_id % 7 = 5 THEN 'val' ELSE 'test' END"
+
+
+@query(f"""SELECT source || '-' || (doc_id % 30) AS grp, count(DISTINCT {LEAKY}) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT {LEAKY}) > 1""")
 def split_leak_check(spark, sf):
-    digit = F.col("doc_id") % 10
+    """Groups that never straddle (a third of them) beside groups that do."""
+    third, digit = F.col("doc_id") % 30, F.col("doc_id") % 7
     docs = table(spark, sf, "documents").select(
-        F.col("source").alias("grp"), F.when(digit < 7, "train").when(digit < 9, "val").otherwise("test").alias("split"))
+        F.concat_ws("-", "source", third.cast("string")).alias("grp"),
+        F.when((third < 10) | (digit < 5), "train").when(digit == 5, "val").otherwise("test").alias("split"))
     return governance.straddling_groups(docs)
 
 

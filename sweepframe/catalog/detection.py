@@ -98,29 +98,62 @@ def map_50_95(spark, sf):
     return detections.coco_map(matched(spark, sf, list(detections.COCO_IOUS)), gt_boxes(spark, sf))
 
 
-@query(BOXES + match_sql([0.5], cls="class_name") + AP_SQL.format(
-    keys="class_name, ", gtj="JOIN (SELECT class_name, count(*) AS g FROM gt GROUP BY 1) USING (class_name)")
-    + f""", t AS (SELECT class_name, count(gid) AS tp, count(*) - count(gid) AS fp FROM mt GROUP BY 1),
-u AS (SELECT *, g - tp AS fn FROM t JOIN (SELECT class_name, count(*) AS g FROM gt GROUP BY 1) USING (class_name))
-SELECT class_name, tp, fp, fn, {PRF}, round(ap, 6) AS ap FROM u JOIN ap USING (class_name)""")
+def per_class_sql(pr: str = "pr", gt: str = "gt") -> str:
+    """Every class of the truths or the predictions, with zeros where one side has none."""
+    return match_sql([0.5], pr=pr, gt=gt, cls="class_name") + AP_SQL.format(
+        keys="class_name, ", gtj=f"JOIN (SELECT class_name, count(*) AS g FROM {gt} GROUP BY 1) USING (class_name)") + f""",
+t AS (SELECT class_name, count(gid) AS tp, count(*) - count(gid) AS fp FROM mt GROUP BY 1),
+g AS (SELECT class_name, count(*) AS g FROM {gt} GROUP BY 1),
+u AS (SELECT k.class_name, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(g, 0) - coalesce(tp, 0) AS fn, coalesce(ap, 0) AS ap
+  FROM (SELECT class_name FROM {pr} UNION SELECT class_name FROM {gt}) k LEFT JOIN t USING (class_name) LEFT JOIN g USING (class_name) LEFT JOIN ap USING (class_name))
+"""
+
+
+@query(BOXES + per_class_sql() + f"SELECT class_name, tp, fp, fn, {PRF}, round(ap, 6) AS ap FROM u")
 def per_class_prf(spark, sf):
     return rounded(_per_class(spark, sf))
 
 
-def _per_class(spark, sf):
+#: A detector that knows one class, truths of both and of a third.
+ONE_SIDED = BOXES + """, p1 AS (SELECT * REPLACE (CASE WHEN line = 4 THEN 'extra' ELSE class_name END AS class_name) FROM pr WHERE class_name <> 'F')"""
+
+
+@query(ONE_SIDED + per_class_sql(pr="p1") + f"SELECT class_name, tp, fp, fn, {PRF}, round(ap, 6) AS ap FROM u")
+def per_class_one_sided(spark, sf):
+    """Classes that only the truths or only the predictions have."""
+    return rounded(_per_class(spark, sf, _one_sided(spark, sf)))
+
+
+@query(ONE_SIDED + per_class_sql(pr="p1") + f"""SELECT round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1, round(avg(ap), 4) AS ap
+  FROM (SELECT {PRF}, ap FROM u)""")
+def macro_average_one_sided(spark, sf):
+    return detections.macro_average(_per_class(spark, sf, _one_sided(spark, sf)))
+
+
+def _one_sided(spark, sf):
+    extra = F.when(F.col("line") == 4, "extra").otherwise(F.col("class_name"))
+    return predictions(spark, sf).where(F.col("class_name") != "F").withColumn("class_name", extra)
+
+
+@query(BOXES + """SELECT round(thr, 6) AS iou_threshold, 0 AS tp, 0 AS fp, (SELECT count(*) FROM gt) AS fn, 0.0::DOUBLE AS ap FROM (VALUES (0.5::DOUBLE), (0.75::DOUBLE)) t(thr)""")
+def silent_detector(spark, sf):
+    """No prediction reaches the detector's own threshold: misses, not an empty report."""
+    truths = gt_boxes(spark, sf)
+    m = matching.greedy_match(predictions(spark, sf).where(F.col("score") > 1000), truths, iou_threshold=[0.5, 0.75])
+    totals = detections.match_totals(m, truths, iou_thresholds=[0.5, 0.75]).select("iou_threshold", "tp", "fp", "fn")
+    return rounded(totals.join(detections.average_precision(m, truths, iou_thresholds=[0.5, 0.75]), "iou_threshold"))
+
+
+def _per_class(spark, sf, preds=None):
     keys = ["image", "class_name"]
     truths = gt_boxes(spark, sf)
-    m = matching.greedy_match(predictions(spark, sf), truths, keys)
+    m = matching.greedy_match(predictions(spark, sf) if preds is None else preds, truths, keys)
     totals = detections.match_totals(m, truths, ["class_name"])
     return totals.join(detections.average_precision(m, truths, ["class_name"]), ["class_name", "iou_threshold"]).drop("iou_threshold")
 
 
-@query(BOXES + match_sql([0.5], cls="class_name") + AP_SQL.format(
-    keys="class_name, ", gtj="JOIN (SELECT class_name, count(*) AS g FROM gt GROUP BY 1) USING (class_name)")
-    + """, t AS (SELECT class_name, count(gid) AS tp, count(*) AS np FROM mt GROUP BY 1),
-u AS (SELECT tp / np::DOUBLE AS p, tp / g::DOUBLE AS r, 2.0 * tp / (np + g) AS f, ap FROM t
-  JOIN (SELECT class_name, count(*) AS g FROM gt GROUP BY 1) USING (class_name) JOIN ap USING (class_name))
-SELECT round(avg(p), 4) AS precision, round(avg(r), 4) AS recall, round(avg(f), 4) AS f1, round(avg(ap), 4) AS ap FROM u""")
+@query(BOXES + per_class_sql() + f"""SELECT round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1, round(avg(ap), 4) AS ap
+  FROM (SELECT {PRF}, ap FROM u)""")
 def macro_average(spark, sf):
     return detections.macro_average(_per_class(spark, sf))
 
@@ -256,6 +289,17 @@ def ensemble_prf(spark, sf):
     return rounded(detections.match_totals(m, truths, ["variant"]).drop("iou_threshold"))
 
 
+@query(ENSEMBLE + ", v3 AS (SELECT * FROM va WHERE variant <> 'agree'), vg AS (SELECT v.variant, gt.* FROM gt, (VALUES ('det'), ('seg'), ('union'), ('agree')) v(variant))"
+       + match_sql([0.3], pr="v3", gt="vg", cls="variant") + f"""SELECT variant, tp, fp, g - tp AS fn, {PRF.replace('fn', '(g - tp)')} FROM (
+  SELECT k.variant, count(gid) AS tp, count(pid) - count(gid) AS fp, (SELECT count(*) FROM gt) AS g
+  FROM (VALUES ('det'), ('seg'), ('union'), ('agree')) k(variant) LEFT JOIN mt USING (variant) GROUP BY k.variant)""")
+def ensemble_empty_variant(spark, sf):
+    """A variant that reports nothing keeps its row."""
+    truths = gt_boxes(spark, sf).withColumn("variant", F.explode(F.array(*[F.lit(m) for m in MODES])))
+    m = matching.greedy_match(_variants(spark, sf).where(F.col("variant") != "agree"), truths, ["image", "variant"], iou_threshold=0.3)
+    return rounded(detections.match_totals(m, truths, ["variant"]).drop("iou_threshold"))
+
+
 METHOD = BOXES + """, mp AS (SELECT CASE WHEN line % 2 = 1 THEN 'odd' ELSE 'even' END AS method, * FROM pr),
 mg AS (SELECT v.method, gt.* FROM gt, (VALUES ('odd'), ('even')) v(method))
 """

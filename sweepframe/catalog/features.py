@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import mean_of
 from ..operators import detections, vectors
+from ..plans.seeded import draw_sql
 from .registry import query, table
 from .statistics import rounded
 
@@ -92,7 +93,7 @@ def ood_calibrate_flag(spark, sf):
         F.avg("score").alias("mean_score")).withColumn("threshold", threshold.scalar()))
 
 
-@query()
+@query(f"SELECT vec_id, label FROM embeddings ORDER BY {draw_sql(3, 'vec_id')}, vec_id LIMIT 64")
 def random_bank(spark, sf):
     return vectors.random_bank(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", 64, seed=3)
 

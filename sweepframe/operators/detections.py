@@ -34,13 +34,38 @@ def unscored_images(predictions: DataFrame, images: DataFrame, image: str = "ima
     return predictions.select(image).distinct().join(images.select(image), image, "left_anti")
 
 
-def match_totals(matches: DataFrame, truths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """``tp, fp, fn, precision, recall, f1`` per IoU threshold and ``keys`` (both tables carry them)."""
+def _levels(matches: DataFrame, iou_thresholds: Sequence[float] | None) -> Column:
+    """The IoU thresholds reported on: those given, else those met, else 0.5."""
+    if iou_thresholds is not None:
+        return F.array(*[F.lit(float(t)) for t in iou_thresholds])
+    met = matches.agg(F.collect_set("iou_threshold").alias("t")).select(
+        F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit(0.5)))).scalar()
+    return met
+
+
+def _reported(matches: DataFrame, truths: DataFrame, keys: list[str], iou_thresholds: Sequence[float] | None) -> DataFrame:
+    """Every key that has a truth or a prediction, at every IoU threshold: what a report has rows for."""
+    if keys:
+        base = matches.select(*keys).unionByName(truths.select(*keys)).distinct()
+    else:
+        base = matches.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    return base.withColumn("iou_threshold", F.explode(_levels(matches, iou_thresholds))).drop("_one")
+
+
+def match_totals(
+    matches: DataFrame, truths: DataFrame, keys: Sequence[str] = (), iou_thresholds: Sequence[float] | None = None
+) -> DataFrame:
+    """``tp, fp, fn, precision, recall, f1`` per IoU threshold and ``keys`` (both tables carry them).
+
+    A key without predictions has a row of misses, one without truths a row of false alarms; without
+    keys there is always a row.
+    """
     keys = list(keys)
     hits = matches.groupBy(*keys, "iou_threshold").agg(
         F.count("gt_id").alias("tp"), F.count_if(F.col("gt_id").isNull()).alias("fp")
     )
-    return _with_truth_counts(hits, truths, keys)
+    rows = _reported(matches, truths, keys, iou_thresholds)
+    return _with_truth_counts(rows.join(hits, [*keys, "iou_threshold"], "left").fillna(0, ["tp", "fp"]), truths, keys)
 
 
 def _with_truth_counts(hits: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,9 +90,10 @@ def per_image(matches: DataFrame, truths: DataFrame, images: DataFrame, image: s
 
 
 def confidence_sweep(
-    matches: DataFrame, truths: DataFrame, thresholds: Sequence[float] = CONF_SWEEP, keys: Sequence[str] = ()
+    matches: DataFrame, truths: DataFrame, thresholds: Sequence[float] = CONF_SWEEP, keys: Sequence[str] = (),
+    iou_thresholds: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Precision, recall and F1 at every confidence, from one match.
+    """Precision, recall and F1 at every confidence, from one match; rows as in :func:`match_totals`.
 
     Predictions are counted by the number of thresholds they reach; only those counts are
     spread over the thresholds.
@@ -85,7 +111,8 @@ def confidence_sweep(
         F.coalesce(F.sum(F.when(in_, F.col("_tp"))), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.when(in_, F.col("_fp"))), F.lit(0)).alias("fp"),
     )
-    return _with_truth_counts(hits, truths, keys)
+    rows = _reported(matches, truths, keys, iou_thresholds).withColumn("conf", F.explode(F.array(*[F.lit(t) for t in levels])))
+    return _with_truth_counts(rows.join(hits, [*keys, "iou_threshold", "conf"], "left").fillna(0, ["tp", "fp"]), truths, keys)
 
 
 def best_f1(sweep: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -116,8 +143,10 @@ def pr_curve(matches: DataFrame, truths: DataFrame, keys: Sequence[str] = ()) ->
     }).drop("_hit")
 
 
-def average_precision(matches: DataFrame, truths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """101-point interpolated AP per IoU threshold and key; 0 without ground truth.
+def average_precision(
+    matches: DataFrame, truths: DataFrame, keys: Sequence[str] = (), iou_thresholds: Sequence[float] | None = None
+) -> DataFrame:
+    """101-point interpolated AP per IoU threshold and key; 0 without ground truth or predictions.
 
     A curve point counts for every recall level up to its own. The best precision is first
     taken per highest level reached, at most 101 rows, and those rows are then folded down.
@@ -134,12 +163,13 @@ def average_precision(matches: DataFrame, truths: DataFrame, keys: Sequence[str]
         F.array_max(F.transform(F.filter("_points", lambda p: p["_level"] >= i), lambda p: p["_p"])), F.lit(0.0)
     )
     total = F.aggregate(F.sequence(F.lit(0), F.lit(100)), F.lit(0.0), lambda acc, i: acc + height(i))
-    return best.groupBy(*keys).agg(points.alias("_points")).select(*keys, (total / 101.0).alias("ap"))
+    found = best.groupBy(*keys).agg(points.alias("_points")).select(*keys, (total / 101.0).alias("ap"))
+    return _reported(matches, truths, keys[:-1], iou_thresholds).join(found, keys, "left").fillna(0.0, ["ap"])
 
 
 def coco_map(matches: DataFrame, truths: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean AP over .50:.95, with the .50 and .75 values."""
-    ap = average_precision(matches, truths, keys)
+    ap = average_precision(matches, truths, keys, COCO_IOUS)
     at = lambda t: F.coalesce(F.max(F.when(F.col("iou_threshold") == t, F.col("ap"))), F.lit(0.0))
     return ap.groupBy(*keys).agg(
         F.round(F.sum("ap") / F.lit(len(COCO_IOUS)), 4).alias("map_50_95"),
@@ -227,10 +257,10 @@ def auroc(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> Da
     tally = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(
         *keys, F.col(score).alias("_s")).agg(pos.alias("_pos"), (F.count(F.lit(1)) - pos).alias("_neg"))
     ranked = ordered_columns(tally, keys, ["_s"], sums={"_below": F.col("_neg")})
-    wins = F.sum(F.col("_pos") * (F.col("_below") - F.col("_neg") + F.col("_neg") / 2.0))
+    wins = F.sum(F.col("_pos").cast("double") * (F.col("_below") - F.col("_neg") + F.col("_neg") / 2.0))
     return ranked.groupBy(*keys).agg(
         F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"),
-        F.try_divide(wins, F.sum("_pos") * F.sum("_neg")).alias("auroc"),
+        F.try_divide(wins, F.sum("_pos").cast("double") * F.sum("_neg").cast("double")).alias("auroc"),
     )
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import group_limit
+from ..plans import ordered_columns, pin
+from ..plans.seeded import RANGE, draw
 from .ranking import top_per_group
 
 # Bounds of the audit and the split ratios.
@@ -122,51 +122,39 @@ def grouped_split(
 ) -> DataFrame:
     """``group, split``: whole groups stay together; join it back on the group.
 
-    Groups go from large to small, ties in seeded order. Every wanted split first gets one
-    group (train the largest, the others one from the middle), then each group goes where
-    most rows are missing. That ordered walk covers as many of the largest groups as one
-    task should hold; any smaller groups beyond fill the remaining need by seeded hash.
+    Groups stand on a line in the order of a seeded hash (md5, which any engine can repeat). The
+    first of them go to the wanted splits, one each, so no wanted split is empty while there are
+    groups. The others go where the middle of their rows falls when the line of their rows is cut by
+    the ratios. The definition doesn't depend on how many groups there are, and no task or driver
+    holds them all.
     """
     _check(ratios)
+    wanted = [i for i, r in enumerate(ratios) if r > 0]
     units = samples.groupBy(F.col(group).cast("string").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
-    shuffled = F.xxhash64(F.lit(seed), "grp")
-    limit = group_limit(samples.sparkSession)
-    n_groups, total = units.agg(F.count(F.lit(1)), F.sum("n")).first()
-    want = [r * (total or 0) for r in ratios]
-    head = units.orderBy(F.col("n").desc(), shuffled, "grp").limit(limit)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order = pd.concat(list(batches), ignore_index=True).sort_values(["n", "key", "grp"], ascending=[False, True, True])
-        names, sizes = order["grp"].tolist(), order["n"].tolist()
-        have, where = [0.0] * len(SPLITS), {}
-        left = list(range(len(names)))
-        for s in range(len(SPLITS)):
-            if want[s] > 0 and left:
-                i = left.pop(0 if s == 0 else len(left) // 2)
-                where[i], have[s] = s, have[s] + sizes[i]
-        for i in left:
-            s = max(range(len(SPLITS)), key=lambda k: want[k] - have[k])
-            where[i], have[s] = s, have[s] + sizes[i]
-        yield pd.DataFrame({"grp": names, "n": sizes, "split": [SPLITS[where[i]] for i in range(len(names))]})
-
-    walked = head.withColumn("key", shuffled).repartition(1).mapInPandas(walk, "grp string, n bigint, split string")
-    if n_groups <= limit:
-        return walked.select(F.col("grp").alias(group), "split")
-
-    from ..plans import pin
-
-    walked = pin(walked)
-    got = {r["split"]: r["n"] for r in walked.groupBy("split").agg(F.sum("n").alias("n")).collect()}
-    need = [max(0.0, w - got.get(s, 0)) for s, w in zip(SPLITS, want)]
-    tail = units.join(walked, "grp", "left_anti")
-    spread = hash_split(tail, "grp", [x / sum(need) for x in need], seed)
-    return walked.select("grp", "split").unionByName(spread.select("grp", "split")).withColumnRenamed("grp", group)
+    units = pin(units.withColumns({"line": F.lit(1), "spot": draw(seed, "grp")}))
+    ranked = ordered_columns(units, ["line"], ["spot", "grp"], sums={"place": F.lit(1).cast("bigint"), "rows": F.col("n")})
+    founders = len(wanted)
+    ranked = pin(ranked)
+    first = F.col("place") <= founders
+    taken = ranked.where(first).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar()
+    whole = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).scalar()
+    middle = (F.col("rows") - taken - F.col("n") / 2.0) / F.greatest(whole - taken, F.lit(1))
+    edges, total = [], 0.0
+    for i in wanted:
+        total += ratios[i]
+        edges.append(total)
+    founder, other = F.lit(SPLITS[wanted[-1]]), F.lit(SPLITS[wanted[-1]])
+    for no, (i, edge) in reversed(list(enumerate(zip(wanted, edges), 1))):
+        founder = F.when(F.col("place") == no, SPLITS[i]).otherwise(founder)
+        if no < founders:
+            other = F.when(middle < edge, SPLITS[i]).otherwise(other)
+    return ranked.select(F.col("grp").alias(group), F.when(first, founder).otherwise(other).alias("split"))
 
 
 def hash_split(rows: DataFrame, unit: str, ratios: Sequence[float] = RATIOS, seed: int = 0) -> DataFrame:
     """Adds ``split`` by seeded hash of a unit: the ungrouped split, no shuffle at all."""
     _check(ratios)
-    spot = F.pmod(F.xxhash64(F.lit(seed), F.col(unit).cast("string")), F.lit(1_000_000)) / 1_000_000.0
+    spot = draw(seed, unit) / float(RANGE)
     split = F.when(spot < ratios[0], SPLITS[0]).when(spot < ratios[0] + ratios[1], SPLITS[1]).otherwise(SPLITS[2])
     return rows.withColumn("split", split)
 

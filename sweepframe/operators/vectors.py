@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..plans import group_quantiles
+from ..plans.seeded import draw
 
 BANK_ROWS = 50_000
 BANK_CONF = "spark.sweepframe.bankRows"
@@ -82,7 +83,7 @@ def distance_threshold(scored: DataFrame, distance: str = "distance", percentile
 
 def random_bank(features: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
     """``size`` rows drawn by seeded hash of their key: a sampling operator, the same rows every time."""
-    return features.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size)
+    return features.orderBy(draw(seed, key), key).limit(size)
 
 
 def _farthest(ids: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
@@ -94,28 +95,25 @@ def _farthest(ids: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def kcenter_bank(features: DataFrame, key: str, vector: str, size: int, seed: int = 0, group_rows: int = 50_000) -> DataFrame:
-    """Diverse bank by farthest-point picks: inside hash groups of bounded size, then over the picks.
+def kcenter_bank(features: DataFrame, key: str, vector: str, size: int, seed: int = 0, groups: int = 64) -> DataFrame:
+    """Diverse bank by farthest-point picks: inside ``groups`` hash groups, then over their picks.
 
-    Composable coreset (constant-factor guarantee), repeated while the picks of one round do
-    not fit one group. The result is not the row-by-row pick of the sequential algorithm.
+    Composable coreset with a constant-factor guarantee; not the row-by-row pick of the sequential
+    algorithm. ``groups`` is part of the definition, never derived from the data: a task holds
+    about ``rows / groups`` vectors in the first step and ``groups * size`` in the second, so choose it
+    near the square root of ``rows / size``.
     """
-    picked = features.select(key, vector)
-    shape = picked.schema
+    chosen = features.select(key, vector)
+    shape = chosen.schema
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(key)  # ties in distance go to the smaller key, however rows arrive
         x = np.stack(group[vector].to_numpy()).astype(float)
         return group.iloc[_farthest(group[key].to_numpy(), x, size)][[key, vector]]
 
-    rows = picked.count()
-    step = 0
-    while True:
-        groups = max(1, math.ceil(rows / max(group_rows, 2 * size)))
-        bucket = F.pmod(F.xxhash64(F.lit(seed + step), key), F.lit(groups))
-        picked = picked.withColumn("_g", bucket).groupBy("_g").applyInPandas(lambda g: pick(g), shape)
-        if groups == 1:
-            return picked
-        rows, step = groups * size, step + 1
+    for count in (groups, 1):
+        chosen = chosen.withColumn("_g", F.pmod(draw(seed, key), F.lit(count))).groupBy("_g").applyInPandas(lambda g: pick(g), shape)
+    return chosen
 
 
 def nearest_in_bank(features: DataFrame, bank: DataFrame, key: str, vector: str, out: str = "distance") -> DataFrame:

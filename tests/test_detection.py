@@ -168,3 +168,37 @@ def test_unscored(spark):
     images = spark.createDataFrame([("x",)], "image string")
     assert rows(detections.unscored_images(p, images)) == [("y",)]
     assert detections.scored(p, images).select(F.col("image")).first()[0] == "x"
+
+
+def test_reports_without_predictions_or_truths(spark):
+    """Zeros, not missing rows, for whatever one side lacks."""
+    shape = "image string, class_name string, box_id bigint, x1 double, y1 double, x2 double, y2 double, score double"
+    box = lambda image, cls, no: (image, cls, no, 0.0, 0.0, 10.0, 10.0, 0.9)
+    truths = spark.createDataFrame([box("i", "a", 1), box("i", "b", 2), box("j", "b", 3)], shape)
+    preds = spark.createDataFrame([box("i", "a", 7), box("j", "c", 8)], shape)
+    none = preds.limit(0)
+
+    m = matching.greedy_match(preds, truths, ["image", "class_name"])
+    got = {r["class_name"]: (r["tp"], r["fp"], r["fn"]) for r in detections.match_totals(m, truths, ["class_name"]).collect()}
+    assert got == {"a": (1, 0, 0), "b": (0, 0, 2), "c": (0, 1, 0)}
+    ap = {r["class_name"]: r["ap"] for r in detections.average_precision(m, truths, ["class_name"]).collect()}
+    assert ap["b"] == ap["c"] == 0.0 and abs(ap["a"] - 1.0) < 1e-9
+    sweep = detections.confidence_sweep(m, truths, [0.5, 0.95], ["class_name"]).collect()
+    assert len(sweep) == 6 and {(r["tp"], r["fn"]) for r in sweep if r["class_name"] == "b"} == {(0, 2)}
+
+    silent = matching.greedy_match(none, truths)
+    assert [(r["tp"], r["fp"], r["fn"], r["recall"]) for r in detections.match_totals(silent, truths).collect()] == [(0, 0, 3, 0.0)]
+    assert len(detections.confidence_sweep(silent, truths, [0.3, 0.6]).collect()) == 2
+    assert tuple(detections.coco_map(silent, truths).first()) == (0.0, 0.0, 0.0)
+
+    clean = matching.greedy_match(preds, truths.limit(0))
+    assert [(r["tp"], r["fp"], r["fn"]) for r in detections.match_totals(clean, truths.limit(0)).collect()] == [(0, 2, 0)]
+    assert [r["ap"] for r in detections.average_precision(clean, truths.limit(0)).collect()] == [0.0]
+
+
+def test_auroc_of_large_counts(spark):
+    """Products of counts beyond 64 bits stay numbers."""
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(0.5, 1), (0.5, 0)], T.StructType([T.StructField("s", T.DoubleType()), T.StructField("y", T.IntegerType())]))
+    assert detections.auroc(df, "s", "y").first()["auroc"] == 0.5
