@@ -50,6 +50,7 @@ def _texts(*reasons: Column) -> Column:
     return F.filter(F.array(*reasons), lambda r: r.isNotNull())
 
 
+# The sentences below are outputs that must match the published ones word for word.
 def _sentence(template: str, *args: Column | float) -> Column:
     return F.format_string(template, *[a if isinstance(a, Column) else F.lit(float(a)) for a in args])
 
@@ -282,7 +283,7 @@ def release_measure(scores: DataFrame, conf: float = 0.25, keys: Sequence[str] =
 
 
 def choose_threshold(sweep: DataFrame, target: float = 0.05, keys: Sequence[str] = ()) -> DataFrame:
-    """Lowest threshold whose false-alarm rate is measured and within the target."""
+    """Per key, the smallest confidence at which false alarms were counted and stay at or below ``target``."""
     feasible = F.col("false_alarm_rate") <= target
     pick = F.min_by(
         F.struct("conf", "false_alarm_rate", "recall", "precision"), F.when(feasible, F.col("conf"))

@@ -22,6 +22,7 @@ def pen_geometry(pens: DataFrame) -> tuple[DataFrame, DataFrame]:
         filled = filled.withColumn(name, F.coalesce(have, F.lit(value)))
     cw = F.col("clockwise") if "clockwise" in pens.columns else F.lit(None).cast("boolean")
     filled = filled.withColumn("clockwise", F.coalesce(cw, F.lit(True)))
+    # The sentences below are outputs that must match the published ones word for word.
     problem = (
         F.when(F.col("circumference_m") <= 0, "circumference must be positive")
         .when((F.col("cylinder_depth_m") < 0) | (F.col("cone_depth_m") < 0), "depths must be non-negative")

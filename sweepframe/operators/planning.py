@@ -21,6 +21,7 @@ RANKS = ("good", "marginal", "poor", "unknown")
 
 
 # Forecast --------------------------------------------------------------------------------
+# The sentences below are outputs that must match the published ones word for word.
 
 
 def rate_hours(forecast: DataFrame) -> DataFrame:
@@ -88,20 +89,29 @@ def thermal_state(rows: DataFrame, weight: str = "weight_g", temperature: str =
     return rows.withColumns({"thermal_optimum_c": optimum, "delta_c": delta, "state": state})
 
 
+def _warmth(temperature: str) -> Column:
+    """Degrees above zero. A missing temperature is unknown, not zero: it adds nothing and shows as NULL."""
+    return F.when(F.col(temperature).isNotNull(), F.greatest(F.col(temperature), F.lit(0.0)))
+
+
 def degree_days(temps: DataFrame, keys: Sequence[str], temperature: str = "temperature_c", days_per_step: float = 1.0) -> DataFrame:
-    return temps.groupBy(*keys).agg(
-        (F.sum(F.greatest(F.col(temperature), F.lit(0.0))) * days_per_step).alias("degree_days"))
+    """Degree days of the steps that were measured; NULL for a cohort without any measurement."""
+    return temps.groupBy(*keys).agg((F.sum(_warmth(temperature)) * days_per_step).alias("degree_days"))
 
 
 def tgc_growth(
     temps: DataFrame, keys: Sequence[str], order: Sequence[str], *, initial: str = "initial_weight_g",
     temperature: str = "temperature_c", tgc: float = 2.0, days_per_step: float = 1.0,
 ) -> DataFrame:
-    """Weight after every step by the thermal growth coefficient: a running sum under a cube."""
-    step = F.greatest(F.col(temperature), F.lit(0.0)) * F.lit(tgc / 1000.0 * days_per_step)
-    summed = ordered_columns(temps, keys, order, sums={"_grown": step})
+    """Weight after every step by the thermal growth coefficient: a running sum under a cube.
+
+    A step without a temperature has no weight; the next step goes on from the last known one.
+    """
+    step = _warmth(temperature) * F.lit(tgc / 1000.0 * days_per_step)
+    summed = ordered_columns(temps, keys, order, sums={"_grown": F.coalesce(step, F.lit(0.0))})
     start = F.when(F.col(initial) <= 0, F.raise_error(F.lit("initial weight must be positive"))).otherwise(F.cbrt(initial))
-    return summed.withColumn("weight_g", F.pow(start + F.col("_grown"), F.lit(3.0))).drop("_grown")
+    weight = F.when(F.col(temperature).isNotNull(), F.pow(start + F.col("_grown"), F.lit(3.0)))
+    return summed.withColumn("weight_g", weight).drop("_grown")
 
 
 def tgc_growth_corrected(
@@ -112,7 +122,7 @@ def tgc_growth_corrected(
 
     The optimum depends on the weight just reached, so a cohort is a true recurrence. Rows are
     shuffled by cohort, sorted, and streamed through the task with one number of state per
-    cohort; no cohort is ever held.
+    cohort; no cohort is ever held. Missing temperatures are treated as in :func:`tgc_growth`.
     """
     import math
 
@@ -133,11 +143,14 @@ def tgc_growth_corrected(
                     key, weight = row[:nk], float(row[-1])
                     if weight <= 0:
                         raise ValueError("initial weight must be positive")
+                if row[-2] is None or row[-2] != row[-2]:
+                    out.append(None)
+                    continue
                 t = float(row[-2])
                 gain = max(0.0, 1.0 - abs(t - (OPTIMUM_A - OPTIMUM_B * math.log(weight))) / FALLOFF_C)
                 weight = (weight ** (1 / 3) + tgc / 1000.0 * max(0.0, t) * gain * days_per_step) ** 3
                 out.append(weight)
-            yield batch.assign(weight_g=out)
+            yield batch.assign(weight_g=pd.Series(out, index=batch.index, dtype="float64"))
 
     return rows.mapInPandas(grow, shape)
 
@@ -155,7 +168,7 @@ def site_flags(sites: DataFrame) -> DataFrame:
 
 
 def by_operator(sites: DataFrame, name: str) -> DataFrame:
-    """Sites whose operator field contains a name, whatever the case."""
+    """Rows of ``sites`` in whose operators ``name`` occurs; letter case and outer blanks don't count."""
     return sites.where(F.contains(F.lower("operators"), F.lit(name.strip().lower())))
 
 

@@ -240,6 +240,7 @@ def _facing(outline: DataFrame, keys: list[str], offsets: list[tuple[int, int]],
 
 
 def site_evidence(sightings: Column) -> Column:
+    # The sentences below are outputs that must match the published ones word for word.
     return (
         F.when(sightings >= 10, "strong — seen from many viewpoints")
         .when(sightings >= 3, "moderate — seen in several frames").otherwise("weak — one or two frames only")

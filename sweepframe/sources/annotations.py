@@ -48,6 +48,7 @@ def parse_label_lines(lines: DataFrame) -> DataFrame:
     kind = F.when(broken, None).when(count == 4, "detection").when((count >= 6) & (count % 2 == 0), "segmentation")
     outside = F.exists("coords", lambda v: (v < 0) | (v > 1))
     where = F.concat(F.substring_index("path", "/", -1), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "))
+    # The sentences below are outputs that must match the published ones word for word.
     error = (
         F.when(broken, F.concat(where, F.lit("non-numeric token")))
         .when(kind.isNull(), F.concat(where, F.lit("expected 4 (box) or even>=6 (polygon) coords, got "), count.cast("string")))

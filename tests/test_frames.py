@@ -286,3 +286,16 @@ def test_opposed_pairs_keep_to_one_condition(spark):
     pairs = stats.opposed_pairs(r)
     assert [tuple(p) for p in pairs.collect()] == [("c", "x", "y", 0.5, -0.2)]
     assert "Cartesian" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_missing_temperatures_are_unknown(spark):
+    t = spark.createDataFrame(
+        [("a", 1, 10.0, 100.0), ("a", 2, None, 100.0), ("a", 3, 12.0, 100.0), ("b", 1, None, 50.0)],
+        "cohort string, step int, temperature_c double, initial_weight_g double")
+    assert {r["cohort"]: r["degree_days"] for r in planning.degree_days(t, ["cohort"]).collect()} == {"a": 22.0, "b": None}
+    without = t.where("temperature_c IS NOT NULL")
+    for grow in (planning.tgc_growth, planning.tgc_growth_corrected):
+        got = {(r["cohort"], r["step"]): r["weight_g"] for r in grow(t, ["cohort"], ["step"]).collect()}
+        assert got[("a", 2)] is None and got[("b", 1)] is None
+        want = {(r["cohort"], r["step"]): r["weight_g"] for r in grow(without, ["cohort"], ["step"]).collect()}
+        assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
