@@ -101,23 +101,24 @@ def scan(batches, length: int):
 
 
 def phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``file, row, doc_id, text, runs`` for every row; runs are ``(start, windows)`` of word windows that also
+    """``file, row, doc_id, packed, runs`` for every row, ``packed`` the compressed text; runs are ``(start, windows)`` of word windows that also
     start in a row with a smaller identifier, null for none. A null identifier counts as the largest."""
     units = WordUnits(length)
     rows = regions.numbered(docs, doc_id, text)
+    texts = regions.packed(rows)
     ranked = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
     found = regions.repeated(ranked, units).where("later")
 
     whole = found.where("doc_id > least").select("file", "row", F.explode("starts").alias("start"), "windows")
     heads = found.where("head and not alone")
-    few = regions.cut_out(rows, heads.where(F.col("size") <= regions.LARGE), units)
+    few = regions.cut_out(texts, heads.where(F.col("size") <= regions.LARGE), units)
     least = heads.select("anchor", "content", "least")
     met = few.join(least, ["anchor", "content"]).select("anchor", "content", "windows", "data", "least")
     met = met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         lambda batches: scan(batches, length), "anchor bigint, content bigint, first int, n int")
     large = heads.where(F.col("size") > regions.LARGE)
     if not large.isEmpty():
-        single = regions.cut_out(rows, large, units, single=True)
+        single = regions.cut_out(texts, large, units, single=True)
         single = store(single.join(least, ["anchor", "content"]), "windows")
         first = single.groupBy("key", "check").agg(F.min("least").alias("owner"))
         hits = single.join(first, ["key", "check"]).where("owner < least")
@@ -126,7 +127,7 @@ def phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     located = met.join(firsts, ["anchor", "content"]).select("file", "row", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("windows"))
     out = whole.unionByName(located)
     per_text = out.groupBy("file", "row").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    return rows.join(per_text, ["file", "row"], "left")
+    return texts.join(per_text, ["file", "row"], "left")
 
 
 def phrase_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -146,7 +147,7 @@ def phrase_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                 few = batch.slice(lo, 64)
                 sizes, removed, spans, kept = [], [], [], []
                 for value, runs in zip(few.column(1), few.column(2)):
-                    words = (value.as_py() or "").encode().split()
+                    words = regions.unpacked(value.as_py()).split()
                     cut = regions.covered([(r["start"], r["windows"]) for r in runs.as_py() or ()], length)
                     left, at = [], 0
                     for a, b in cut:
@@ -162,7 +163,7 @@ def phrase_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())],
                     names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    return phrases(docs, doc_id, text, length).select("doc_id", "text", "runs").mapInArrow(remove, schema)
+    return phrases(docs, doc_id, text, length).select("doc_id", "packed", "runs").mapInArrow(remove, schema)
 
 
 def op8_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,9 @@ from .common import AT, located, store
 BLOCK = 1 << 19
 SKETCH_BITS = 16
 HOT_SHARE = 4096
-#: Rows of one anchor whose texts a task compares together; beyond, windows are compared one by one.
-LARGE = 1000
+#: Rows of one anchor whose texts a task compares together: about 2.5 MB of text, 300 MB of working
+#: memory. Beyond, windows are compared one by one.
+LARGE = 4000
 _PLACE = np.uint64((1 << 21) - 1)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -59,9 +61,9 @@ class ByteUnits:
     def __init__(self, length: int):
         self.length = length
 
-    def read(self, text: str | None) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
+    def read(self, text: str | bytes | None) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
         """The text's units, and a function that cuts ``windows`` windows from ``start``."""
-        data = (text or "").encode()
+        data = text if isinstance(text, bytes) else (text or "").encode()
         return np.frombuffer(data, np.uint8), lambda start, windows: data[start:start + windows - 1 + self.length]
 
     def grams(self, units: np.ndarray) -> np.ndarray:
@@ -83,8 +85,8 @@ class WordUnits:
     def __init__(self, length: int):
         self.length = length
 
-    def read(self, text: str | None) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
-        words = (text or "").encode().split()
+    def read(self, text: str | bytes | None) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
+        words = (text if isinstance(text, bytes) else (text or "").encode()).split()
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         return hashes, lambda start, windows: b" ".join(words[start:start + windows - 1 + self.length])
 
@@ -139,6 +141,25 @@ def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select(F.xxhash64(f"{AT}.file").alias("file"), F.col(f"{AT}.row").alias("row"), "doc_id", "text")
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with their text compressed, as ``packed``: what is shuffled is less than half as large."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                few = batch.slice(lo, 128)
+                texts = [squeeze((v.as_py() or "").encode()) for v in few.column(3)]
+                yield pa.RecordBatch.from_arrays([*few.columns[:3], pa.array(texts, pa.binary())], names=["file", "row", "doc_id", "packed"])
+
+    return rows.mapInArrow(pack, f"file bigint, row bigint, doc_id {kind}, packed binary")
+
+
+def unpacked(value: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(value) if value else b""
+
+
 def region_rows(rows: DataFrame, units) -> DataFrame:
     """``anchor, content, file, row, doc_id, starts, windows``: a row for each different region of a text.
 
@@ -219,7 +240,7 @@ def repeated(rows: DataFrame, units) -> DataFrame:
     return found.unionByName(store(common.select(*found.columns), "regions"))
 
 
-def cut_out(rows: DataFrame, wanted: DataFrame, units, single: bool = False) -> DataFrame:
+def cut_out(texts: DataFrame, wanted: DataFrame, units, single: bool = False) -> DataFrame:
     """``anchor, content, windows, data``: the bytes of the regions ``wanted``.
 
     With ``single``, ``anchor, content, part, key, check`` instead: a hash of 128 bits of each window
@@ -233,15 +254,15 @@ def cut_out(rows: DataFrame, wanted: DataFrame, units, single: bool = False) ->
                 few = batch.slice(lo, 16)
                 cols = [[] for _ in range(5 if single else 4)]
                 for value, spots in zip(few.column(0), few.column(1)):
-                    _, cut = units.read(value.as_py())
+                    _, cut = units.read(unpacked(value.as_py()))
                     for s in spots.as_py():
                         if single:
-                            texts = [cut(s["start"] + p, 1) for p in range(s["windows"])]
-                            cols[0] += [s["anchor"]] * len(texts)
-                            cols[1] += [s["content"]] * len(texts)
-                            cols[2] += range(len(texts))
-                            cols[3] += [xxhash.xxh64_intdigest(t, 1) - (1 << 63) for t in texts]
-                            cols[4] += [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
+                            parts = [cut(s["start"] + p, 1) for p in range(s["windows"])]
+                            cols[0] += [s["anchor"]] * len(parts)
+                            cols[1] += [s["content"]] * len(parts)
+                            cols[2] += range(len(parts))
+                            cols[3] += [xxhash.xxh64_intdigest(t, 1) - (1 << 63) for t in parts]
+                            cols[4] += [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in parts]
                         else:
                             for c, v in zip(cols, (s["anchor"], s["content"], s["windows"], cut(s["start"], s["windows"]))):
                                 c.append(v)
@@ -249,7 +270,7 @@ def cut_out(rows: DataFrame, wanted: DataFrame, units, single: bool = False) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                                  names=["anchor", "content", *(["part", "key", "check"] if single else ["windows", "data"])])
 
-    met = rows.select("file", "row", "text").join(per_text, ["file", "row"]).select("text", "spots")
+    met = texts.select("file", "row", "packed").join(per_text, ["file", "row"]).select("packed", "spots")
     return met.mapInArrow(emit, "anchor bigint, content bigint, " + ("part int, key bigint, check bigint" if single else "windows int, data binary"))
 
 

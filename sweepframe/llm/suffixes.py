@@ -54,13 +54,13 @@ def suffix_array(text: str, depth: int, wanted: np.ndarray | None = None) -> lis
     # Stage one: direct sort.
     direct = sorted(places[smaller[places]].tolist(), key=lambda i: text[i:i + depth])
     # Buckets by first character: induced suffixes come first, those sorted directly last.
-    values, bucket = np.unique(codes, return_inverse=True)
-    sizes = np.bincount(bucket[places], minlength=len(values))
+    letters = int(codes.max()) + 1
+    sizes = np.bincount(codes[places], minlength=letters)
     ends = np.cumsum(sizes)
     heads = (ends - sizes).tolist()
-    of = bucket.tolist()
+    of = codes.tolist()
     array = [-1] * len(places)
-    tails = (ends - np.bincount(bucket[places[smaller[places]]], minlength=len(values))).tolist()
+    tails = (ends - np.bincount(codes[places[smaller[places]]], minlength=letters)).tolist()
     for i in direct:
         b = of[i]
         array[tails[b]] = i
@@ -144,10 +144,11 @@ def compare(batches, length: int):
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``file, row, doc_id, text, runs`` for every row; runs are ``(start, windows)`` of strings of ``length``
+    """``file, row, doc_id, packed, runs`` for every row, ``packed`` the compressed text; runs are ``(start, windows)`` of strings of ``length``
     bytes that also start elsewhere, null for none."""
     units = ByteUnits(length)
     rows = regions.numbered(docs, doc_id, text)
+    texts = regions.packed(rows)
     found = regions.repeated(rows, units)
     at = lambda df, *more: df.select("file", "row", F.explode("starts").alias("start"), *more)
 
@@ -155,18 +156,18 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     # Contents that share an anchor with others are compared; of equal ones, one stands for all.
     heads = found.where("head and not alone")
     once = heads.where("copies = 1")
-    few = regions.cut_out(rows, heads.where(F.col("size") <= regions.LARGE), units)
+    few = regions.cut_out(texts, heads.where(F.col("size") <= regions.LARGE), units)
     met = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         lambda batches: compare(batches, length), "anchor bigint, content bigint, first int, n int")
     large = heads.where(F.col("size") > regions.LARGE)
     if not large.isEmpty():
-        single = store(regions.cut_out(rows, large, units, single=True), "windows")
+        single = store(regions.cut_out(texts, large, units, single=True), "windows")
         twice = single.groupBy("key", "check").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = met.unionByName(single.join(twice, ["key", "check"]).select("anchor", "content", F.col("part").alias("first"), F.lit(1).alias("n")))
     runs = met.join(once, ["anchor", "content"]).select("file", "row", (F.get("starts", F.lit(0)) + F.col("first")).alias("start"), F.col("n").alias("windows"))
     out = whole.unionByName(runs)
     per_text = out.groupBy("file", "row").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    return rows.join(per_text, ["file", "row"], "left")
+    return texts.join(per_text, ["file", "row"], "left")
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -186,7 +187,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 few = batch.slice(lo, 64)
                 sizes, removed, spans, kept = [], [], [], []
                 for value, runs in zip(few.column(1), few.column(2)):
-                    data = (value.as_py() or "").encode()
+                    data = regions.unpacked(value.as_py())
                     cut = regions.covered([(r["start"], r["windows"]) for r in runs.as_py() or ()], length)
                     left, at = [], 0
                     for a, b in cut:
@@ -202,7 +203,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    return repeats(docs, doc_id, text, length).select("doc_id", "text", "runs").mapInArrow(remove, schema)
+    return repeats(docs, doc_id, text, length).select("doc_id", "packed", "runs").mapInArrow(remove, schema)
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
