@@ -107,7 +107,7 @@ def phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     rows = regions.numbered(docs, doc_id, text)
     texts = regions.packed(rows)
     ranked = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    found = regions.repeated(ranked, units).where("later")
+    found = regions.repeated(ranked, units, keep=False).where("later")
 
     whole = found.where("doc_id > least").select("file", "row", F.explode("starts").alias("start"), "windows")
     heads = found.where("head and not alone")

@@ -204,7 +204,7 @@ def prefix():
     return F.pmod(F.xxhash64("anchor"), F.lit(1 << SKETCH_BITS)).cast("int")
 
 
-def repeated(rows: DataFrame, units) -> DataFrame:
+def repeated(rows: DataFrame, units, keep: bool) -> DataFrame:
     """``region_rows`` of anchors met more than once, with what the table holds of them:
 
     ``copies``  occurrences of this content, in this text and others
@@ -216,13 +216,18 @@ def repeated(rows: DataFrame, units) -> DataFrame:
 
     Anchors that are common all over the table are counted by content, with partial sums, and joined
     back; Spark splits that join where a content is common itself. They count as larger than ``LARGE``
-    and never as alone. All others are counted by windows over their anchor.
+    and never as alone. All others are counted by windows over their anchor, after one shuffle by it.
+
+    Regions are needed twice: ``keep`` stores them, else they are found again, where a table of them
+    would be as large as the input.
     """
-    every = store(region_rows(rows, units), "anchors")
+    every = region_rows(rows, units)
+    if keep:
+        every = store(every, "anchors")
     hot = common_prefixes(every)
     here = Window.partitionBy("anchor")
     same = Window.partitionBy("anchor", "content")
-    found = every.where(~prefix().isin(hot)) if hot else every
+    found = (every.where(~prefix().isin(hot)) if hot else every).repartition("anchor")
     found = found.withColumn("head", F.row_number().over(same.orderBy("doc_id", "file", "row")) == 1)
     found = found.withColumns({"copies": F.sum(F.size("starts")).over(same), "least": F.min("doc_id").over(same)})
     found = found.withColumns({
