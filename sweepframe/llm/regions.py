@@ -31,6 +31,9 @@ LARGE = 4000
 _PLACE = np.uint64((1 << 21) - 1)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+_ODD = 0xD6E8FEB86659FD93
+_ODD_INVERSE = pow(_ODD, -1, 1 << 64)
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of ``x``, which is overwritten."""
@@ -66,6 +69,10 @@ class ByteUnits:
         data = text if isinstance(text, bytes) else (text or "").encode()
         return np.frombuffer(data, np.uint8), lambda start, windows: data[start:start + windows - 1 + self.length]
 
+    def contents(self, codes: list[np.ndarray], cuts: list, doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A hash of each region."""
+        return np.fromiter((xxhash.xxh3_64_intdigest(cuts[d](f, m)) for d, f, m in zip(doc.tolist(), first.tolist(), n.tolist())), np.uint64, len(doc))
+
     def grams(self, units: np.ndarray) -> np.ndarray:
         """A hash of each ``k`` neighbouring units."""
         data = units.tobytes()
@@ -85,6 +92,19 @@ class WordUnits:
     def __init__(self, length: int):
         self.length = length
 
+    def contents(self, codes: list[np.ndarray], cuts: list, doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A hash of each region: differences of running sums of word hashes times powers of an odd number."""
+        sizes = np.array([len(c) for c in codes])
+        start = (np.cumsum(sizes) - sizes)[doc] + first
+        total = int(sizes.sum()) + 1
+        power, back = (np.full(total, x, np.uint64) for x in (_ODD, _ODD_INVERSE))
+        for powers in (power, back):
+            powers[0] = 1
+            np.multiply.accumulate(powers, out=powers)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.concatenate(codes) * power[:-1], dtype=np.uint64)))
+        end = start + n - 1 + self.length
+        return mixed((sums[end] - sums[start]) * back[start] + n.astype(np.uint64) * _A)
+
     def read(self, text: str | bytes | None) -> tuple[np.ndarray, Callable[[int, int], bytes]]:
         words = (text if isinstance(text, bytes) else (text or "").encode()).split()
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -160,10 +180,12 @@ def unpacked(value: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(value) if value else b""
 
 
-def region_rows(rows: DataFrame, units) -> DataFrame:
-    """``anchor, content, file, row, doc_id, starts, windows``: a row for each different region of a text.
+def region_rows(rows: DataFrame, units, hot: list[int] | None = None, common: bool = False) -> DataFrame:
+    """``anchor, content, file, row, doc_id, starts, windows, prefix``: a row for each different region of a text.
 
     ``starts`` are its places in that text, so a text that repeats itself is no more rows than others.
+    ``prefix`` are a few bits of a hash of the anchor. Given ``hot`` prefixes, regions of these are
+    left out, or with ``common`` all others.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -173,8 +195,14 @@ def region_rows(rows: DataFrame, units) -> DataFrame:
                 few = batch.slice(lo, 128)
                 read = [units.read(v.as_py()) for v in few.column(3)]
                 cuts = [cut for _, cut in read]
-                for doc, anchor, first, n in find(units, [codes for codes, _ in read]):
-                    content = np.fromiter((xxhash.xxh3_64_intdigest(cuts[d](f, m)) for d, f, m in zip(doc.tolist(), first.tolist(), n.tolist())), np.uint64, len(doc))
+                codes = [c for c, _ in read]
+                for doc, anchor, first, n in find(units, codes):
+                    if hot is not None:
+                        wanted = np.isin(_prefix(anchor), hot) == common
+                        doc, anchor, first, n = doc[wanted], anchor[wanted], first[wanted], n[wanted]
+                        if not len(doc):
+                            continue
+                    content = units.contents(codes, cuts, doc, first, n)
                     order = np.lexsort((first, content, anchor, doc))
                     doc, anchor, content, first, n = (x[order] for x in (doc, anchor, content, first, n))
                     new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))))
@@ -182,28 +210,47 @@ def region_rows(rows: DataFrame, units) -> DataFrame:
                     starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)).astype(np.int32)), pa.array(first.astype(np.int64)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(anchor[new].view(np.int64)), pa.array(content[new].view(np.int64)), *[few.column(c).take(at) for c in range(3)], starts,
-                         pa.array(n[new].astype(np.int32))],
-                        names=["anchor", "content", "file", "row", "doc_id", "starts", "windows"])
+                         pa.array(n[new].astype(np.int32)), pa.array(_prefix(anchor[new]))],
+                        names=["anchor", "content", "file", "row", "doc_id", "starts", "windows", "prefix"])
+
+    return rows.mapInArrow(emit, f"anchor bigint, content bigint, file bigint, row bigint, doc_id {kind}, starts array<bigint>, windows int, prefix int")
 
-    return rows.mapInArrow(emit, f"anchor bigint, content bigint, file bigint, row bigint, doc_id {kind}, starts array<bigint>, windows int")
 
+def _prefix(anchor: np.ndarray) -> np.ndarray:
+    """An anchor, the smallest of many hashes, is a small number itself: hash it again."""
+    return (mixed(anchor + _A) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)
 
-def common_prefixes(found: DataFrame) -> list[int]:
+
+def prefix_counts(rows: DataFrame, units) -> DataFrame:
+    """``prefix, n`` by task: how many regions, from anchors alone."""
+
+    def count(batches):
+        seen = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                for doc, anchor, _, _ in find(units, [units.read(v.as_py())[0] for v in batch.column(0).slice(lo, 128)]):
+                    # An anchor counts once a text.
+                    order = np.lexsort((anchor, doc))
+                    doc, anchor = doc[order], anchor[order]
+                    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])))
+                    seen += np.bincount(_prefix(anchor[new]), minlength=len(seen))
+        full = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(seen[full])], names=["prefix", "n"])
+
+    return rows.select("text").mapInArrow(count, "prefix int, n bigint")
+
+
+def common_prefixes(counts: DataFrame) -> list[int]:
     """Hash prefixes of anchors that hold more than ``1 / HOT_SHARE`` of all regions and over ``LARGE``.
 
     Regions are counted by ``SKETCH_BITS`` bits of their anchor's hash, so what a task sends is bounded,
     and so is the list: at most ``HOT_SHARE`` numbers.
     """
-    sizes = found.groupBy(prefix().alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy("prefix").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # 2 ** SKETCH_BITS rows at most
     return [r[0] for r in sizes.withColumn("total", total).where((F.col("n") > LARGE) & (F.col("n") * HOT_SHARE > F.col("total"))).select("prefix").collect()]
 
 
-def prefix():
-    """A few bits of a hash of the anchor, which as the smallest of many hashes is a small number itself."""
-    return F.pmod(F.xxhash64("anchor"), F.lit(1 << SKETCH_BITS)).cast("int")
-
-
 def repeated(rows: DataFrame, units, keep: bool) -> DataFrame:
     """``region_rows`` of anchors met more than once, with what the table holds of them:
 
@@ -221,13 +268,16 @@ def repeated(rows: DataFrame, units, keep: bool) -> DataFrame:
     Regions are needed twice: ``keep`` stores them, else they are found again, where a table of them
     would be as large as the input.
     """
-    every = region_rows(rows, units)
     if keep:
-        every = store(every, "anchors")
-    hot = common_prefixes(every)
+        every = store(region_rows(rows, units), "anchors")
+        hot = common_prefixes(every.select("prefix", F.lit(1).alias("n")))
+        found, common = (every.where(~F.col("prefix").isin(hot)), every.where(F.col("prefix").isin(hot))) if hot else (every, None)
+    else:
+        hot = common_prefixes(prefix_counts(rows, units))
+        found, common = region_rows(rows, units, hot), store(region_rows(rows, units, hot, common=True), "common") if hot else None
     here = Window.partitionBy("anchor")
     same = Window.partitionBy("anchor", "content")
-    found = (every.where(~prefix().isin(hot)) if hot else every).repartition("anchor")
+    found = found.drop("prefix").repartition("anchor")
     found = found.withColumn("head", F.row_number().over(same.orderBy("doc_id", "file", "row")) == 1)
     found = found.withColumns({"copies": F.sum(F.size("starts")).over(same), "least": F.min("doc_id").over(same)})
     found = found.withColumns({
@@ -235,9 +285,8 @@ def repeated(rows: DataFrame, units, keep: bool) -> DataFrame:
         "later": F.min("doc_id").over(here) < F.max("doc_id").over(here), "met": F.sum(F.size("starts")).over(here),
     }).where("met > 1").drop("met")
     found = store(found, "regions")
-    if not hot:
+    if common is None:
         return found
-    common = every.where(prefix().isin(hot))
     place = F.struct("doc_id", "file", "row")
     counted = common.groupBy("anchor", "content").agg(F.sum(F.size("starts")).alias("copies"), F.min(place).alias("best"))
     common = common.join(counted, ["anchor", "content"]).withColumns({
