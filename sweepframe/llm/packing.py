@@ -28,7 +28,9 @@ from .common import store
 MODEL = "byte_bpe_50k.json"
 WINDOW = 1024
 DEPTH = 3
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_500_000
+#: Longer words are encoded each time, so the cache has a bound in bytes.
+CACHE_LENGTH = 64
 END_ID = 0
 _workers: dict[str, Encoder] = {}
 
@@ -70,7 +72,7 @@ class Encoder:
             missing = [w for w in {w for w, p in zip(words, parts) if p is None}]
             whole = [w for w in missing if w and not w[-1].isspace()]
             found = dict.fromkeys(missing, False) | dict(zip(whole, self.encode([" " + w for w in whole])))
-            self.known.update(found)
+            self.known.update((w, p) for w, p in found.items() if len(w) <= CACHE_LENGTH)
             parts = [found[w] if p is None else p for w, p in zip(words, parts)]
         if False in parts or first and first[-1].isspace():
             return b"".join(self.encode(_pieces(text)))

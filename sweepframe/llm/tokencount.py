@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Longer words are encoded each time, so the cache has a bound in bytes.
+CACHE_LENGTH = 64
 MARK = "▁"
 _PIECES = re.compile(" *[^ ]+| +$")
 _workers: dict[str, Counter] = {}
@@ -65,7 +67,7 @@ class Counter:
             found = dict(zip(missing, map(len, self.model.encode(missing, num_threads=1))))
             if len(self.known) > CACHE_WORDS:
                 self.known = {**self.frequent, "": 1}
-            self.known.update(found)
+            self.known.update((w, n) for w, n in found.items() if len(w) <= CACHE_LENGTH)
             return sum(found[w] if n is None else n for w, n in zip(words, lengths))
         return sum(lengths)
 
