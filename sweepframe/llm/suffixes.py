@@ -26,7 +26,7 @@ BLOCK_CHARS = 1 << 19
 
 
 def suffix_array(text: str, depth: int, wanted: np.ndarray | None = None) -> list[int]:
-    """Places of the suffixes of ``text`` in the order of their first ``depth`` characters.
+    """Places of the suffixes of ``text`` (characters below 256) in the order of their first ``depth`` characters.
 
     ``wanted`` marks the places asked for; the result holds them and those needed to induce them:
     from each wanted place on, up to the next suffix that is sorted directly. A run of one character
@@ -35,9 +35,10 @@ def suffix_array(text: str, depth: int, wanted: np.ndarray | None = None) -> lis
     n = len(text)
     if not n:
         return []
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    of = text.encode("latin-1")
+    codes = np.frombuffer(of, np.uint8)
     # smaller[i]: suffix i is smaller than suffix i + 1.
-    step = np.sign(np.diff(codes, append=-1))
+    step = np.sign(np.diff(codes.astype(np.int16), append=np.int16(-1)))
     unequal = np.flatnonzero(step)
     smaller = step[unequal[np.searchsorted(unequal, np.arange(n))]] > 0
     if wanted is None:
@@ -54,13 +55,11 @@ def suffix_array(text: str, depth: int, wanted: np.ndarray | None = None) -> lis
     # Stage one: direct sort.
     direct = sorted(places[smaller[places]].tolist(), key=lambda i: text[i:i + depth])
     # Buckets by first character: induced suffixes come first, those sorted directly last.
-    letters = int(codes.max()) + 1
-    sizes = np.bincount(codes[places], minlength=letters)
+    sizes = np.bincount(codes[places], minlength=256)
     ends = np.cumsum(sizes)
     heads = (ends - sizes).tolist()
-    of = codes.tolist()
     array = [-1] * len(places)
-    tails = (ends - np.bincount(codes[places[smaller[places]]], minlength=letters)).tolist()
+    tails = (ends - np.bincount(codes[places[smaller[places]]], minlength=256)).tolist()
     for i in direct:
         b = of[i]
         array[tails[b]] = i
@@ -86,9 +85,10 @@ def repeated_starts(parts: list[tuple[bytes, int]], length: int) -> list[np.ndar
     at = 0
     for data, windows in parts:
         base.append(at)
-        chars.append(data.decode("latin-1") + "Ā")
-        owner.append(np.arange(len(data) + 1) < windows)
-        at += len(data) + 1
+        # Nothing stands between regions: a wanted window ends within its own.
+        chars.append(data.decode("latin-1"))
+        owner.append(np.arange(len(data)) < windows)
+        at += len(data)
     text, owned = "".join(chars), np.concatenate(owner)
     array = np.array(suffix_array(text, length, owned), np.int64)
     array = array[owned[array]]

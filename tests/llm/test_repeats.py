@@ -87,7 +87,7 @@ def test_edge_rows(spark):
 def test_suffix_array():
     rng = random.Random(2)
     for k in range(1500):
-        text = "".join(rng.choice("ab" if k % 2 else "abcd") for _ in range(rng.randint(0, 40))) + "Ā"
+        text = "".join(rng.choice("ab" if k % 2 else "abcd") for _ in range(rng.randint(1, 40)))
         depth = rng.randint(1, 50)
         array = suffixes.suffix_array(text, depth)
         assert sorted(array) == list(range(len(text)))
