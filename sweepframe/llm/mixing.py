@@ -152,7 +152,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     whole = met.where("whole > 0").withColumn("__n", F.explode(F.expr("sequence(1L, whole)"))).select(*docs.columns)
     words = F.filter(F.split(text_of(text), SPACE + "+"), lambda w: w != "")
     piece = F.concat_ws(" ", F.flatten(F.transform("spans", lambda s: F.slice(F.col("__words"), (s["start"] + 1).cast("int"), s["length"].cast("int")))))
-    part = met.where(F.size("spans") > 0).withColumn("__words", words).withColumn("__piece", piece)
+    # Named twice, the words are split once a document; else Spark would put the split into the lambda.
+    part = met.where(F.size("spans") > 0).withColumn("__words", words).withColumn("__piece", F.when(F.size("__words") > 0, piece))
     part = part.select(*[F.col("__piece").alias(text) if c == text else F.col(c) for c in docs.columns])
     return whole.unionByName(part)
 
