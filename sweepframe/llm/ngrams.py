@@ -1,6 +1,10 @@
 """Hashed n-gram multinomials of a trusted target and of the whole corpus.
 
-An n-gram here is one or two neighbouring word endings (``AFFIX`` code points each): whole words of
+``word_sums`` counts whole words and pairs of neighbouring words in a table keyed by 64-bit hashes,
+which grows with the corpus; the queries use it. The other functions are a small model of a fixed
+size, for callers who ask for no more.
+
+In the small model, an n-gram is one or two neighbouring word endings (``AFFIX`` code points each): whole words of
 open vocabularies rarely recur, their endings do. A gram falls into one of ``2 * BUCKETS`` buckets,
 the first half for single endings, the second for pairs. The weight of a bucket is
 ``ln(p_target / p_corpus)`` with ``ALPHA`` added to each count.
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import AT, located, store, text_of, words_of
 
 BUCKETS = 1 << 14
 AFFIX = 3
@@ -76,3 +80,35 @@ def log_ratio(rows: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
 
     total = F.aggregate(F.transform("ends", at), F.lit(0.0), lambda s, x: s + x)
     return weighed.select(*keep, F.greatest(2 * F.size("ends") - 1, F.lit(0)).cast("long").alias("n_grams"), total.alias("log_sum"))
+
+
+def place() -> Column:
+    """``__at`` in 16 bytes."""
+    return F.struct(F.xxhash64(f"{AT}.file").alias("file"), F.col(f"{AT}.row").alias("row"))
+
+
+def word_sums(docs: DataFrame, labels: DataFrame, wanted: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``place, n_grams, log_sum`` of the rows of ``docs`` (a read of files) that have words.
+
+    Whole words and pairs of them count by 64-bit hash. A gram's weight in a row is
+    ``ln((t + ALPHA * s) / (s * (r + ALPHA)))``, with ``t`` and ``r`` its occurrences in trusted rows
+    and in all rows, both without those of the row itself, and ``s`` the trusted share of all grams.
+    So what only this row has weighs nothing, and trusted rows are judged as held-out ones. All
+    labels count at every size; without trusted rows all sums are 0.
+    """
+    trusted = labels.where(wanted & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("target_id")).distinct()
+    rows = located(docs, F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    rows = rows.join(trusted, F.col("doc_id") == F.col("target_id"), "left")
+    rows = rows.select(place().alias("place"), F.col("target_id").isNotNull().alias("trusted"),
+                       F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    fewer = F.greatest(F.size("h") - 1, F.lit(0))
+    grams = F.concat("h", F.zip_with(F.slice("h", 1, fewer), F.slice("h", 2, fewer), lambda a, b: F.xxhash64(a, b)))
+    own = store(rows.select("place", "trusted", F.explode(grams).alias("gram")).groupBy("place", "gram").agg(
+        F.count(F.lit(1)).alias("n"), F.max("trusted").alias("trusted")), "grams")
+    known = F.when(F.col("trusted"), F.col("n")).otherwise(F.lit(0))
+    counts = own.groupBy("gram").agg(F.sum(known).alias("t"), F.sum("n").alias("r"))
+    nt, nr = own.agg(F.sum(known), F.sum("n")).first()
+    share = (nt or 0) / max(nr or 0, 1)
+    met = own.join(counts, "gram")
+    weight = F.log((F.col("t") - known + ALPHA * share) / (share * (F.col("r") - F.col("n") + ALPHA))) if share else F.lit(0.0)
+    return met.groupBy("place").agg(F.sum("n").alias("n_grams"), F.sum(F.col("n") * weight).alias("log_sum"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import SPACE, text_of, words_of
+from .common import SPACE, located, on_files, text_of, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -90,6 +90,19 @@ def quality_rules(
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
 
 
+def quality_by_words(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``quality_rules`` with the ratio of whole words and word pairs (``ngrams.word_sums``)."""
+    docs = on_files(docs)
+    named = located(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select(
+        F.struct("doc_id", ngrams.place().alias("place")).alias("key"), "text")
+    base = rules(named, "key").drop("words").withColumnRenamed("doc_id", "key").withColumn("place", F.col("key.place"))
+    sums = ngrams.word_sums(docs, labels, F.col("quality") == 1, doc_id, text)
+    ratio = F.coalesce(F.col("log_sum") / F.col("n_grams"), F.lit(0.0))
+    kept = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    scored = base.join(sums, "place", "left").select("key.doc_id", *kept, ratio.alias("log_ratio"))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return quality_rules(docs, labels)
+    return quality_by_words(docs, labels)
