@@ -54,3 +54,12 @@ def test_pairs_have_their_own_weight(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(0, 400, 4)], "doc_id long, quality int")
     ratio = {r.doc_id: r.log_ratio for r in quality.quality_by_words(docs, labels).collect()}
     assert min(ratio[i] for i in range(0, 400, 2)) > 0 > max(ratio[i] for i in range(1, 400, 2)) + 1
+
+
+def test_all_labels_count(spark, tmp_path):
+    """If every row is trusted the ratio is 0, also with more labels than the small model's sample takes."""
+    n = ngrams.TARGET_ROWS + 5_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words and number"), F.pmod("id", F.lit(977)), F.lit(" again")).alias("text"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(str(tmp_path / "labels.parquet"))
+    assert quality.op3_quality_rules(spark, str(tmp_path)).where(F.abs("log_ratio") > 1e-12).count() == 0
