@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, forest, langid, mixing, packing, phrases, quality, resample, simhash, suffixes, tokencount
+from . import exact, forest, langid, mergepath, mixing, packing, phrases, quality, resample, simhash, suffixes, tokencount
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
     "op11_lsh_forest": forest.op11_lsh_forest,
+    "op13_token_alignment": mergepath.op13_token_alignment,
 }
 ORACLES = {
     "op4_suffix_array": suffixes.ORACLE,
