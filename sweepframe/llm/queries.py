@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, forest, langid, mergepath, mixing, packing, phrases, quality, resample, simhash, suffixes, tokencount
+from . import exact, forest, langid, mergepath, mixing, packing, phrases, quality, resample, rtree, simhash, suffixes, tokencount
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_mixing": mixing.op10_mixing,
     "op11_lsh_forest": forest.op11_lsh_forest,
+    "op12_hard_negatives": rtree.op12_hard_negatives,
     "op13_token_alignment": mergepath.op13_token_alignment,
 }
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_exact_dedup": exact.ORACLE,
     "op8_phrase_automata": phrases.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_hard_negatives": rtree.ORACLE,
 }
