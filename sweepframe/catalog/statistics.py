@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import overlap
 from ..operators import stats
+from ..plans.seeded import draw_sql
 from .bindings import events, frames
 from .registry import query, table
 
@@ -144,7 +145,20 @@ def cluster_rate_spread(spark, sf):
     return rounded(stats.rate_spread(rates, subset=F.col("clip") % 2 == 0))
 
 
-@query()
+def bootstrap_sql(per: str, keys: str, replicates: int, seed: int) -> str:
+    """Common tables that end in ``boot(keys, ci_lo, ci_hi)``; ``per`` names a table of ``keys, clip, n, s``."""
+    p = stats.DRAW_PRIME
+    word = lambda j: f"{draw_sql(seed, f'(r || chr(47) || {j})')} % {p}"
+    return f"""co AS (SELECT r, {word(0)} AS a, {word(1)} AS b, {word(2)} AS c, {word(3)} AS d FROM range({replicates}) t(r)),
+nu AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY clip) - 1 AS no, count(*) OVER (PARTITION BY {keys}) AS k FROM {per}),
+pk AS (SELECT {keys}, r, ((((a * no + b) % {p} * no + c) % {p} * no + d) % {p}) * k // {p} AS pick FROM nu CROSS JOIN co),
+ra AS (SELECT {keys}, r, sum(s) / sum(n) AS rate FROM pk JOIN (SELECT {keys}, no, n, s FROM nu) u USING ({keys}) WHERE u.no = pick GROUP BY {keys}, r),
+boot AS (SELECT {keys}, quantile_cont(rate, 0.025) AS ci_lo, quantile_cont(rate, 0.975) AS ci_hi FROM ra GROUP BY {keys})"""
+
+
+@query(FRAMES + ", per AS (SELECT 1 AS one, clip, count(*) AS n, sum(event)::DOUBLE AS s FROM fr GROUP BY clip), " + bootstrap_sql("per", "one", 2000, 7)
+       + """ SELECT round((SELECT sum(s) / sum(n) FROM per), 6) AS point, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi,
+  (SELECT count(*) FROM per) AS clusters FROM boot""")
 def cluster_bootstrap(spark, sf):
     return rounded(stats.cluster_bootstrap(frames(spark, sf), "clip", "event", replicates=2000, seed=7))
 

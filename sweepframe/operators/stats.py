@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -301,37 +303,89 @@ def icc(df: DataFrame, cluster: str, value: str, keys: Sequence[str] = ()) -> Da
     )
 
 
+#: Draws are values of a cubic over this prime, so that any engine can repeat them with whole numbers.
+DRAW_PRIME = (1 << 31) - 1
+#: Clusters of one key that a task holds; 16 bytes each.
+HELD_CLUSTERS = 100_000
+_CHUNK = 125
+
+
+def draw_coefficients(seed: int, replicates: int) -> list[tuple[int, ...]]:
+    """Four coefficients for each replicate, from md5 as in :func:`plans.seeded.draw`."""
+    word = lambda r, j: int(hashlib.md5(f"{seed}|{r}/{j}".encode()).hexdigest()[:12], 16) % DRAW_PRIME
+    return [tuple(word(r, j) for j in range(4)) for r in range(replicates)]
+
+
+def _drawn(coefficients, draw):
+    """Value of the cubic at a draw, below the prime; for columns and for arrays of whole numbers."""
+    a, b, c, d = coefficients
+    return (((a * draw + b) % DRAW_PRIME * draw + c) % DRAW_PRIME * draw + d) % DRAW_PRIME
+
+
 def cluster_bootstrap(
-    df: DataFrame, cluster: str, event: str, replicates: int = 2000, seed: int = 0
+    df: DataFrame, cluster: str, event: str, replicates: int = 2000, seed: int = 0, keys: Sequence[str] = (), held: int = HELD_CLUSTERS
 ) -> DataFrame:
-    """Percentile interval of the event rate when whole clusters are drawn with replacement.
+    """``keys, point, ci_lo, ci_hi, clusters``: interval of the event rate when whole clusters are drawn with replacement.
 
-    Only per-cluster sums are resampled. Draw ``i`` of a replicate picks cluster number
-    ``xxhash64(seed, replicate, i) mod clusters``, so a rerun gives the same interval.
+    Only per-cluster sums are resampled. A replicate makes as many draws as there are clusters. Draw
+    ``i`` is the value at ``i`` of a cubic with coefficients from md5 of seed and replicate, scaled to a
+    cluster's place in ascending order. Where every key has at most ``held`` clusters, their sums travel
+    as one array and a task adds up a run of replicates; beyond it draws meet clusters in a join, with the same result.
     """
-    per = df.groupBy(cluster).agg(
+    keys = list(keys)
+    per = df.groupBy(*keys, cluster).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("double")).alias("s")
     )
-    numbered = ordered_columns(per, [], [cluster], sums={"_rank": F.lit(1)}).select(
-        (F.col("_rank") - 1).alias("_no"), "n", "s"
-    )
-    count = per.agg(F.count(F.lit(1))).scalar()
-    draws = numbered.select(
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"), F.col("_no").alias("_draw")
-    ).select(
-        "replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "_draw"), count).alias("_no")
-    )
-    rates = draws.join(numbered, "_no").groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("rate"))
-    whole = per.agg(
+    numbered = pin(ordered_columns(per, keys, [cluster], sums={"_rank": F.lit(1)}).select(
+        *keys, (F.col("_rank") - 1).alias("_no"), "n", "s"
+    ))
+    whole = numbered.groupBy(*keys).agg(
         (F.sum("s") / F.sum("n")).alias("point"), F.count(F.lit(1)).alias("clusters"),
     )
-    bounds = rates.agg(F.expr("percentile(rate, array(0.025, 0.975))").alias("q")).scalar()
-    return whole.withColumn("_q", bounds).select(
-        "point", F.when(F.col("clusters") >= 2, F.col("_q")[0]).alias("ci_lo"),
+    most = whole.agg(F.max("clusters")).first()[0] or 0
+    drawn = draw_coefficients(seed, replicates)
+    rates = _held_rates if most <= held else _joined_rates
+    bounds = rates(numbered, whole, keys, drawn).groupBy(*keys).agg(F.expr("percentile(rate, array(0.025, 0.975))").alias("_q"))
+    out = whole.join(bounds, keys) if keys else whole.withColumn("_q", bounds.scalar())
+    return out.select(
+        *keys, "point", F.when(F.col("clusters") >= 2, F.col("_q")[0]).alias("ci_lo"),
         F.when(F.col("clusters") >= 2, F.col("_q")[1]).alias("ci_hi"), "clusters",
     )
 
 
+def _held_rates(numbered: DataFrame, whole: DataFrame, keys: list[str], drawn: list[tuple[int, ...]]) -> DataFrame:
+    """``keys, rate`` of every replicate; a row holds the sums of all clusters of a key."""
+    held = numbered.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_no", "n", "s"))).alias("_c"))
+    starts = F.explode(F.sequence(F.lit(0), F.lit(len(drawn) - 1), F.lit(_CHUNK)))
+    runs = held.select(*keys, F.col("_c.n").alias("_n"), F.col("_c.s").alias("_s"), starts.alias("_from"))
+    kinds = dict(numbered.dtypes)
+
+    def add(batches):
+        for batch in batches:
+            at, rates = [], []
+            for i, (n, s, start) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_n", "_s", "_from")])):
+                n, s, draws = np.array(n, np.float64), np.array([0.0 if v is None else v for v in s]), np.arange(len(n), dtype=np.int64)
+                for coefficients in drawn[start:start + _CHUNK]:
+                    pick = _drawn(coefficients, draws) * len(n) // DRAW_PRIME
+                    at.append(i)
+                    rates.append(s[pick].sum() / n[pick].sum())
+            few = batch.select(keys).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*few.columns, pa.array(rates, pa.float64())], names=[*keys, "rate"])
+
+    return runs.repartition(*keys, "_from").mapInArrow(add, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "rate double"]))
+
+
+def _joined_rates(numbered: DataFrame, whole: DataFrame, keys: list[str], drawn: list[tuple[int, ...]]) -> DataFrame:
+    """The same rates by joining every draw with the cluster it picks."""
+    table = numbered.sparkSession.createDataFrame([(r, *c) for r, c in enumerate(drawn)], "replicate int, _a long, _b long, _c long, _d long")
+    draws = numbered.select(*keys, F.col("_no").alias("_draw"), F.explode(F.sequence(F.lit(0), F.lit(len(drawn) - 1))).alias("replicate")).join(table, "replicate")
+    sizes = whole.select(*keys, "clusters")
+    draws = draws.join(sizes, keys) if keys else draws.withColumn("clusters", sizes.select("clusters").scalar())
+    value = _drawn([F.col(c) for c in ("_a", "_b", "_c", "_d")], F.col("_draw"))
+    picked = draws.select(*keys, "replicate", F.call_function("div", value * F.col("clusters"), F.lit(DRAW_PRIME)).alias("_no"))
+    return picked.join(numbered, [*keys, "_no"]).groupBy(*keys, "replicate").agg((F.sum("s") / F.sum("n")).alias("rate"))
+
+
 def rate_spread(rates: DataFrame, rate: str = "rate", subset: Column | None = None) -> DataFrame:
     """Lowest, highest and difference of per-cluster rates, over all and over a subset."""
     out = [

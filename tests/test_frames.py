@@ -127,6 +127,20 @@ def test_bootstrap_is_repeatable_and_wide(spark):
     assert single["ci_lo"] is None
 
 
+def test_bootstrap_of_many_clusters_joins_and_agrees(spark):
+    data = [(k, c, int((i * 7 + c) % 11 < c % 5)) for k in "ab" for c in range(12 if k == "a" else 5) for i in range(9 + c)]
+    df = spark.createDataFrame(data, "k string, g int, e int")
+    held, joined = (sorted(stats.cluster_bootstrap(df, "g", "e", 60, keys=["k"], held=h).collect()) for h in (100, 3))
+    assert [(r["k"], r["clusters"]) for r in held] == [("a", 12), ("b", 5)]
+    assert all(abs(x - y) < 1e-12 for p, q in zip(held, joined) for x, y in zip(p[1:], q[1:]))
+    alone = stats.cluster_bootstrap(df.where("k = 'b'"), "g", "e", 60).first()
+    assert tuple(alone) == tuple(held[1])[1:]
+
+
+def test_bootstrap_of_nothing(spark):
+    assert stats.cluster_bootstrap(spark.createDataFrame([], "k string, g int, e int"), "g", "e", 10, keys=["k"]).count() == 0
+
+
 def test_mediation_needs_thirty_rows(spark):
     df = spark.range(20).selectExpr("id * 1.0 AS x", "id * 2.0 AS y")
     assert stats.mediation(df, ["x"], ["y"]).first()["r2"] is None
