@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     alignment,
+    answers,
     datasets,
     detection,
     features,
