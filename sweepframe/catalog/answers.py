@@ -144,7 +144,7 @@ def request_claims(spark, sf):
 
 
 NAMES = ["list_passes", "false_alarms", "claim_for", "telemetry_stat", "capture_check", "findings", "web_search"]
-ARGUMENTS = ["{}", '{"model": "F"}', '{"topic": ""}', '{"clip": "3", "stream": "click", "column": "value"}', '{"standoff_m": 0.5, "speed_ms": 0.2}', '{"verbose": true}', "[1, 2]", "no json"]
+ARGUMENTS = ["{}", '{"model": "F"}', '{"topic": "NATION_3"}', '{"clip": "3", "stream": "click", "column": "value"}', '{"standoff_m": 0.5, "speed_ms": 0.2}', '{"verbose": true}', "[1, 2]", "no json"]
 NEEDS = {"list_passes": [], "false_alarms": ["model"], "claim_for": ["topic"], "telemetry_stat": ["clip", "stream", "column"], "capture_check": ["standoff_m", "speed_ms"], "findings": []}
 MAY = {**NEEDS, "telemetry_stat": [*NEEDS["telemetry_stat"], "statistic"], "capture_check": [*NEEDS["capture_check"], "net_lock"]}
 
@@ -168,7 +168,7 @@ OUTCOMES = ", ".join(
 
 
 @query(PROFILES + f""", o(i, j, ok, error, choices) AS (VALUES {OUTCOMES})
-SELECT o_orderkey AS id, {_pick('o_orderkey', NAMES)} AS name, ok, error, choices, CASE WHEN ok THEN CASE i WHEN 0 THEN (SELECT max(frames) FROM pr)::VARCHAR WHEN 1 THEN 'F' WHEN 2 THEN '' WHEN 3 THEN 'all' WHEN 4 THEN 'in_envelope'
+SELECT o_orderkey AS id, {_pick('o_orderkey', NAMES)} AS name, ok, error, choices, CASE WHEN ok THEN CASE i WHEN 0 THEN (SELECT max(frames) FROM pr)::VARCHAR WHEN 1 THEN 'F' WHEN 2 THEN 'NATION_3' WHEN 3 THEN 'all' WHEN 4 THEN 'in_envelope'
   WHEN 5 THEN (SELECT count(*) FROM region)::VARCHAR END END AS told
 FROM orders JOIN o ON i = o_orderkey % {len(NAMES)} AND j = (o_orderkey // {len(NAMES)}) % {len(ARGUMENTS)}""")
 def request_dispatch(spark, sf):
