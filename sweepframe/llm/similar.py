@@ -1,137 +1,46 @@
-"""Near duplicates by exact Jaccard similarity of word shingles, for stages that remove them.
+"""Near duplicates for stages that remove them: SimHash lookups as in operator 1, verified by exact Jaccard similarity.
 
-At similarity 0.8 two SimHash fingerprints of 64 bits differ in about ten bits, a radius that no cut
-into segments can look up in a large table. So candidates are fingerprints at two bits or fewer, as
-in operator 1, and texts with an equal band of ``ROWS`` MinHash values in one of ``BANDS`` bands: a
-pair at 0.8 has one with probability 0.9999. Every candidate is verified by its sets of shingle
-hashes.
-
-Texts with equal sets are one node. A band value shared by more than ``crowd`` sets would return a
-number of pairs that grows with its square: its sets are dealt, differently in each band, to groups
-of about ``crowd`` that are compared in full, and each is compared with the smallest set of the band
-value. So a pair in such a crowd may not be compared itself; its members are linked through others.
+At similarity 0.8 two SimHash fingerprints of 64 bits differ in about ten bits, a radius that no cut into
+segments can look up in a large table. So fingerprints at two bits or fewer, found through the segment
+tables of operator 1, are one source of candidates, and the signature orders of :mod:`forest` are the
+other, which meet every pair at 0.8 but for a share of 6e-7. Every candidate is verified by its full sets
+of shingles, and crowds are finished exactly. Nothing depends on the size of the table or of a group.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..plans.components import connected_components
 from .common import AT, located, on_files, store
-from .simhash import _LOWER, SEED, links
+from .forest import SIMILAR, jaccard_groups
+from .simhash import links
 
 SHINGLE = 5
-SIMILAR = 0.8
-BANDS = 30
-ROWS = 6
-CROWD = 24
-_CHUNK = 1 << 10
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
-_MIX[0] |= np.uint64(1)
-
-
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of word shingles, ASCII letters lower-cased; a shorter text is one shingle."""
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts, stops = np.concatenate(([0], ends[:-1])).tolist(), (ends - 1).tolist()
-    digest, k = xxhash.xxh64_intdigest, min(shingle, len(words)) - 1
-    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, stops[k:])), np.uint64, len(words) - k))
-
-
-def signature(hashes: np.ndarray) -> tuple[int, int, list[int]]:
-    """Name of the set, its SimHash fingerprint, and a value for each band (longs)."""
-    name = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
-    least, total = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64), np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), _CHUNK):
-        h = hashes[lo:lo + _CHUNK]
-        np.minimum(least, (h * _MIX[0] + _MIX[1]).min(axis=1), out=least)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    print_ = int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
-    bands = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))]
-    return tuple(np.array([name, print_], np.uint64).view(np.int64).tolist()) + (np.array(bands, np.uint64).view(np.int64).tolist(),)
-
-
-def _signatures(shingle: int):
-    kind = T.StructType([T.StructField("f", T.LongType()), T.StructField("n", T.LongType()), T.StructField("print", T.LongType()),
-                         T.StructField("bands", T.ArrayType(T.LongType()))])
-
-    @F.arrow_udf(kind)
-    def made(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts:
-            h = shingles(t.as_py(), shingle)
-            f, p, bands = signature(h)
-            rows.append({"f": f, "n": len(h), "print": p, "bands": bands})
-        return pa.array(rows, pa.struct([("f", pa.int64()), ("n", pa.int64()), ("print", pa.int64()), ("bands", pa.list_(pa.int64()))]))
 
-    return made
 
+def close_prints(sets: DataFrame) -> DataFrame:
+    """Candidates ``a, b`` among sets ``f, print`` whose fingerprints differ in two bits or fewer.
 
-def _sets(shingle: int):
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def made(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t.as_py(), shingle).view(np.int64) for t in texts], pa.list_(pa.int64()))
-
-    return made
-
-
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def candidates(sets: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """``a, b``: distinct pairs of names from ``sets`` (``f, n, print, bands``) that may be similar."""
-    rows = sets.select("f", F.explode("bands").alias("band"))
-    sizes = store(rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("f").alias("hub")).where("m > 1"), "bands")
-    shared = rows.join(sizes, "band")
-    dealt = store(shared.select("band", "hub", "f", "m", F.when(F.col("m") <= crowd, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("band", "f"), F.ceil(F.col("m") / crowd))).alias("part")), "dealt")
-    left, right = dealt.select("band", "part", F.col("f").alias("a")), dealt.select("band", "part", F.col("f").alias("b"))
-    found = left.join(right, ["band", "part"]).where("a < b").select("a", "b")
-    found = found.unionByName(dealt.where((F.col("m") > crowd) & (F.col("f") != F.col("hub"))).select(*_ordered(F.col("f"), F.col("hub"))))
-    # Fingerprints at two bits or fewer: the smallest set of each stands for it.
+    Sets with one fingerprint meet the smallest of them, which also stands for it in longer links.
+    """
     heads = store(sets.groupBy("print").agg(F.min("f").alias("head"), F.count(F.lit(1)).alias("m")), "heads")
-    same = sets.select("f", "print").join(heads.where("m > 1"), "print").where("f != head").select(*_ordered(F.col("f"), F.col("head")))
+    same = sets.join(heads.where("m > 1"), "print").where("f != head").select(F.col("head").alias("a"), F.col("f").alias("b"))
     at = lambda end, out: heads.select(F.col("print").alias(end), F.col("head").alias(out))
-    near = links(sets.select(F.col("print").alias("f"))).join(at("a", "x"), "a").join(at("b", "y"), "b").select(*_ordered(F.col("x"), F.col("y")))
-    return found.unionByName(same).unionByName(near).distinct()
+    near = links(heads.select(F.col("print").alias("f"))).join(at("a", "x"), "a").join(at("b", "y"), "b")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR,
-                   crowd: int = CROWD) -> DataFrame:
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """``__at, doc_id, component, first`` for every row.
 
     Components are of verified pairs; ``first`` marks one row of each: the smallest identifier (null
     last), then the first place. Null, empty and wordless texts have the empty set and form one group.
+    Repeated rows are one set, so one of them is first at most. An empty table gives no rows; other
+    columns are ignored.
     """
-    docs = on_files(docs)
-    rows = located(docs, F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    marked = store(rows.select(AT, "doc_id", _signatures(shingle)("text").alias("s")).select(AT, "doc_id", "s.*"), "signatures")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", AT))
-    sets = store(marked.groupBy("f").agg(F.first("n").alias("n"), F.first("print").alias("print"), F.first("bands").alias("bands"), least.alias("best")), "sets")
-    near = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)
-    size = lambda end, out: sets.select(F.col("f").alias(end), F.col("n").alias(out))
-    pairs = store(candidates(sets, crowd).join(size("a", "na"), "a").join(size("b", "nb"), "b").where(near(F.col("na"), F.col("nb"))), "candidates")
-    # The shingles of one row of each set that has a candidate.
-    ends = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
-    heads = sets.join(ends, "f", "left_semi").select("f", F.col(f"best.{AT}").alias(AT))
-    held = store(located(docs, F.col(text).cast("string").alias("text")).join(heads, AT).select("f", _sets(shingle)("text").alias("h")), "shingles")
-    both = pairs.join(held.select(F.col("f").alias("a"), F.col("h").alias("ha")), "a").join(held.select(F.col("f").alias("b"), F.col("h").alias("hb")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("ha", "hb")))
-    verified = store(both.where(F.col("common") >= similar * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "similar")
-    named = connected_components(verified).select(F.col("node").alias("f"), "component")
-    per_set = store(sets.select("f", "best").join(named, "f", "left").withColumn("component", F.coalesce("component", "f")), "classes")
-    best = per_set.groupBy("component").agg(F.min("best").alias("best"))
-    classes = per_set.select("f", "component").join(best, "component")
-    return marked.join(classes, "f").select(AT, "doc_id", "component", (F.col(AT) == F.col(f"best.{AT}")).alias("first"))
+    found = jaccard_groups(docs, doc_id, text, shingle, similar, more=close_prints)
+    return found.select(AT, "doc_id", "component", (F.col(AT) == F.col(f"best.{AT}")).alias("first"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:

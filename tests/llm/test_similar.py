@@ -4,7 +4,7 @@ import corpus_pipeline
 import edge
 import pytest
 
-from sweepframe.llm import similar
+from sweepframe.llm import forest, similar
 
 
 def grams(text):
@@ -55,20 +55,38 @@ def test_near_stage_finds_planted_copies(spark):
     assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == want
 
 
-@pytest.mark.parametrize("crowd", [1000, 8])
-def test_crowds(spark, crowd):
+@pytest.mark.parametrize("crowd", [1000, 8, 2])
+def test_crowds(spark, crowd, monkeypatch):
+    monkeypatch.setattr(forest, "CROWD", crowd)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     rows = []
     for i in range(150):
         near = list(words)
-        for at in rng.sample(range(300), 3):
+        for at in rng.sample(range(300), rng.choice([3, 8, 14])):
             near[at] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(near)))
-    found = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect()
+    found = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in found if r["first"]} == firsts(rows)
 
 
+def test_copies_in_a_crowd_of_form_letters(spark):
+    """Letters that are all alike but below the threshold, with copies of some at 0.8 to 0.95: the same rows stay as by brute force."""
+    rng = random.Random(9)
+    letter = lambda: [f"slot{k}v{rng.randrange(20)}" if k % 16 == 0 else f"w{k}" for k in range(160)]
+    rows = [letter() for _ in range(900)]
+    for i in range(60):
+        near = list(rows[i])
+        for at in rng.sample(range(160), 1 + i % 3):
+            near[at] = f"x{rng.randrange(10**6)}"
+        rows.append(near)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    want = firsts(rows)
+    assert 850 < len(want) < 915
+    found = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found if r["first"]} == want
+
+
 def test_edge_rows(spark):
     found = similar.similar_groups(edge.frame(spark)).collect()
     assert len(found) == len(edge.ROWS)
