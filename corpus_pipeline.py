@@ -19,28 +19,44 @@ MIN_SCORE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified: those without a letter, or like no language learned, go."""
+    """Documents whose language is identified: those without a letter, or like no language learned, go.
+
+    So null, empty and wordless texts go. Each row is judged by its text alone: repeated rows stay or go
+    together, whatever their identifiers. Nothing is learned from rows with a null ``lang``.
+    """
     judged = langid.language(docs, langid.train(docs), lang_pred="__lang", score="__score")
     return judged.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are equal without white space."""
+    """One row of each group of texts that are equal without white space.
+
+    The longest text stays, then the smallest ``doc_id`` (null last), then the first row; null counts as
+    an empty text, and all texts of white space are one group.
+    """
     return exact.keep_first(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One row of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    The smallest ``doc_id`` stays (null last), then the first row. Null, empty and wordless texts are one
+    component; repeated rows are one text.
+    """
     return similar.keep_first(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; stretches taken once more are rows of their own."""
+    """Documents as often as the mix takes them; stretches taken once more are rows of their own.
+
+    A null source is a source of its own, the last. Texts without words have size 0 and aren't taken.
+    Rows are taken by their place, so repeated or null identifiers do no harm.
+    """
     return mixing.mix(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; a null or empty text is the end id alone, repeated rows are packed each."""
     return packing.pack(docs).drop("ids")
 
 
