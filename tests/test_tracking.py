@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sweepframe.operators import tracking
 from sweepframe.operators.tracking import Confirmation
@@ -152,6 +153,68 @@ def test_late_frames_are_reported_not_tracked(spark, tmp_path):
     assert got == {("late_frame", 4), ("damage_confirmed", 7)}
 
 
+def land_parts(landed, parts):
+    landed.mkdir()
+    for i, rows in enumerate(parts):
+        (landed / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(landed / f"{i}.json", (1000 + i, 1000 + i))
+
+
+def second(i):
+    return f"2024-01-01T{i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}Z"
+
+
+def test_runs_end_and_free_their_state(spark, tmp_path):
+    """Frames shuffled within the delay and over triggers: the events of the batch form, a summary per run, state of quiet clips gone."""
+    frames, boxes = scenario(7)
+    by, rng = {}, random.Random(1)
+    for b in boxes:
+        by.setdefault((b[0], b[1]), []).append(dict(zip(("box_id", "x1", "y1", "x2", "y2", "score"), b[2:])))
+    rows = [{"clip": c, "frame_idx": i, "ts": second(i), "latency_ms": 10.0 + i % 5, "boxes": by.get((c, i), [])} for c, i in frames]
+    rows.sort(key=lambda r: r["frame_idx"] + rng.uniform(0, 15))
+    parts = [rows[k:k + len(rows) // 6 + 1] for k in range(0, len(rows), len(rows) // 6 + 1)]
+    ends = [[{"clip": "other", "frame_idx": k, "ts": second(3000 + 600 * k), "boxes": []}] for k in range(2)]
+    land_parts(tmp_path / "in", parts + ends)
+    source = spark.readStream.schema(confirm.FRAMES + ", latency_ms DOUBLE").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    events = confirm.alert_stream(source, heartbeat=20, delay="30 seconds", grace="10 seconds", quiet="5 minutes")
+    q = confirm.write_alerts(events, str(tmp_path / "out"), str(tmp_path / "ck"), availableNow=True)
+    q.awaitTermination()
+    out = spark.read.schema(confirm.OUTPUT).json(str(tmp_path / "out")).where("clip <> 'other'")
+    fr = spark.createDataFrame([(r["clip"], r["frame_idx"], r["latency_ms"]) for r in rows], FRAME + ", latency_ms double")
+    bx = spark.createDataFrame(boxes, BOX)
+    alerts = tracking.first_alerts(tracking.assign_tracks(fr, bx))
+    key = lambda df: sorted((r["clip"], r["frame_idx"], r["track_id"], r["box_id"]) for r in df.collect())
+    assert key(out.where("event = 'damage_confirmed'")) == key(alerts) and alerts.count() > 5
+    beats = sorted((r["clip"], r["frame_idx"], r["frames"], r["alerts"]) for r in out.where("event = 'heartbeat'").collect())
+    assert beats == sorted(tuple(r) for r in tracking.heartbeats(fr, alerts, 20).select("clip", "frame_idx", "frames", "alerts").collect())
+    assert out.where("event = 'late_frame'").count() == 0
+    told = ["clip", "frames", "raw_detections", F.col("alerts").alias("confirmed_alerts"), "mean_latency_ms", "throughput_fps"]
+    summary = tracking.run_summary(fr, bx, alerts, "latency_ms").select("clip", "frames", "raw_detections", "confirmed_alerts", "mean_latency_ms", "throughput_fps")
+    assert sorted(map(tuple, out.where("event = 'run_summary'").select(*told).collect())) == sorted(map(tuple, summary.collect()))
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1  # only the clip that is still on
+
+
+def test_late_frames_within_grace_are_reported_and_later_ones_counted(spark, tmp_path):
+    box = {"box_id": 0, "x1": 0.0, "y1": 0.0, "x2": 9.0, "y2": 9.0, "score": 0.9}
+    row = lambda i, clip="c": {"clip": clip, "frame_idx": i, "ts": second(i), "boxes": [box]}
+    land_parts(tmp_path / "in", [[row(100), row(102), row(101)], [row(130)], [row(99)], [row(103), row(140)], [row(10)], [row(4000, "z")], [row(8000, "z")]])
+    source = spark.readStream.schema(confirm.FRAMES).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    events = confirm.alert_stream(source, heartbeat=0, delay="10 seconds", grace="60 seconds", quiet="5 minutes")
+    q = confirm.write_alerts(events, str(tmp_path / "out"), str(tmp_path / "ck"), availableNow=True)
+    q.awaitTermination()
+    got = sorted((r["event"], r["frame_idx"], r["frames"]) for r in spark.read.schema(confirm.OUTPUT).json(str(tmp_path / "out")).where("clip = 'c'").collect())
+    assert got == [("damage_confirmed", 102, 3), ("late_frame", 99, 3), ("run_summary", 140, 6)]
+    assert sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"]) == 1
+
+
+def test_the_buffer_has_a_bound():
+    run = confirm.Run("c", json.loads(json.dumps(confirm._FRESH)), Confirmation(), 0)
+    for i in (5, 4, 3, 9, 8, 1):
+        run.admit((i, i, "[]", None), 3)
+    assert [w[0] for w in sorted(run.s["waiting"])] == [5, 8, 9] and run.s["frames"] == 2
+    assert [e["frame_idx"] for e in run.events] == [1]
+
+
 def test_latest_per_trigger(spark):
     e = spark.createDataFrame([("s", 1, "a"), ("s", 3, "c"), ("s", 2, "b")], "session string, ts int, f string")
     (r,) = tracking.latest_per_trigger(e, ["session"], "ts").collect()
