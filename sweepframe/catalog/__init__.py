@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     answers,
     datasets,
     detection,
+    documents,
     features,
     pixels,
     places,
