@@ -6,7 +6,9 @@ from . import (  # noqa: F401
     datasets,
     detection,
     documents,
+    extraction,
     features,
+    labels,
     pixels,
     places,
     plans,

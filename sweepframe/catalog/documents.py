@@ -116,7 +116,7 @@ def document_coco_to_yolo(spark, sf):
     return annotations.coco_to_yolo(images, documents.coco_part(docs, "annotations"), documents.coco_part(docs, "categories"), files)[0]
 
 
-@query("""SELECT user_id::VARCHAR AS source, date_trunc('second', ts) AS time, round(value / 5, 6) AS sea_water_temperature_c, CASE WHEN event_id % 3 <> 0 THEN round(value / 60, 6) END AS sea_surface_wave_height_m FROM events WHERE user_id % 25 <> 0""")
+@query("""SELECT user_id::VARCHAR AS source, (epoch_us(ts) // 1000000)::BIGINT AS time, round(value / 5, 6) AS sea_water_temperature_c, CASE WHEN event_id % 3 <> 0 THEN round(value / 60, 6) END AS sea_surface_wave_height_m FROM events WHERE user_id % 25 <> 0""")
 def document_forecasts(spark, sf):
     """A forecast document per user from its events; every 25th is an error payload."""
     e = events(spark, sf)
@@ -124,7 +124,7 @@ def document_forecasts(spark, sf):
     step = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), F.struct(F.struct(details.alias("details")).alias("instant")).alias("data"))
     per = e.groupBy("user_id").agg(F.collect_list(step).alias("timeseries"))
     docs = documents.as_documents(per, ["user_id"], [F.struct("timeseries").alias("properties"), F.when(F.col("user_id") % 25 == 0, "quota exceeded").alias("error")])
-    return rounded(documents.forecast_hours(docs).select("source", "time", "sea_water_temperature_c", "sea_surface_wave_height_m"))
+    return rounded(documents.forecast_hours(docs).select("source", F.unix_seconds("time").alias("time"), "sea_water_temperature_c", "sea_surface_wave_height_m"))
 
 
 @query("""SELECT s_suppkey::INTEGER AS loknr, CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 60 + 10.0::DOUBLE END AS lat, s_acctbal AS capacity, s_name AS name, n_name AS county, CASE WHEN s_suppkey % 2 = 0 THEN 'Matfisk' ELSE '' END AS production_form, '' AS url

@@ -25,13 +25,13 @@ def topic_counts(spark, sf):
     return telemetry.topic_counts(messages(spark, sf))
 
 
-@query("""WITH m AS (SELECT 'clip' || user_id AS clip, '/' || event_type AS topic, event_id, json_extract_string(props, '$.k')::DOUBLE AS k, epoch_us(ts) AS t
-  FROM events WHERE event_type IN ('purchase', 'signup') AND NOT (event_type = 'purchase' AND user_id % 3 = 0)),
+@query("""WITH m AS (SELECT 'clip' || user_id || '/' || (epoch_us(ts) // 86400000000) AS clip, '/' || event_type AS topic, event_id, json_extract_string(props, '$.k')::DOUBLE AS k, epoch_us(ts) AS t
+  FROM events WHERE event_type IN ('purchase', 'signup')),
 c AS (SELECT clip, arg_min(topic, CASE WHEN topic = '/purchase' THEN 0 ELSE 1 END) AS topic FROM m GROUP BY 1)
 SELECT m.clip, event_id, k, 'clip' AS day, m.topic AS source_topic, m.t AS t_us FROM m JOIN c USING (clip, topic)""")
 def stream_extract_json(spark, sf):
-    """The first present topic per clip, its payload parsed; every third clip lacks the preferred topic."""
-    m = messages(spark, sf).where(~((F.col("topic") == "/purchase") & (F.regexp_extract("clip", r"(\d+)$", 1).cast("bigint") % 3 == 0)))
+    """The first present topic per clip, its payload parsed; a clip is a user's day, so many lack the preferred topic."""
+    m = messages(spark, sf).withColumn("clip", F.concat("clip", F.lit("/"), F.expr("CAST(ts_ns div 86400000000000 AS STRING)")))
     rows = telemetry.preferred_topic(m, ["/purchase", "/signup"])
     k = parsing.safe_double(F.from_json("payload", "k STRING")["k"])
     return rows.select("clip", "event_id", k.alias("k"), F.substring("clip", 1, 4).alias("day"), "source_topic", F.expr("ts_ns div 1000").alias("t_us"))

@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .annotations import DEFAULT_CLASS, VOC_SCHEMA
 from .landed import FORECAST_FIELDS, REGISTER_TEXT
 
 BOX = {"class_id": "int", "class_name": "string", "score": "double"}
@@ -134,3 +135,25 @@ def register_sites(docs: DataFrame, doc: str = "doc", text: str = "text") -> Dat
 def as_documents(rows: DataFrame, keys: Sequence[str], fields: Sequence[Column]) -> DataFrame:
     """``doc, text``: one JSON document per row of ``rows``, named by its keys."""
     return rows.select(F.concat_ws("/", *[F.col(k).cast("string") for k in keys]).alias("doc"), F.to_json(F.struct(*fields)).alias("text"))
+
+
+# Pascal VOC ------------------------------------------------------------------------------
+
+
+def voc_boxes(docs: DataFrame, doc: str = "doc", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(boxes in image fractions, classes: class_name, cls)`` of XML documents in a column.
+
+    Class numbers follow the first place a class is seen at, by document name and place in it; an
+    unnamed object has the default class. Text that is no such document gives no rows.
+    """
+    rows = docs.select(F.col(doc).alias("doc"), F.from_xml(F.col(text), VOC_SCHEMA, {"mode": "PERMISSIVE"}).alias("a"))
+    named = rows.select("doc", "a.filename", "a.size", F.posexplode("a.object").alias("_i", "o")).withColumn(
+        "class_name", F.coalesce(F.nullif(F.trim("o.name"), F.lit("")), F.lit(DEFAULT_CLASS)))
+    first = named.groupBy("class_name").agg(F.min(F.struct("doc", "_i")).alias("_first"))  # a row per class
+    classes = first.select("class_name", (F.row_number().over(Window.orderBy("_first")) - 1).alias("cls"))
+    w, h = F.col("size.width").cast("double"), F.col("size.height").cast("double")
+    at = lambda c: F.coalesce(F.col(f"o.bndbox.{c}"), F.lit(0.0))
+    boxes = named.where(F.col("o.bndbox").isNotNull()).join(classes, "class_name").select(
+        F.col("filename").alias("image"), "cls", "class_name", F.try_divide(at("xmin"), w).alias("x1"), F.try_divide(at("ymin"), h).alias("y1"),
+        F.try_divide(at("xmax"), w).alias("x2"), F.try_divide(at("ymax"), h).alias("y2"))
+    return boxes, classes
