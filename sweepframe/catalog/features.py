@@ -98,10 +98,27 @@ def random_bank(spark, sf):
     return vectors.random_bank(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", 64, seed=3)
 
 
-@query()
+PICKS, HELD = 8, 128
+
+
+def farthest_sql(name: str, rows: str) -> str:
+    """Common tables ending in ``name(g, vec_id, v)``: the farthest-point picks of every group of ``rows(g, vec_id, v)``."""
+    return f"""{name}_st AS (
+  SELECT g, 1 AS step, vec_id, v, list_distance(v, arg_min(v, vec_id) OVER (PARTITION BY g)) AS gap, min(vec_id) OVER (PARTITION BY g) AS pick FROM {rows}
+  UNION ALL
+  SELECT g, step + 1, vec_id, v, least(gap, list_distance(v, nv)), nid FROM (
+    SELECT *, first_value(vec_id) OVER w AS nid, first_value(v) OVER w AS nv FROM {name}_st WHERE step < {PICKS} WINDOW w AS (PARTITION BY g ORDER BY gap DESC, vec_id))
+), {name} AS (SELECT DISTINCT g, vec_id, v FROM {name}_st WHERE vec_id = pick)"""
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT (1 << greatest(0, ceil(log2(greatest(1, 2.0 * count(*) / {HELD})))::INTEGER))::BIGINT AS groups FROM embeddings),
+e AS (SELECT {draw_sql(0, 'vec_id')} % groups AS g, vec_id, embedding::DOUBLE[] AS v FROM embeddings, n), {farthest_sql('one', 'e')},
+m AS (SELECT 0 AS g, vec_id, v FROM one), {farthest_sql('two', 'm')}
+SELECT vec_id FROM two""")
 def kcenter_bank(spark, sf):
+    """Farthest-point picks through a tree of two levels."""
     e = embeddings(spark, sf).select("vec_id", "v")
-    return vectors.kcenter_bank(e, "vec_id", "v", 32).select("vec_id")
+    return vectors.kcenter_bank(e, "vec_id", "v", PICKS, held=HELD).select("vec_id")
 
 
 @query("""WITH p AS (SELECT vec_id, list_filter(list_transform(embedding::DOUBLE[], lambda x: round((x + 0.5) * 2000)), lambda b: b > 1000) AS b,

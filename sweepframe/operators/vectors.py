@@ -8,17 +8,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..plans import group_quantiles
+from ..plans import group_quantiles, pin
 from ..plans.seeded import draw
 
 BANK_ROWS = 50_000
 BANK_CONF = "spark.sweepframe.bankRows"
+#: Bytes of bank vectors that a task holds.
+BLOCK_BYTES = 32 << 20
+BLOCK_CONF = "spark.sweepframe.blockBytes"
+MOST_PIVOTS = 1024
+#: Vectors that a task of the k-center tree holds.
+HELD_VECTORS = 8192
+MOST_TASKS = 4096
 
 
 @dataclass(frozen=True)
@@ -95,67 +103,129 @@ def _farthest(ids: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def kcenter_bank(features: DataFrame, key: str, vector: str, size: int, seed: int = 0, groups: int = 64) -> DataFrame:
-    """Diverse bank by farthest-point picks: inside ``groups`` hash groups, then over their picks.
+def kcenter_bank(features: DataFrame, key: str, vector: str, size: int, seed: int = 0, held: int = HELD_VECTORS) -> DataFrame:
+    """Diverse bank of ``size`` rows by a merge-and-reduce tree of farthest-point picks.
 
-    Composable coreset with a constant-factor guarantee; not the row-by-row pick of the sequential
-    algorithm. ``groups`` is part of the definition, never derived from the data: a task holds
-    about ``rows / groups`` vectors in the first step and ``groups * size`` in the second, so choose it
-    near the square root of ``rows / size``.
+    Rows are dealt by seeded hash of their key to the fewest groups, a power of two, of at most half of
+    ``held`` on average. A group is read in key order, ``held`` rows at a time; each time the picks so far and the
+    new rows are reduced to ``size`` picks, so a task never holds more than ``held + size`` vectors, also
+    where keys repeat. The picks of all groups are dealt to fewer groups, and so on to one. With
+    ``held`` at twice the rows this is the sequential pick; each further step of the tree adds at most the radius of
+    its own picks (composable coresets, Indyk et al., 2014). ``held`` must be at least four times ``size``.
+    Ties in distance go to the smaller key.
     """
-    chosen = features.select(key, vector)
-    shape = chosen.schema
+    if held < 4 * size:
+        raise ValueError("held must be at least four times size, or the tree never narrows")
+    chosen = features.select(key, vector).where(F.col(vector).isNotNull())
+    shape, rows = chosen.schema, chosen.count()
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key)  # ties in distance go to the smaller key, however rows arrive
-        x = np.stack(group[vector].to_numpy()).astype(float)
-        return group.iloc[_farthest(group[key].to_numpy(), x, size)][[key, vector]]
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, picks, waiting = None, None, []
 
-    for count in (groups, 1):
-        chosen = chosen.withColumn("_g", F.pmod(draw(seed, key), F.lit(count))).groupBy("_g").applyInPandas(lambda g: pick(g), shape)
-    return chosen
+        def settle() -> None:
+            nonlocal picks, waiting
+            some = pd.concat([*([] if picks is None else [picks]), *waiting]).sort_values(key, kind="stable")
+            x = np.stack(some[vector].to_numpy()).astype(float)
+            picks, waiting = some.iloc[_farthest(some[key].to_numpy(), x, size)], []
 
-
-def nearest_in_bank(features: DataFrame, bank: DataFrame, key: str, vector: str, out: str = "distance") -> DataFrame:
-    """Euclidean distance of every row to its nearest bank vector.
-
-    A bank whose counted size is within the limit is handed to every task and multiplied
-    batch by batch. A larger bank is cut into blocks of that size and the rows, packed into
-    chunks, meet every block by an equi join on the block number; the smallest distance wins.
+        for batch in batches:
+            for g, part in batch.groupby("_g", sort=False):
+                if group is not None and g != group:
+                    settle()
+                    yield picks[[key, vector]]
+                    picks = None
+                group = g
+                while len(part):
+                    room = held - sum(map(len, waiting))
+                    waiting.append(part.iloc[:room])
+                    part = part.iloc[room:]
+                    if sum(map(len, waiting)) >= held:
+                        settle()
+        if group is not None:
+            if waiting:
+                settle()
+            yield picks[[key, vector]]
+
+    while True:
+        groups = 1 << max(0, math.ceil(math.log2(max(1, 2 * rows / held))))
+        dealt = chosen.withColumn("_g", F.pmod(draw(seed, key), F.lit(groups))).repartition(min(groups, MOST_TASKS), "_g").sortWithinPartitions("_g", key)
+        chosen = dealt.mapInPandas(reduce, shape)
+        if groups == 1:
+            return chosen
+        chosen, rows = pin(chosen), groups * size
+
+
+def nearest_in_bank(features: DataFrame, bank: DataFrame, key: str, vector: str, out: str = "distance", compared: str | None = None) -> DataFrame:
+    """``key, out``: exact Euclidean distance of every row to its nearest bank vector; ``compared`` adds the pairs measured.
+
+    The bank is cut into blocks of at most about ``spark.sweepframe.blockBytes``. Each block gathers the
+    vectors nearest to one pivot, a bank vector drawn by hash; pivots and the radii of their cells are all
+    that the workers are sent, at most ``MOST_PIVOTS`` of them. A row's distance to the nearest pivot bounds
+    its answer, so by the triangle inequality it visits only cells with ``d(row, pivot) - radius`` up to
+    that bound. A crowded cell is several blocks. Rows travel in chunks of ``spark.sweepframe.bankRows``; a
+    task holds one chunk and one block. Rows without a vector give no row; against an empty bank the distance is null.
     """
-    limit = int(features.sparkSession.conf.get(BANK_CONF, str(BANK_ROWS)))
-    size = bank.count()
-    shape = f"{key} {dict(features.dtypes)[key]}, {out} double"
-    if size <= limit:
-        held = bank.select(vector).toPandas()[vector].to_numpy()
-        block = np.stack(held).astype(float) if len(held) else np.empty((0, 0))
-
-        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield pd.DataFrame({key: batch[key], out: _nearest(np.stack(batch[vector].to_numpy()).astype(float), block)})
-
-        return features.select(key, vector).mapInPandas(look, shape)
-
-    blocks = math.ceil(size / limit)
-    packed = bank.select(
-        F.pmod(F.xxhash64(vector), F.lit(blocks)).alias("block"), F.col(vector).alias("b")
-    ).groupBy("block").agg(F.collect_list("b").alias("bank"))
-    rows = features.count()
-    chunk = F.pmod(F.xxhash64(key), F.lit(max(1, math.ceil(rows / limit))))
-    chunks = features.select(chunk.alias("chunk"), key, vector).groupBy("chunk").agg(
-        F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("v"))).alias("rows")
-    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("bigint"))
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark = features.sparkSession
+    limit, most = int(spark.conf.get(BANK_CONF, str(BANK_ROWS))), int(spark.conf.get(BLOCK_CONF, str(BLOCK_BYTES)))
+    kind = dict(features.dtypes)[key]
+    shape = f"{key} {kind}, {out} double, _n bigint"
+    held = pin(bank.select(F.col(vector).cast("array<double>").alias("b")).where("b IS NOT NULL").distinct())
+    size, width = held.agg(F.count(F.lit(1)), F.max(F.size("b"))).first()
+    keep = [key, out, *([F.col("_n").alias(compared)] if compared else [])]
+    if not size:
+        return features.where(F.col(vector).isNotNull()).select(key, F.lit(None).cast("double").alias(out), F.lit(0).cast("bigint").alias("_n")).select(*keep)
+    per_block = max(1, most // (8 * width))
+    count = min(MOST_PIVOTS, math.ceil(size / per_block))
+    pivots = np.array([r["b"] for r in held.orderBy(F.md5(F.array_join(F.transform("b", lambda v: v.cast("string")), ",")), "b").limit(count).collect()], float)  # at most MOST_PIVOTS
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for packed_rows, block_rows in zip(batch["rows"], batch["bank"]):
-                x = np.array([r["v"] for r in packed_rows], dtype=float)
-                b = np.array([list(v) for v in block_rows], dtype=float)
-                yield pd.DataFrame({key: [r["k"] for r in packed_rows], out: _nearest(x, b)})
+            if len(batch):
+                gaps = _distances(np.stack(batch["b"].to_numpy()).astype(float), shared.value)
+                near = gaps.argmin(axis=1)
+                yield pd.DataFrame({"cell": near, "gap": gaps[np.arange(len(near)), near], "b": batch["b"]})
 
-    met = chunks.join(packed, "block").select("rows", "bank").mapInPandas(meet, shape)
-    return met.groupBy(key).agg(F.min(out).alias(out))
+    cells = pin(held.mapInPandas(settle, "cell int, gap double, b array<double>"))
+    about = cells.groupBy("cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # at most MOST_PIVOTS rows
+    radius, blocks = np.full(count, -np.inf), np.zeros(count, np.int64)
+    for r in about:
+        radius[r["cell"]], blocks[r["cell"]] = r["radius"], math.ceil(r["n"] / per_block)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["v"].notna()]
+            if len(batch):
+                gaps = _distances(np.stack(batch["v"].to_numpy()).astype(float), shared.value)
+                bound = gaps.min(axis=1, keepdims=True)
+                # A hair is added, or rounding might close the cell that holds the answer.
+                row, cell = np.nonzero(gaps - radius[None, :] <= bound * (1 + 1e-9) + 1e-9)
+                yield pd.DataFrame({key: batch[key].to_numpy()[row], "v": batch["v"].to_numpy()[row], "cell": cell.astype(np.int32), "parts": blocks[cell]})
+
+    asked = pin(features.select(key, F.col(vector).cast("array<double>").alias("v")).mapInPandas(route, f"{key} {kind}, v array<double>, cell int, parts bigint"))
+    chunks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("chunks"))
+    numbers = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_block)).alias("parts"))
+    left = asked.join(chunks, "cell").select(
+        "cell", F.pmod(F.xxhash64(key), F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), key, "v")
+    right = cells.join(chunks, "cell").join(numbers, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+
+    def meet(rows: pa.Table, block: pa.Table) -> pa.Table:
+        n = rows.num_rows if block.num_rows else 0
+        matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        gaps = _nearest(matrix(rows, "v"), matrix(block, "b")) if n else np.zeros(0)
+        return pa.table({key: rows.column(key).slice(0, n), out: pa.array(gaps, pa.float64()), "_n": pa.array(np.full(n, block.num_rows), pa.int64())})
+
+    met = left.groupBy("cell", "chunk", "part").cogroup(right.groupBy("cell", "chunk", "part")).applyInArrow(meet, shape)
+    return met.groupBy(key).agg(F.min(out).alias(out), F.sum("_n").alias("_n")).select(*keep)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All distances between two small sets of vectors, measured directly."""
+    out = np.empty((len(x), len(y)))
+    for j, one in enumerate(y):
+        out[:, j] = np.linalg.norm(x - one, axis=1)
+    return out
 
 
 def _nearest(x: np.ndarray, bank: np.ndarray) -> np.ndarray:

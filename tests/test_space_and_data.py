@@ -255,25 +255,63 @@ def test_gaussian_matches_numpy(spark):
         vectors.fit_gaussian(features(spark, x).limit(0), "v")
 
 
-@pytest.mark.parametrize("bank_rows", ["50000", "7"])
-def test_nearest_in_bank(spark, bank_rows):
+@pytest.mark.parametrize(("bank_rows", "block"), [("50000", str(32 << 20)), ("7", str(32 << 20)), ("7", "96"), ("50000", "96")])
+def test_nearest_in_bank(spark, bank_rows, block):
     rng = np.random.default_rng(2)
-    x, b = rng.normal(size=(50, 4)), rng.normal(size=(30, 4))
+    x, b = rng.normal(size=(50, 4)), np.vstack([rng.normal(size=(30, 4)), np.ones((15, 4))])
     spark.conf.set(vectors.BANK_CONF, bank_rows)
+    spark.conf.set(vectors.BLOCK_CONF, block)
     try:
         out = vectors.nearest_in_bank(features(spark, x), features(spark, b), "id", "v")
         got = [r["distance"] for r in out.orderBy("id").collect()]
+        none = vectors.nearest_in_bank(features(spark, x[:3]), features(spark, b).limit(0), "id", "v").collect()
+        assert vectors.nearest_in_bank(features(spark, x).limit(0), features(spark, b), "id", "v").count() == 0
     finally:
         spark.conf.unset(vectors.BANK_CONF)
+        spark.conf.unset(vectors.BLOCK_CONF)
     assert np.allclose(got, np.linalg.norm(x[:, None] - b[None], axis=2).min(axis=1))
+    assert [r["distance"] for r in none] == [None] * 3
 
 
-@pytest.mark.parametrize("groups", [1, 4])
-def test_kcenter_bank_spreads(spark, groups):
+def test_nearest_in_bank_leaves_far_cells_alone(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 5)) * 50
+    b, x = (np.vstack([rng.normal(c, 0.5, size=(n, 5)) for c in centres]) for n in (20, 5))
+    spark.conf.set(vectors.BLOCK_CONF, str(8 * 5 * 10))
+    try:
+        rows = vectors.nearest_in_bank(features(spark, x), features(spark, b), "id", "v", compared="pairs").orderBy("id").collect()
+    finally:
+        spark.conf.unset(vectors.BLOCK_CONF)
+    assert np.allclose([r["distance"] for r in rows], np.linalg.norm(x[:, None] - b[None], axis=2).min(axis=1))
+    assert sum(r["pairs"] for r in rows) < 0.5 * len(x) * len(b)
+
+
+@pytest.mark.parametrize("held", [400, 40, 20])
+def test_kcenter_bank_spreads(spark, held):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(c, 0.01, size=(20, 2)) for c in ((0, 0), (10, 0), (0, 10), (10, 10), (5, 5))])
-    picks = vectors.kcenter_bank(features(spark, x), "id", "v", 5, groups=groups).collect()
+    picks = vectors.kcenter_bank(features(spark, x), "id", "v", 5, held=held).collect()
     assert len(picks) == 5 and {int(r["id"]) // 20 for r in picks} == {0, 1, 2, 3, 4}
+    with pytest.raises(ValueError, match="four times"):
+        vectors.kcenter_bank(features(spark, x), "id", "v", 5, held=10)
+
+
+def test_kcenter_radius_at_ten_times_the_rows(spark):
+    """The tree's radius stays within a small factor of the sequential pick's, with the same memory per task."""
+    rng = np.random.default_rng(6)
+    for n in (300, 3000):
+        x = rng.uniform(size=(n, 2))
+        ids = [r["id"] for r in vectors.kcenter_bank(features(spark, x), "id", "v", 10, held=80).collect()]
+        radius = lambda some: np.linalg.norm(x[:, None] - x[some][None], axis=2).min(axis=1).max()
+        assert len(set(ids)) == 10 and radius(ids) <= 3 * radius(vectors._farthest(np.arange(n), x, 10))
+
+
+def test_kcenter_where_keys_repeat(spark):
+    """All rows under one key are one group: it is read piece by piece and still gives the spread rows."""
+    rows = [(7, [float(c), float(i % 3) / 100]) for i in range(100) for c in (0, 10, 20)]
+    picks = vectors.kcenter_bank(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v", 3, held=12).collect()
+    assert sorted(round(r["v"][0] / 10) for r in picks) == [0, 1, 2]
+    assert vectors.kcenter_bank(spark.createDataFrame(rows[:0], "id bigint, v array<double>"), "id", "v", 3, held=12).count() == 0
 
 
 def test_random_bank_is_repeatable(spark):
