@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import group_limit, group_quantiles, group_sizes, ordered_columns, pin
-from ..plans.components import connected_components
+from ..plans.components import connected_components, roots
 
 # Reference scale of the camera and the share of travel counted as drift.
 MM_PER_PX_AT_1M = 1.36
@@ -209,15 +212,18 @@ def link_within(points: DataFrame, radius: float, keys: Sequence[str] = ("clip",
     placed = pin(points.withColumns({
         "_cx": F.floor(F.col(x) / side).cast("bigint"), "_cy": F.floor(F.col(y) / side).cast("bigint"),
     }))
-    # Cells get a number that is stored with them; it stands for the cell from here on.
-    cells = pin(placed.select(*cell).distinct().withColumn("_cell", F.monotonically_increasing_id()))
+    # Cells get a number that is stored with them and stands for the cell from here on. Numbers follow
+    # the map, so that edges dealt by number lie together and most of them are contracted in their task.
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = placed.select(*cell).distinct().repartitionByRange(parts, *cell).sortWithinPartitions(*cell)
+    cells = pin(ordered.withColumn("_cell", F.monotonically_increasing_id()))
     celled = placed.join(cells, cell)
     by_row = celled.groupBy(*cell, "_cell", F.col(y).alias("_y")).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     by_column = celled.groupBy(*cell, "_cell", F.col(x).alias("_x")).agg(F.min(y).alias("_lo"), F.max(y).alias("_hi"))
     beside = [o for o in _neighbour_cells() if o[0] > 0]
     above = [o for o in _neighbour_cells() if o[0] == 0]
     edges = _facing(by_row, keys, beside, "_y", radius).unionByName(_facing(by_column, keys, above, "_x", radius))
-    members = connected_components(edges).withColumnRenamed("node", "_cell")
+    members = connected_components(edges.repartitionByRange(parts, "a")).withColumnRenamed("node", "_cell")
     return celled.join(members, "_cell", "left").withColumn("component", F.coalesce("component", "_cell")).drop("_cell", "_cx", "_cy")
 
 
@@ -300,24 +306,64 @@ def grid_components(
     The score is the highest cell inside the box over twice the threshold, clipped to [0, 1].
     """
     keys = list(keys)
-    hot = cells.where(F.col("score") >= threshold).select(*keys, "row", "col", "score")
-    forward = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    here = hot.select(*keys, "row", "col", F.struct(*keys, "row", "col").alias("a"), F.explode(forward).alias("_o")).select(
-        *keys, "a", (F.col("row") + F.col("_o.dr")).alias("row"), (F.col("col") + F.col("_o.dc")).alias("col"))
-    edges = here.join(hot.select(*keys, "row", "col", F.struct(*keys, "row", "col").alias("b")), [*keys, "row", "col"])
-    members = connected_components(edges.select("a", "b"))
-    labelled = hot.withColumn("_node", F.struct(*keys, "row", "col")).join(
-        members, F.col("_node") == F.col("node"), "left").withColumn("component", F.coalesce("component", "_node"))
-    boxes = labelled.groupBy(*keys, "component").agg(
-        F.min("row").alias("_r0"), F.max("row").alias("_r1"), F.min("col").alias("_c0"), F.max("col").alias("_c1"),
-        F.count(F.lit(1)).alias("cells"),
-    )
-    lines = boxes.withColumn("row", F.explode(F.sequence("_r0", "_r1")))
-    inside = lines.join(hot, [*keys, "row"]).where((F.col("col") >= F.col("_c0")) & (F.col("col") <= F.col("_c1")))
-    tops = inside.groupBy(*keys, "component").agg(F.max("score").alias("_top"))
+    hot = cells.where((F.col("score") >= threshold) & F.col("row").isNotNull() & F.col("col").isNotNull())
+    # A frame has at most rows x cols cells, so it is one row; frames are labelled a batch at a time.
+    framed = hot.groupBy(*keys).agg(F.collect_list(F.struct(F.col("row").cast("int").alias("r"), F.col("col").cast("int").alias("c"), F.col("score").cast("double").alias("s"))).alias("_cells"))
+    kinds = dict(framed.dtypes)
+    shape = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.cumsum(pc.list_value_length(batch.column("_cells")).to_numpy())
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + _CELLS, "right")))
+                few = batch.slice(lo, hi - lo)
+                frame, boxes = _grid_boxes(few.column("_cells"))
+                at = pa.array(frame)
+                yield pa.RecordBatch.from_arrays([*[few.column(k).take(at) for k in keys], *[pa.array(b) for b in boxes]], names=[*keys, "r0", "r1", "c0", "c1", "cells", "top"])
+                lo = hi
+
+    boxes = framed.mapInArrow(label, shape + ", r0 bigint, r1 bigint, c0 bigint, c1 bigint, cells bigint, top double")
     wide, high = F.lit(float(width_px)), F.lit(float(height_px))
-    return boxes.join(tops, [*keys, "component"]).select(
-        *keys, (F.col("_c0") / float(cols) * wide).alias("x1"), (F.col("_r0") / float(rows) * high).alias("y1"),
-        ((F.col("_c1") + 1) / float(cols) * wide).alias("x2"), ((F.col("_r1") + 1) / float(rows) * high).alias("y2"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_top") / (threshold * 2))).alias("score"), "cells",
+    return boxes.select(
+        *keys, (F.col("c0") / float(cols) * wide).alias("x1"), (F.col("r0") / float(rows) * high).alias("y1"),
+        ((F.col("c1") + 1) / float(cols) * wide).alias("x2"), ((F.col("r1") + 1) / float(rows) * high).alias("y2"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("top") / (threshold * 2))).alias("score"), "cells",
     )
+
+
+#: Cells of frames that a task labels at a time.
+_CELLS = 500_000
+
+
+def _grid_boxes(frames: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each 8-connected group its frame, and ``r0, r1, c0, c1, cells, top``; ``frames`` are lists of cells."""
+    flat = frames.flatten()
+    r, c, s = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("r", "c", "s"))
+    f = np.repeat(np.arange(len(frames)), pc.list_value_length(frames).to_numpy())
+    r, c = r.astype(np.int64), c.astype(np.int64)
+    r0, c0 = r.min(initial=0), c.min(initial=0)
+    width = c.max(initial=0) - c0 + 3
+    area = (r.max(initial=0) - r0 + 3) * width
+    place = f * area + (r - r0 + 1) * width + c - c0 + 1
+    order = np.argsort(place)
+    f, r, c, s, place = (v[order] for v in (f, r, c, s, place))
+    again = np.flatnonzero(place[1:] == place[:-1])  # a cell that comes twice
+    ends = [(again, again + 1)]
+    for step in (1, width - 1, width, width + 1):
+        at = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
+        here = np.flatnonzero(place[at] == place + step)
+        ends.append((here, at[here]))
+    root = roots(*(np.concatenate([e[i] for e in ends]) for i in (0, 1)), len(place))
+    heads, group = np.unique(root, return_inverse=True)
+    out = [np.full(len(heads), v) for v in (np.iinfo(np.int64).max, -np.iinfo(np.int64).max, np.iinfo(np.int64).max, -np.iinfo(np.int64).max)]
+    for have, how, value in zip(out, (np.minimum, np.maximum, np.minimum, np.maximum), (r, r, c, c)):
+        how.at(have, group, value)
+    first, last = np.searchsorted(f, np.arange(len(frames))), np.searchsorted(f, np.arange(len(frames)), "right")
+    top = np.empty(len(heads))
+    for i, head in enumerate(heads):
+        mine = slice(first[f[head]], last[f[head]])
+        inside = (r[mine] >= out[0][i]) & (r[mine] <= out[1][i]) & (c[mine] >= out[2][i]) & (c[mine] <= out[3][i])
+        top[i] = s[mine][inside].max()
+    return f[heads], [*out, np.bincount(group, minlength=len(heads)), top]

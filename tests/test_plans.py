@@ -1,11 +1,13 @@
 """Helpers below the operators, and guards on physical plans."""
 
+import random
+
 import numpy as np
 import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
 
-from sweepframe.plans import group_quantiles, ordered_columns, pin
+from sweepframe.plans import components, group_quantiles, ordered_columns, pin
 from sweepframe.plans.components import connected_components
 from sweepframe.sources import artifacts
 
@@ -80,6 +82,27 @@ def test_asof_is_one_shuffle_on_the_key(spark):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_contraction_keeps_components(spark, monkeypatch):
+    """Edges dealt anyhow and contracted a few at a time give the components of the whole graph."""
+    monkeypatch.setattr(components, "CHUNK", 50)
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(400) if i % 37] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(140)]
+    rng.shuffle(edges)
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)
+    got = {r["node"]: r["component"] for r in connected_components(table).collect()}
+    assert got == {v: find(v) for v in root if any(v in e and e[0] != e[1] for e in edges)}
+
+
 @pytest.mark.parametrize("name", ["dhash_near_duplicates", "cluster_sites", "iou_pairs", "greedy_match_rows", "threshold_sweep", "ensemble_modes", "polarity_sweep"])
 def test_no_pairwise_joins(spark, name):
     from sweepframe.catalog import QUERIES

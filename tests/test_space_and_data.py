@@ -120,6 +120,34 @@ def test_diagonal_cells_are_one_region(spark):
     assert boxes[0]["score"] == 1.0 and boxes[1]["score"] == 0.5
 
 
+def test_regions_of_many_grids(spark, monkeypatch):
+    """Random grids against a flood fill, a few cells at a time; repeated cells count each, odd cells are left out."""
+    monkeypatch.setattr(spatial, "_CELLS", 40)
+    rng, rows, want = np.random.default_rng(5), [], []
+    for f in range(30):
+        grid = {(r, c): float(rng.uniform()) for r in range(7) for c in range(9)}
+        rows += [(f, r, c, s) for (r, c), s in grid.items()]
+        hot, seen = {k for k, s in grid.items() if s >= 0.6}, set()
+        for start in sorted(hot):
+            if start in seen:
+                continue
+            todo, part = [start], set()
+            while todo:
+                at = todo.pop()
+                if at in part or at not in hot:
+                    continue
+                part.add(at)
+                todo += [(at[0] + i, at[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            seen |= part
+            (r0, r1), (c0, c1) = ((min(v), max(v)) for v in zip(*part))
+            top = max(grid[k] for k in hot if r0 <= k[0] <= r1 and c0 <= k[1] <= c1)
+            want.append((f, c0 * 10.0, r0 * 10.0, (c1 + 1) * 10.0, (r1 + 1) * 10.0, round(top / 1.2, 9), len(part)))
+    cells = spark.createDataFrame(rows + [(0, None, 3, 0.9), (0, 3, 3, None)], "frame int, row int, col int, score double")
+    got = spatial.grid_components(cells, 0.6, rows=7, cols=9, width_px=90, height_px=70).collect()
+    assert sorted((r["frame"], r["x1"], r["y1"], r["x2"], r["y2"], round(r["score"], 9), r["cells"]) for r in got) == sorted(want)
+    assert spatial.grid_components(cells.limit(0), 0.6, rows=7, cols=9, width_px=90, height_px=70).count() == 0
+
+
 def test_pens(spark):
     p = spark.createDataFrame([(1, 160.0, 15.0, 10.0), (2, -1.0, 15.0, 10.0), (3, 160.0, 0.0, 0.0), (4, 160.0, -1.0, 5.0)], "pen_id int, circumference_m double, cylinder_depth_m double, cone_depth_m double")
     good, bad = pens.pen_geometry(p)
