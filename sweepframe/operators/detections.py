@@ -34,22 +34,27 @@ def unscored_images(predictions: DataFrame, images: DataFrame, image: str = "ima
     return predictions.select(image).distinct().join(images.select(image), image, "left_anti")
 
 
-def _levels(matches: DataFrame, iou_thresholds: Sequence[float] | None) -> Column:
+def _levels(counts: DataFrame, iou_thresholds: Sequence[float] | None) -> Column:
     """The IoU thresholds reported on: those given, else those met, else 0.5."""
     if iou_thresholds is not None:
         return F.array(*[F.lit(float(t)) for t in iou_thresholds])
-    met = matches.agg(F.collect_set("iou_threshold").alias("t")).select(
+    met = counts.agg(F.collect_set("iou_threshold").alias("t")).select(
         F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit(0.5)))).scalar()
     return met
 
 
-def _reported(matches: DataFrame, truths: DataFrame, keys: list[str], iou_thresholds: Sequence[float] | None) -> DataFrame:
+def _reported(counts: DataFrame, truths: DataFrame, keys: list[str], iou_thresholds: Sequence[float] | None) -> DataFrame:
     """Every key that has a truth or a prediction, at every IoU threshold: what a report has rows for."""
     if keys:
-        base = matches.select(*keys).unionByName(truths.select(*keys)).distinct()
+        base = counts.select(*keys).unionByName(truths.select(*keys)).distinct()
     else:
-        base = matches.sparkSession.range(1).select(F.lit(1).alias("_one"))
-    return base.withColumn("iou_threshold", F.explode(_levels(matches, iou_thresholds))).drop("_one")
+        base = counts.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    return base.withColumn("iou_threshold", F.explode(_levels(counts, iou_thresholds))).drop("_one")
+
+
+def _counted_once(counts: DataFrame, keys: list[str], iou_thresholds: Sequence[float] | None) -> DataFrame:
+    """Counts of a match, stored where the report also takes its keys or thresholds from them: the match runs once."""
+    return pin(counts) if keys or iou_thresholds is None else counts
 
 
 def match_totals(
@@ -61,10 +66,10 @@ def match_totals(
     keys there is always a row.
     """
     keys = list(keys)
-    hits = matches.groupBy(*keys, "iou_threshold").agg(
+    hits = _counted_once(matches.groupBy(*keys, "iou_threshold").agg(
         F.count("gt_id").alias("tp"), F.count_if(F.col("gt_id").isNull()).alias("fp")
-    )
-    rows = _reported(matches, truths, keys, iou_thresholds)
+    ), keys, iou_thresholds)
+    rows = _reported(hits, truths, keys, iou_thresholds)
     return _with_truth_counts(rows.join(hits, [*keys, "iou_threshold"], "left").fillna(0, ["tp", "fp"]), truths, keys)
 
 
@@ -101,9 +106,9 @@ def confidence_sweep(
     keys = list(keys)
     levels = sorted(float(t) for t in thresholds)
     reached = F.size(F.filter(F.array(*[F.lit(t) for t in levels]), lambda t: t <= F.col("score")))
-    counts = matches.groupBy(*keys, "iou_threshold", reached.alias("_level")).agg(
+    counts = _counted_once(matches.groupBy(*keys, "iou_threshold", reached.alias("_level")).agg(
         F.count("gt_id").alias("_tp"), F.count_if(F.col("gt_id").isNull()).alias("_fp")
-    )
+    ), keys, iou_thresholds)
     steps = F.array(*[F.struct(F.lit(i + 1).alias("no"), F.lit(t).alias("conf")) for i, t in enumerate(levels)])
     spread = counts.withColumn("_s", F.explode(steps))
     in_ = F.col("_level") >= F.col("_s")["no"]
@@ -111,7 +116,7 @@ def confidence_sweep(
         F.coalesce(F.sum(F.when(in_, F.col("_tp"))), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.when(in_, F.col("_fp"))), F.lit(0)).alias("fp"),
     )
-    rows = _reported(matches, truths, keys, iou_thresholds).withColumn("conf", F.explode(F.array(*[F.lit(t) for t in levels])))
+    rows = _reported(counts, truths, keys, iou_thresholds).withColumn("conf", F.explode(F.array(*[F.lit(t) for t in levels])))
     return _with_truth_counts(rows.join(hits, [*keys, "iou_threshold", "conf"], "left").fillna(0, ["tp", "fp"]), truths, keys)
 
 
