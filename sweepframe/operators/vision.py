@@ -115,13 +115,23 @@ def difference_hash(grid: Column, width: int, height: int) -> Column:
 # Near-duplicate search -------------------------------------------------------------------
 
 
-def _bits(h: Column, start: int, width: int) -> Column:
-    return F.shiftrightunsigned(h, start).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+def _edge(left: Column, i: Column | int, parts: int) -> Column:
+    """First bit of band ``i`` when ``left`` bits are cut into ``parts`` bands."""
+    return F.floor(left * i / F.lit(float(parts)) + 0.5).cast("int")
 
 
-def _bands(total: int, parts: int) -> list[tuple[int, int]]:
-    cuts = [round(total * i / parts) for i in range(parts + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def _low(count: Column) -> Column:
+    """A mask of the lowest ``count`` bits; a shift by 64 would be none."""
+    return F.when(count >= 64, F.lit(-1).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), count) - 1)
+
+
+def _shifted(value: Column, by: Column) -> Column:
+    return F.when(by >= 64, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftrightunsigned", value, by))
+
+
+def _band(value: Column, left: Column, i: Column, parts: int) -> Column:
+    start = _edge(left, i, parts)
+    return _shifted(value, start).bitwiseAND(_low(_edge(left, i + 1, parts) - start))
 
 
 def near_duplicates(
@@ -134,53 +144,46 @@ def near_duplicates(
     copies are counted, not multiplied: ``split_a, hash_a, images_a, example_a, …_b, distance``.
 
     With ``threshold + 1`` disjoint bands at least one band of such a pair is equal, so pairs
-    meet on an equal band. A pair is reported by its first equal band only. A band value
-    shared by very many hashes is cut again: the rest of the bits of such a pair hold at most
-    ``threshold`` flips too, so they must agree on one of ``threshold + 1`` sub-bands.
+    meet on an equal band. The rest of their bits hold at most ``threshold`` flips too. So a band value
+    shared by more than ``bucket_rows`` hashes is cut again into as many bands of the rest, and so on
+    until it is calm or no more than a bit a band is left. A pair is reported by its first equal band
+    at every cut, hence once.
     """
-    bands = _bands(bits, threshold + 1)
-    known = hashes.groupBy(split, F.col("h").alias("hash")).agg(
+    parts = threshold + 1
+    known = pin(hashes.groupBy(split, F.col("h").alias("hash")).agg(
         F.count(F.lit(1)).alias("images"), F.min(image).alias("example")
-    )
-    known = pin(known)
-    tall = known.select("*", F.posexplode(F.array(*[_bits(F.col("hash"), s, w) for s, w in bands])).alias("band", "value"))
-    crowded = large_groups(tall, ["band", "value"], bucket_rows).select("band", "value")
-    if crowded.isEmpty():
-        return _meeting(tall, ["band", "value"], bands, threshold, split, None)
-    crowded = pin(crowded)
-    calm = _meeting(tall.join(crowded, ["band", "value"], "left_anti"), ["band", "value"], bands, threshold, split, None)
-    dense = tall.join(crowded, ["band", "value"], "left_semi")
-    for b, (start, width) in enumerate(bands):
-        rest_bits = bits - width
-        low = F.col("hash").bitwiseAND(F.lit((1 << start) - 1).cast("bigint"))
-        high = F.shiftrightunsigned("hash", start + width) if start + width < 64 else F.lit(0).cast("bigint")
-        rest = F.shiftleft(high, start).bitwiseOR(low)
-        subs = _bands(rest_bits, threshold + 1)
-        here = dense.where(F.col("band") == b).withColumn("_rest", rest).select(
-            "*", F.posexplode(F.array(*[_bits(F.col("_rest"), s, w) for s, w in subs])).alias("sub", "sub_value"))
-        calm = calm.unionByName(_meeting(here, ["band", "value", "sub", "sub_value"], bands, threshold, split, subs))
-    return calm
-
-
-def _meeting(tall: DataFrame, on: list[str], bands, threshold: int, split: str, subs) -> DataFrame:
-    extra = ["_rest"] if subs else []
-    side = lambda t: tall.select(*on, *[F.col(c).alias(f"{c}_{t}") for c in (split, "hash", "images", "example", *extra)])
-    pairs = side("a").join(side("b"), on).where(F.col(f"{split}_a") < F.col(f"{split}_b"))
-    apart = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
-    pairs = pairs.withColumn("distance", F.bit_count(apart)).where(F.col("distance") <= threshold)
-
-    def first_equal(diff: Column, parts) -> Column:
-        number = F.lit(None).cast("int")
-        for i, (s, w) in reversed(list(enumerate(parts))):
-            number = F.when(_bits(diff, s, w) == 0, i).otherwise(number)
-        return number
-
-    pairs = pairs.where(first_equal(apart, bands) == F.col("band"))
-    if subs:
-        pairs = pairs.where(first_equal(F.col("_rest_a").bitwiseXOR(F.col("_rest_b")), subs) == F.col("sub"))
-    return pairs.select(
-        *[f"{c}_{t}" for t in "ab" for c in (split, "hash", "images", "example")], "distance"
-    )
+    ))
+    # What is left of the hash and its bits, the bucket so far, and the cuts that led there.
+    level = known.withColumns({"_v": F.col("hash"), "_left": F.lit(bits), "_path": F.lit(""), "_cuts": F.array().cast("array<struct<v:bigint,left:int,band:int>>")})
+    out = None
+    while True:
+        tall = level.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        start, end = _edge(F.col("_left"), F.col("_b"), parts), _edge(F.col("_left"), F.col("_b") + 1, parts)
+        rest = F.call_function("shiftleft", _shifted(F.col("_v"), end), start).bitwiseOR(F.col("_v").bitwiseAND(_low(start)))
+        tall = tall.select(
+            split, "hash", "images", "example", F.concat("_path", F.lit("/"), "_b", F.lit(":"), _band(F.col("_v"), F.col("_left"), F.col("_b"), parts)).alias("_path"),
+            F.concat("_cuts", F.array(F.struct(F.col("_v").alias("v"), F.col("_left").alias("left"), F.col("_b").alias("band")))).alias("_cuts"),
+            rest.alias("_v"), (F.col("_left") - (end - start)).alias("_left"))
+        crowded = large_groups(tall.where(F.col("_left") >= parts), ["_path"], bucket_rows).select("_path")
+        if crowded.isEmpty():
+            found = _meeting(tall, threshold, parts, split)
+            return found if out is None else out.unionByName(found)
+        crowded = pin(crowded)
+        found = _meeting(tall.join(crowded, "_path", "left_anti"), threshold, parts, split)
+        out = found if out is None else out.unionByName(found)
+        level = pin(tall.join(crowded, "_path", "left_semi"))
+
+
+def _meeting(tall: DataFrame, threshold: int, parts: int, split: str) -> DataFrame:
+    """Pairs within the threshold that share a bucket and were led there by their first equal bands."""
+    columns = (split, "hash", "images", "example")
+    side = lambda t: tall.select("_path", *[F.col(c).alias(f"{c}_{t}") for c in (*columns, "_cuts")])
+    distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
+    pairs = side("a").join(side("b"), "_path").where((F.col(f"{split}_a") < F.col(f"{split}_b")) & (distance <= threshold))
+    # No band before the one taken is equal, at any cut.
+    earlier = lambda x, y: F.exists(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: (i < x["band"]) & (_band(x["v"].bitwiseXOR(y["v"]), x["left"], i, parts) == 0))
+    first = F.forall(F.zip_with("_cuts_a", "_cuts_b", lambda x, y: ~earlier(x, y)), lambda ok: ok)
+    return pairs.where(first).select(*[f"{c}_{t}" for t in "ab" for c in columns], distance.alias("distance"))
 
 
 def duplicated_images(hashes: DataFrame, pairs: DataFrame, split: str = "split", image: str = "image") -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sweepframe.operators import governance, pens, spatial, vectors, vision
+from sweepframe.operators import boxpairs, governance, pens, spatial, vectors, vision
 
 MOTION = "clip string, i int, dx_px double, dy_px double, standoff double, depth_m double"
 
@@ -253,6 +253,30 @@ def test_near_duplicates_against_all_pairs(spark, bucket_rows):
     assert got == want
 
 
+def test_a_bucket_of_many_hashes_is_cut_until_it_is_calm(spark):
+    """Hashes that all share a band, and mostly another: few pairs are compared, none is lost or told twice."""
+    rng = random.Random(2)
+    values = [(rng.getrandbits(20) << 26) | 0x155 for _ in range(700)]
+    values += [v ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) for v in values[:80]]
+    rows = [("ab"[i % 2], f"i{i}", v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "split string, image string, h bigint")
+    found = sorted((r["hash_a"], r["hash_b"], r["distance"]) for r in vision.near_duplicates(df, 4, bucket_rows=20).collect())
+    sides = [{h for s, _, h in rows if s == k} for k in "ab"]
+    assert found == sorted((x, y, (x ^ y).bit_count()) for x in sides[0] for y in sides[1] if (x ^ y).bit_count() <= 4)
+    wide = vision.near_duplicates(df, 4, bucket_rows=10_000).collect()
+    assert found == sorted((r["hash_a"], r["hash_b"], r["distance"]) for r in wide)
+
+
+def test_crowded_cells_are_cut(spark):
+    rng = np.random.default_rng(3)
+    at = rng.uniform(0, 60, size=(300, 2))
+    boxes = [("i", i, float(x), float(y), float(x + w), float(y + w)) for i, ((x, y), w) in enumerate(zip(at, rng.uniform(0.5, 4, 300)))]
+    df = spark.createDataFrame(boxes, "image string, box_id int, x1 double, y1 double, x2 double, y2 double")
+    key = lambda out: sorted((r["a_box_id"], r["b_box_id"], round(r["iou"], 9)) for r in out.collect())
+    few, many = (key(boxpairs.overlapping_pairs(df, df, ["image"], crowd=c)) for c in (12, 10_000))
+    assert few == many and len(many) > 600
+
+
 def test_duplicates_inside_a_split_do_not_count(spark):
     df = spark.createDataFrame([("a", "x", 7), ("a", "y", 7)], "split string, image string, h bigint")
     assert vision.near_duplicates(df).count() == 0
