@@ -101,3 +101,18 @@ def test_least_squares_reproduce_a_histogram_that_combinations_fill():
         for v in lengths:
             used[v] += n
     assert (used <= histogram).all() and used.sum() > 0.95 * histogram.sum()
+
+
+def test_ranks_give_the_ids_of_the_vocabulary(spark):
+    """Words of a table, every ASCII word of the vocabulary, and random printable text."""
+    path = packing.model_path(packing.MODEL)
+    encoder = packing.Encoder(path)
+    assert encoder.ranks is not None
+    rng = random.Random(4)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    words = {w for t in texts for w in t.split(" ")} | {t.lstrip("\u0120") for t in encoder.model.get_vocab() if t.isascii() or t[1:].isascii()}
+    words |= {"".join(chr(rng.randrange(33, 127)) for _ in range(rng.randrange(1, 30))) for _ in range(30_000)}
+    words |= {"".join(rng.choice("aAzZ019'' st") for _ in range(rng.randrange(1, 12))) for _ in range(20_000)}
+    words = sorted(w for w in words if w and w.isascii() and w.isprintable() and "<|endoftext|>" not in w)
+    assert len(words) > 60_000
+    assert encoder.words(words) == encoder.encode([" " + w for w in words])
