@@ -1,85 +1,37 @@
-"""Hashed n-gram multinomials of a trusted target and of the whole corpus.
+"""Hashed n-gram multinomials of a trusted target and of the whole corpus, and the ratio of each text.
 
-``word_sums`` counts whole words and pairs of neighbouring words in a table keyed by 64-bit hashes,
-which grows with the corpus; the queries use it. The other functions are a small model of a fixed
-size, for callers who ask for no more.
+N-grams are whole words and pairs of neighbouring words, as 64-bit hashes; their table grows with
+the corpus. What moves is never a row per n-gram:
 
-In the small model, an n-gram is one or two neighbouring word endings (``AFFIX`` code points each): whole words of
-open vocabularies rarely recur, their endings do. A gram falls into one of ``2 * BUCKETS`` buckets,
-the first half for single endings, the second for pairs. The weight of a bucket is
-``ln(p_target / p_corpus)`` with ``ALPHA`` added to each count.
+1. Texts become chunks of about ``CHUNK_WORDS`` words, stored as arrays of word hashes.
+2. Each chunk asks for its different grams, sorted and cut into ranges of the hash ("parts"), one
+   compressed array per part. A part adds up what all chunks have of its grams.
+3. The answers go back in the order asked, so they needn't name the grams again, and meet the chunk.
 
-Counting is one explode and a partial sum, so a task sends at most two numbers per bucket. The
-weights are one row of ``2 * BUCKETS`` doubles (256 KiB) that a scalar subquery hands to the
-scoring plan: a bound that doesn't depend on the corpus.
+A gram is one entry per chunk however common it is, so no word makes a hot part. The number of parts
+follows the number of n-grams, so a part's arrays stay near ``PART_GRAMS`` entries at every size.
+Where there are far more parts than a chunk has grams, arrays get short, at worst a row per gram.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import AT, located, store, text_of, words_of
 
-BUCKETS = 1 << 14
-AFFIX = 3
 ALPHA = 1.0
-#: Labelled rows that form the target: a seeded share of them, about this many at most.
-TARGET_ROWS = 20_000
-
-
-def endings(words: Column) -> Column:
-    """A hash of the ending of each word."""
-    return F.transform(words, lambda w: F.xxhash64(F.right(w, F.lit(AFFIX))))
-
-
-def single(end: Column) -> Column:
-    return F.pmod(end, F.lit(BUCKETS)).cast("int")
+#: Words of a chunk; a longer text is a chunk of its own.
+CHUNK_WORDS = 1 << 20
+#: N-grams, repeats included, that one part stands for.
+PART_GRAMS = 1 << 21
 
-
-def pair(end: Column, following: Column) -> Column:
-    return (F.pmod(F.xxhash64(end, following), F.lit(BUCKETS)) + BUCKETS).cast("int")
-
-
-def target_ids(labels: DataFrame, wanted: Column, rows: int = TARGET_ROWS, seed: int = 17) -> DataFrame:
-    """Distinct identifiers of trusted rows: all of them, or a seeded share of about ``rows``.
-
-    The bound is what allows this table to be broadcast.
-    """
-    trusted = labels.where(wanted & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("target_id")).distinct()
-    total = trusted.count()
-    share = min(1.0, rows / max(total, 1))
-    fate = F.pmod(F.xxhash64(F.lit(seed), "target_id"), F.lit(1 << 30)) / float(1 << 30)
-    return trusted.where(fate < share)
-
-
-def weights(words: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row, ``w array<double>``, from ``(doc_id, words)`` of the whole corpus and the target's identifiers."""
-    fewer = F.greatest(F.size("ends") - 1, F.lit(0))
-    buckets = F.concat(F.transform("ends", single), F.zip_with(F.slice("ends", 1, fewer), F.slice("ends", 2, fewer), pair))
-    marked = words.join(F.broadcast(targets), words["doc_id"] == targets["target_id"], "left")
-    marked = marked.select(endings(F.col("words")).alias("ends"), F.col("target_id").isNotNull().cast("long").alias("trusted"))
-    counts = marked.select("trusted", F.explode(buckets).alias("bucket")).groupBy("bucket").agg(
-        F.sum("trusted").alias("t"), F.count(F.lit(1)).alias("r"))
-    every = words.sparkSession.range(2 * BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    filled = every.join(counts, "bucket", "left").select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("t", "r")])
-    table = filled.agg(F.sort_array(F.collect_list(F.struct("bucket", "t", "r"))).alias("c"), F.sum("t").alias("nt"), F.sum("r").alias("nr"))
-    spread = 2 * BUCKETS * ALPHA
-    weight = F.transform("c", lambda x: F.log((x.t + ALPHA) / (F.col("nt") + spread)) - F.log((x.r + ALPHA) / (F.col("nr") + spread)))
-    return store(table.select(F.when(F.col("nt") > 0, weight).otherwise(F.transform("c", lambda x: F.lit(0.0))).alias("w")), "weights")
-
-
-def log_ratio(rows: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` of ``rows`` with the number of n-grams in ``words`` and the sum of their weights (0 for none)."""
-    weighed = rows.select(*keep, endings(F.col("words")).alias("ends"), table.select("w").scalar().alias("w"))
-    last = F.size("ends") - 1
-
-    def at(end: Column, i: Column) -> Column:
-        both = F.get("w", pair(end, F.get("ends", i + 1)))
-        return F.get("w", single(end)) + F.when(i < last, both).otherwise(F.lit(0.0))
-
-    total = F.aggregate(F.transform("ends", at), F.lit(0.0), lambda s, x: s + x)
-    return weighed.select(*keep, F.greatest(2 * F.size("ends") - 1, F.lit(0)).cast("long").alias("n_grams"), total.alias("log_sum"))
+_U = np.uint64
 
 
 def place() -> Column:
@@ -87,6 +39,139 @@ def place() -> Column:
     return F.struct(F.xxhash64(f"{AT}.file").alias("file"), F.col(f"{AT}.row").alias("row"))
 
 
+def squash(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array; equal bytes of neighbours lie together."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def expand(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    """Differences of an ascending array, the first from zero; ``cumsum`` undoes it."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def grams_of(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(gram, text)`` of every word and every pair of neighbouring words within a text."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    within = text[1:] == text[:-1]
+    a, b = words[:-1][within], words[1:][within]
+    pair = (a * _U(0x9E3779B97F4A7C15)) ^ (b + _U(0xD1B54A32D192ED03))
+    pair = (pair ^ (pair >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    pair = (pair ^ (pair >> _U(27))) * _U(0x94D049BB133111EB)
+    return np.concatenate([words, pair ^ (pair >> _U(31))]), np.concatenate([text, text[1:][within]])
+
+
+def _chunks(chunk_words: int) -> Callable:
+    """Rows ``place, trusted, words`` packed into chunks named by their first place."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def chunk() -> pa.RecordBatch:
+            file, row, trusted, lengths, words = (np.concatenate(x) for x in zip(*held))
+            grams = 2 * lengths - 1
+            values = [f"{file[0]}:{row[0]}", squash(file), squash(row), squash(trusted), squash(lengths),
+                      zstandard.ZstdCompressor(level=3).compress(words.tobytes()), int(grams.sum()), int(grams[trusted > 0].sum())]
+            kinds = [pa.string(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)],
+                                              names=["chunk", "file", "row", "trusted", "lengths", "words", "n_grams", "t_grams"])
+
+        for batch in batches:
+            at, words = batch.column("place"), batch.column("words")
+            file, row = (v.to_numpy(zero_copy_only=False) for v in at.flatten())
+            trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(np.uint8)
+            offsets = words.offsets.to_numpy().astype(np.int64)
+            flat = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            lo = 0
+            while lo < batch.num_rows:
+                # As many rows as the chunk has room for, at least one.
+                room = offsets[lo] + max(chunk_words - size, 0)
+                hi = max(int(np.searchsorted(offsets, room, side="right")) - 1, lo + 1)
+                hi = min(hi, batch.num_rows)
+                held.append((file[lo:hi], row[lo:hi], trusted[lo:hi], np.diff(offsets[lo:hi + 1]), flat[offsets[lo]:offsets[hi]].copy()))
+                size += int(offsets[hi] - offsets[lo])
+                lo = hi
+                if size >= chunk_words:
+                    yield chunk()
+                    held, size = [], 0
+        if held:
+            yield chunk()
+
+    return pack
+
+
+def _ask(parts: int) -> Callable:
+    """The different grams of each chunk with their occurrences, in all rows and in trusted ones, by part."""
+
+    edges = np.array([-(-(p << 32) // parts) << 32 for p in range(1, parts)], np.uint64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, trusted, lengths, words in zip(*[batch.column(c).to_pylist() for c in ("chunk", "trusted", "lengths", "words")]):
+                lengths, known = expand(lengths, np.int64), expand(trusted, np.uint8) > 0
+                words = np.frombuffer(zstandard.ZstdDecompressor().decompress(words), np.uint64)
+                grams, text = grams_of(words, lengths)
+                known = grams[known[text]]
+                grams, n = np.unique(grams, return_counts=True)
+                known, times = np.unique(known, return_counts=True)
+                t = np.zeros(len(grams), np.int64)
+                t[np.searchsorted(grams, known)] = times
+                bounds = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
+                some = [(p, slice(lo, hi)) for p, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if hi > lo]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([chunk] * len(some), pa.string()), pa.array([p for p, _ in some], pa.int32()),
+                    pa.array([squash(steps(grams[s])) for _, s in some], pa.binary()),
+                    pa.array([squash(n[s].astype(np.int64)) for _, s in some], pa.binary()),
+                    pa.array([squash(t[s]) for _, s in some], pa.binary()),
+                ], names=["chunk", "part", "grams", "n", "t"])
+
+    return ask
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """For each asking chunk, the occurrences of its grams in all chunks, in the order asked."""
+    grams = [np.cumsum(expand(g.as_py(), np.uint64), dtype=np.uint64) for g in asked.column("grams")]
+    different, which = np.unique(np.concatenate(grams), return_inverse=True)
+    ends = np.cumsum([len(g) for g in grams])[:-1]
+    totals = []
+    for c in ("n", "t"):
+        total = np.bincount(which, np.concatenate([expand(v.as_py(), np.int64) for v in asked.column(c)])).astype(np.int64)
+        totals.append(pa.array([squash(v) for v in np.split(total[which], ends)], pa.binary()))
+    return pa.table([asked.column("chunk"), asked.column("part"), *totals], names=["chunk", "part", "r", "t"])
+
+
+def _score(share: float) -> Callable:
+    """``place, n_grams, log_sum`` of the texts of a chunk, from the answers to it."""
+
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        lengths, trusted = expand(row["lengths"], np.int64), expand(row["trusted"], np.uint8)
+        words = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["words"]), np.uint64)
+        answers = sorted(answers.select(["part", "r", "t"]).to_pylist(), key=lambda a: a["part"])
+        r, t = (np.concatenate([expand(a[c], np.int64) for a in answers]) for c in ("r", "t"))
+        grams, text = grams_of(words, lengths)
+        different, which = np.unique(grams, return_inverse=True)
+        own, n = np.unique(text * len(different) + which, return_counts=True)
+        text, which = np.divmod(own, len(different))
+        if share:
+            known = n * trusted[text]
+            weight = n * np.log((t[which] - known + ALPHA * share) / (share * (r[which] - n + ALPHA)))
+            total = np.bincount(text, weight, len(lengths))
+        else:
+            total = np.zeros(len(lengths))
+        at = pa.StructArray.from_arrays([pa.array(expand(row[c], np.int64)) for c in ("file", "row")], ["file", "row"])
+        return pa.table([at, pa.array(2 * lengths - 1), pa.array(total)], names=["place", "n_grams", "log_sum"])
+
+    return score
+
+
 def word_sums(docs: DataFrame, labels: DataFrame, wanted: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``place, n_grams, log_sum`` of the rows of ``docs`` (a read of files) that have words.
 
@@ -94,21 +179,18 @@ def word_sums(docs: DataFrame, labels: DataFrame, wanted: Column, doc_id: str =
     ``ln((t + ALPHA * s) / (s * (r + ALPHA)))``, with ``t`` and ``r`` its occurrences in trusted rows
     and in all rows, both without those of the row itself, and ``s`` the trusted share of all grams.
     So what only this row has weighs nothing, and trusted rows are judged as held-out ones. All
-    labels count at every size; without trusted rows all sums are 0.
+    labels count at every size; without trusted rows all sums are 0. Rows that repeat one another
+    count each, and rows that share an identifier are all trusted or none.
     """
     trusted = labels.where(wanted & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("target_id")).distinct()
     rows = located(docs, F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     rows = rows.join(trusted, F.col("doc_id") == F.col("target_id"), "left")
     rows = rows.select(place().alias("place"), F.col("target_id").isNotNull().alias("trusted"),
-                       F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    fewer = F.greatest(F.size("h") - 1, F.lit(0))
-    grams = F.concat("h", F.zip_with(F.slice("h", 1, fewer), F.slice("h", 2, fewer), lambda a, b: F.xxhash64(a, b)))
-    own = store(rows.select("place", "trusted", F.explode(grams).alias("gram")).groupBy("place", "gram").agg(
-        F.count(F.lit(1)).alias("n"), F.max("trusted").alias("trusted")), "grams")
-    known = F.when(F.col("trusted"), F.col("n")).otherwise(F.lit(0))
-    counts = own.groupBy("gram").agg(F.sum(known).alias("t"), F.sum("n").alias("r"))
-    nt, nr = own.agg(F.sum(known), F.sum("n")).first()
-    share = (nt or 0) / max(nr or 0, 1)
-    met = own.join(counts, "gram")
-    weight = F.log((F.col("t") - known + ALPHA * share) / (share * (F.col("r") - F.col("n") + ALPHA))) if share else F.lit(0.0)
-    return met.groupBy("place").agg(F.sum("n").alias("n_grams"), F.sum(F.col("n") * weight).alias("log_sum"))
+                       F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") > 0)
+    chunks = store(rows.mapInArrow(_chunks(CHUNK_WORDS), "chunk string, file binary, row binary, trusted binary, lengths binary, words binary, n_grams long, t_grams long"), "chunks")
+    nr, nt = (v or 0 for v in chunks.agg(F.sum("n_grams"), F.sum("t_grams")).first())
+    asked = chunks.select("chunk", "trusted", "lengths", "words").mapInArrow(
+        _ask(-(-nr // PART_GRAMS) or 1), "chunk string, part int, grams binary, n binary, t binary")
+    answers = asked.groupBy("part").applyInArrow(_answer, "chunk string, part int, r binary, t binary")
+    return chunks.drop("n_grams", "t_grams").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        _score(nt / max(nr, 1)), "place struct<file: bigint, row: bigint>, n_grams long, log_sum double")

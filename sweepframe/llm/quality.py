@@ -1,7 +1,7 @@
 """Operator 3: quality rules, and a log-likelihood ratio between trusted and raw text.
 
-Everything is a DataFrame expression over one row: words, lines and windows are arrays of that row,
-so nothing but the n-gram counts is shuffled, and a row costs what its own text costs.
+The rules are DataFrame expressions over one row: words, lines and windows are arrays of that row, so
+a row costs what its own text costs. The ratio comes from ``ngrams``, whose counts are numpy in tasks.
 """
 
 from __future__ import annotations
@@ -71,27 +71,14 @@ def rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def quality_rules(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
-    target_rows: int = ngrams.TARGET_ROWS,
-) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The columns of ``rules`` but the words, with ``log_ratio`` (mean weight per n-gram) and ``kept``.
 
-    The target is made of labelled rows of quality 1, the raw side of every row of ``docs``. A null
-    or empty text has no words, ratio 0 and fails the base rules; without trusted rows all ratios
-    are 0. Repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+    The target is made of labelled rows of quality 1, the raw side of every row of ``docs``, by
+    ``ngrams.word_sums``. A null or empty text has no words, ratio 0 and fails the base rules; without
+    trusted rows all ratios are 0. Rows are named by place: those that repeat one another or share an
+    identifier are judged each. An empty table gives no rows; other columns are ignored.
     """
-    base = rules(docs, doc_id, text)
-    raw = docs.select(F.col(doc_id).alias("doc_id"), words_of(text_of(text)).alias("words"))
-    table = ngrams.weights(raw, ngrams.target_ids(labels, F.col("quality") == 1, target_rows))
-    kept = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    scored = ngrams.log_ratio(base, table, ["doc_id", *kept]).select(
-        "doc_id", *kept, (F.col("log_sum") / F.greatest("n_grams", F.lit(1))).alias("log_ratio"))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
-
-
-def quality_by_words(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``quality_rules`` with the ratio of whole words and word pairs (``ngrams.word_sums``)."""
     docs = on_files(docs)
     named = located(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select(
         F.struct("doc_id", ngrams.place().alias("place")).alias("key"), "text")
@@ -105,4 +92,4 @@ def quality_by_words(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return quality_by_words(docs, labels)
+    return quality_rules(docs, labels)

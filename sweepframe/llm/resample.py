@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import AT, located, on_files, store, text_of, words_of
+from .common import AT, located, on_files, store
 
 PASSAGE = 200
 SHARE = 0.5
@@ -28,30 +28,22 @@ def gumbel(seed: int, *keys: Column | str) -> Column:
     return -F.log(-F.log(u))
 
 
-def importance(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None,
-               target_rows: int = ngrams.TARGET_ROWS, whole: bool = False) -> DataFrame:
+def importance(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
     """``__at, doc_id, n_grams, log_ratio, log_weight`` for every row.
 
     The target is made of labelled rows of quality 1 that aren't toxic; ``held_out``, a condition on
     the labels' ``doc_id``, leaves rows out of it. A null or empty text has no n-grams and ratio 0,
-    as everything has if no row is trusted. ``whole`` counts whole words (``ngrams.word_sums``), with
-    all labels. Other columns are ignored.
+    as everything has if no row is trusted. Rows are named by place, so repeated rows are weighed
+    each; an empty table gives no rows, other columns are ignored.
     """
     trusted = (F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
     if held_out is not None:
         trusted &= ~held_out
-    if whole:
-        docs = on_files(docs)
-        sums = ngrams.word_sums(docs, labels, trusted, doc_id, text)
-        rows = located(docs, F.col(doc_id).alias("doc_id")).withColumn("place", ngrams.place()).join(sums, "place", "left")
-        ratio = F.coalesce(F.col("log_sum") / F.col("n_grams"), F.lit(0.0))
-        return rows.select(AT, "doc_id", F.coalesce("n_grams", F.lit(0)).alias("n_grams"), ratio.alias("log_ratio"), (ratio * PASSAGE).alias("log_weight"))
-    raw = docs.select(F.col(doc_id).alias("doc_id"), words_of(text_of(text)).alias("words"))
-    table = ngrams.weights(raw, ngrams.target_ids(labels, trusted, target_rows))
-    rows = located(docs, F.col(doc_id).alias("doc_id"), words_of(text_of(text)).alias("words"))
-    scored = ngrams.log_ratio(rows, table, [AT, "doc_id"])
-    ratio = F.col("log_sum") / F.greatest("n_grams", F.lit(1))
-    return scored.select(AT, "doc_id", "n_grams", ratio.alias("log_ratio"), (ratio * PASSAGE).alias("log_weight"))
+    docs = on_files(docs)
+    sums = ngrams.word_sums(docs, labels, trusted, doc_id, text)
+    rows = located(docs, F.col(doc_id).alias("doc_id")).withColumn("place", ngrams.place()).join(sums, "place", "left")
+    ratio = F.coalesce(F.col("log_sum") / F.col("n_grams"), F.lit(0.0))
+    return rows.select(AT, "doc_id", F.coalesce("n_grams", F.lit(0)).alias("n_grams"), ratio.alias("log_ratio"), (ratio * PASSAGE).alias("log_weight"))
 
 
 def top_k(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -74,18 +66,19 @@ def top_k(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
 
 
 def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, seed: int = SEED,
-             held_out: Column | None = None, whole: bool = False) -> DataFrame:
+             held_out: Column | None = None) -> DataFrame:
     """``importance`` with ``gumbel_key`` and ``picked``: ``round(share * rows)`` rows are picked.
 
-    Rows with the same identifier and weight tie in their keys; the first place wins then. An empty
-    table gives no rows.
+    Noise is drawn from the identifier and the row's number in its file, so rows of a file that share
+    an identifier draw each their own, and a table that moves draws the same. Of equal keys the smaller
+    identifier wins, then the first place. An empty table gives no rows.
     """
-    scored = importance(docs, labels, doc_id, text, held_out, whole=whole)
-    keyed = store(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, "doc_id")), "keyed")
+    scored = importance(docs, labels, doc_id, text, held_out)
+    keyed = store(scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, "doc_id", f"{AT}.row")), "keyed")
     k = round(share * keyed.count())
     return top_k(keyed, k, [F.col("gumbel_key").desc(), F.col("doc_id"), F.col(AT)])
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return resample(docs, labels, whole=True).drop(AT)
+    return resample(docs, labels).drop(AT)
