@@ -3,7 +3,8 @@
 N-grams are whole words and pairs of neighbouring words, as 64-bit hashes; their table grows with
 the corpus. What moves is never a row per n-gram:
 
-1. Texts become chunks of about ``CHUNK_WORDS`` words, stored as arrays of word hashes.
+1. Texts become chunks of about ``CHUNK_WORDS`` words: arrays of word hashes, each word once, and of
+   the words' numbers. They are named by their first place, and made again alike if they are lost.
 2. Each chunk asks for its different grams, sorted and cut into ranges of the hash ("parts"), one
    compressed array per part. A part adds up what all chunks have of its grams.
 3. The answers go back in the order asked, so they needn't name the grams again, and meet the chunk.
@@ -11,6 +12,7 @@ the corpus. What moves is never a row per n-gram:
 A gram is one entry per chunk however common it is, so no word makes a hot part. The number of parts
 follows the number of n-grams, so a part's arrays stay near ``PART_GRAMS`` entries at every size.
 Where there are far more parts than a chunk has grams, arrays get short, at worst a row per gram.
+A gram is the upper ``GRAM_BITS`` bits of its hash, which cuts an eighth off what is sent.
 """
 
 from __future__ import annotations
@@ -27,10 +29,15 @@ from .common import AT, located, store, text_of, words_of
 
 ALPHA = 1.0
 #: Words of a chunk; a longer text is a chunk of its own.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 21
 #: N-grams, repeats included, that one part stands for.
 PART_GRAMS = 1 << 21
+GRAM_BITS = 56
+#: Trusted identifiers (8 bytes each) that may be broadcast; beyond, the texts' words are joined and stored.
+BROADCAST_IDS = 1_000_000
 
+CHUNK = ["chunk", "file", "row", "trusted", "lengths", "words", "numbers"]
+ASKING = ["chunk", "trusted", "lengths", "words", "numbers"]
 _U = np.uint64
 
 
@@ -56,6 +63,19 @@ def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
 
+def fold(words: np.ndarray) -> tuple[bytes, bytes]:
+    """The different words, frequent ones first, and the numbers of all words among them."""
+    different, which, n = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.arange(len(order), dtype=np.uint32)
+    return different[order].tobytes(), squash(number[which])
+
+
+def unfold(different: bytes, numbers: bytes) -> np.ndarray:
+    return np.frombuffer(different, np.uint64)[expand(numbers, np.uint32)]
+
+
 def grams_of(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(gram, text)`` of every word and every pair of neighbouring words within a text."""
     text = np.repeat(np.arange(len(lengths)), lengths)
@@ -64,7 +84,8 @@ def grams_of(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     pair = (a * _U(0x9E3779B97F4A7C15)) ^ (b + _U(0xD1B54A32D192ED03))
     pair = (pair ^ (pair >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     pair = (pair ^ (pair >> _U(27))) * _U(0x94D049BB133111EB)
-    return np.concatenate([words, pair ^ (pair >> _U(31))]), np.concatenate([text, text[1:][within]])
+    grams = np.concatenate([words, pair ^ (pair >> _U(31))]) >> _U(64 - GRAM_BITS)
+    return grams, np.concatenate([text, text[1:][within]])
 
 
 def _chunks(chunk_words: int) -> Callable:
@@ -76,12 +97,8 @@ def _chunks(chunk_words: int) -> Callable:
 
         def chunk() -> pa.RecordBatch:
             file, row, trusted, lengths, words = (np.concatenate(x) for x in zip(*held))
-            grams = 2 * lengths - 1
-            values = [f"{file[0]}:{row[0]}", squash(file), squash(row), squash(trusted), squash(lengths),
-                      zstandard.ZstdCompressor(level=3).compress(words.tobytes()), int(grams.sum()), int(grams[trusted > 0].sum())]
-            kinds = [pa.string(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)],
-                                              names=["chunk", "file", "row", "trusted", "lengths", "words", "n_grams", "t_grams"])
+            values = [f"{file[0]}:{row[0]}".encode(), squash(file), squash(row), squash(trusted), squash(lengths), *fold(words)]
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=CHUNK)
 
         for batch in batches:
             at, words = batch.column("place"), batch.column("words")
@@ -95,8 +112,11 @@ def _chunks(chunk_words: int) -> Callable:
                 room = offsets[lo] + max(chunk_words - size, 0)
                 hi = max(int(np.searchsorted(offsets, room, side="right")) - 1, lo + 1)
                 hi = min(hi, batch.num_rows)
-                held.append((file[lo:hi], row[lo:hi], trusted[lo:hi], np.diff(offsets[lo:hi + 1]), flat[offsets[lo]:offsets[hi]].copy()))
-                size += int(offsets[hi] - offsets[lo])
+                lengths = np.diff(offsets[lo:hi + 1])
+                if lengths.any():
+                    some = lengths > 0
+                    held.append((file[lo:hi][some], row[lo:hi][some], trusted[lo:hi][some], lengths[some], flat[offsets[lo]:offsets[hi]].copy()))
+                size += int(lengths.sum())
                 lo = hi
                 if size >= chunk_words:
                     yield chunk()
@@ -110,14 +130,13 @@ def _chunks(chunk_words: int) -> Callable:
 def _ask(parts: int) -> Callable:
     """The different grams of each chunk with their occurrences, in all rows and in trusted ones, by part."""
 
-    edges = np.array([-(-(p << 32) // parts) << 32 for p in range(1, parts)], np.uint64)
+    edges = np.array([-(-(p << 32) // parts) << GRAM_BITS - 32 for p in range(1, parts)], np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, trusted, lengths, words in zip(*[batch.column(c).to_pylist() for c in ("chunk", "trusted", "lengths", "words")]):
+            for chunk, trusted, lengths, *words in zip(*[batch.column(c).to_pylist() for c in ASKING]):
                 lengths, known = expand(lengths, np.int64), expand(trusted, np.uint8) > 0
-                words = np.frombuffer(zstandard.ZstdDecompressor().decompress(words), np.uint64)
-                grams, text = grams_of(words, lengths)
+                grams, text = grams_of(unfold(*words), lengths)
                 known = grams[known[text]]
                 grams, n = np.unique(grams, return_counts=True)
                 known, times = np.unique(known, return_counts=True)
@@ -126,7 +145,7 @@ def _ask(parts: int) -> Callable:
                 bounds = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
                 some = [(p, slice(lo, hi)) for p, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if hi > lo]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([chunk] * len(some), pa.string()), pa.array([p for p, _ in some], pa.int32()),
+                    pa.array([chunk] * len(some), pa.binary()), pa.array([p for p, _ in some], pa.int32()),
                     pa.array([squash(steps(grams[s])) for _, s in some], pa.binary()),
                     pa.array([squash(n[s].astype(np.int64)) for _, s in some], pa.binary()),
                     pa.array([squash(t[s]) for _, s in some], pa.binary()),
@@ -153,10 +172,9 @@ def _score(share: float) -> Callable:
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         lengths, trusted = expand(row["lengths"], np.int64), expand(row["trusted"], np.uint8)
-        words = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["words"]), np.uint64)
         answers = sorted(answers.select(["part", "r", "t"]).to_pylist(), key=lambda a: a["part"])
         r, t = (np.concatenate([expand(a[c], np.int64) for a in answers]) for c in ("r", "t"))
-        grams, text = grams_of(words, lengths)
+        grams, text = grams_of(unfold(row["words"], row["numbers"]), lengths)
         different, which = np.unique(grams, return_inverse=True)
         own, n = np.unique(text * len(different) + which, return_counts=True)
         text, which = np.divmod(own, len(different))
@@ -183,14 +201,18 @@ def word_sums(docs: DataFrame, labels: DataFrame, wanted: Column, doc_id: str =
     count each, and rows that share an identifier are all trusted or none.
     """
     trusted = labels.where(wanted & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("target_id")).distinct()
+    few = trusted.count() <= BROADCAST_IDS
     rows = located(docs, F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    rows = rows.join(trusted, F.col("doc_id") == F.col("target_id"), "left")
-    rows = rows.select(place().alias("place"), F.col("target_id").isNotNull().alias("trusted"),
-                       F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") > 0)
-    chunks = store(rows.mapInArrow(_chunks(CHUNK_WORDS), "chunk string, file binary, row binary, trusted binary, lengths binary, words binary, n_grams long, t_grams long"), "chunks")
-    nr, nt = (v or 0 for v in chunks.agg(F.sum("n_grams"), F.sum("t_grams")).first())
-    asked = chunks.select("chunk", "trusted", "lengths", "words").mapInArrow(
-        _ask(-(-nr // PART_GRAMS) or 1), "chunk string, part int, grams binary, n binary, t binary")
-    answers = asked.groupBy("part").applyInArrow(_answer, "chunk string, part int, r binary, t binary")
-    return chunks.drop("n_grams", "t_grams").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    rows = rows.join(F.broadcast(trusted) if few else trusted, F.col("doc_id") == F.col("target_id"), "left")
+    rows = rows.select(place().alias("place"), F.col("target_id").isNotNull().alias("trusted"), words_of(F.col("text")).alias("words"))
+    n = F.greatest(2 * F.size("words").cast("long") - 1, F.lit(0))
+    hashed = rows.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))
+    if not few:  # a join by shuffle leaves rows in any order; stored ones make the same chunks again
+        hashed = rows = store(hashed, "words")
+    nr, nt = (v or 0 for v in rows.agg(F.sum(n), F.sum(F.when(F.col("trusted"), n))).first())
+    # One shuffle of the chunks serves both those who ask and those who take the answers.
+    chunks = hashed.mapInArrow(_chunks(CHUNK_WORDS), ", ".join(f"{c} binary" for c in CHUNK)).repartition("chunk")
+    asked = chunks.mapInArrow(_ask(-(-nr // PART_GRAMS) or 1), "chunk binary, part int, grams binary, n binary, t binary")
+    answers = asked.groupBy("part").applyInArrow(_answer, "chunk binary, part int, r binary, t binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         _score(nt / max(nr, 1)), "place struct<file: bigint, row: bigint>, n_grams long, log_sum double")
