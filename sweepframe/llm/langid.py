@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import AT, located
+
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -150,17 +152,33 @@ def _largest(z: np.ndarray) -> np.ndarray:
     return z[:, 0]
 
 
+def shares(counts: dict[str, int], rows: int) -> dict[str, float]:
+    """The share of each language's rows to draw: equal numbers of rows, and all rows of rarer languages."""
+    out, left = {}, float(rows)
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        drawn = min(n, left / (len(counts) - i))
+        out[lang] = drawn / n
+        left -= drawn
+    return out
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, seed: int = SEED) -> Network | None:
     """Learn from windows of labelled rows outside the held-out quarter; None if there are none.
 
-    ``rows`` bounds the sample: a seeded share of the labelled rows, about that many. A row gives up
-    to ``TRAIN_WINDOWS`` windows from seeded places anywhere in its text.
+    ``rows`` bounds the sample: about that many rows, seeded, shared evenly among the languages, and
+    what rare ones leave over among the others. Chance is drawn from identifier and row number, so
+    rows that share an identifier are drawn each. A row gives up to ``TRAIN_WINDOWS`` windows from
+    seeded places anywhere in its text.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder(F.col(doc_id)) != 2))
-    total = labelled.count()
-    fate = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 30)) / float(1 << 30)
-    some = labelled.where(fate < rows / max(total, 1)).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.lit(seed + 1), F.col(doc_id)).alias("fate"))
+    named = located(docs, F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    labelled = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 2))
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # the network's classes
+    if not counts:
+        return None
+    share = F.create_map(*[F.lit(x) for pair in shares(counts, rows).items() for x in pair])
+    key = [F.col("doc_id"), F.col(f"{AT}.row")]
+    fate = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / float(1 << 30)
+    some = labelled.where(fate < share[F.col("lang")]).select("lang", "text", F.xxhash64(F.lit(seed + 1), *key).alias("fate"))
     taken = some.mapInArrow(sample_windows, "lang string, data binary").toPandas()
     if taken.empty:
         return None

@@ -30,6 +30,22 @@ def test_edge_rows(spark):
     assert [(r.lang_pred, r.score) for r in langid.identify(unlabelled).collect()] == [("und", 0.0)]
 
 
+def test_sample_is_bounded_and_every_language_is_in_it(spark):
+    assert langid.shares({"a": 10, "b": 1000, "c": 5000}, 210) == {"a": 1.0, "b": 0.1, "c": 0.02}
+    assert set(langid.shares({"a": 3, "b": 4}, 100).values()) == {1.0}
+    # One identifier for all rows: still a sample, neither all rows nor none.
+    made = spark.range(20_000).selectExpr("73L AS doc_id", "concat('some words ', id) AS text", "IF(id % 1000 = 0, 'rare', 'common') AS lang")
+    drawn = []
+    fit = langid.Network.fit
+    langid.Network.fit = lambda net, x, y, seed: drawn.append((net.classes, np.bincount(y))) or net
+    try:
+        langid.train(made, rows=300)
+    finally:
+        langid.Network.fit = fit
+    (classes, n), = drawn
+    assert classes == ["common", "rare"] and n[1] == 20 and 200 < n[0] < 360
+
+
 def test_windows_hold_every_byte_and_tables_agree_with_the_network():
     rng = np.random.default_rng(1)
     data = rng.integers(1, 256, 1000, dtype=np.uint8).tobytes()
