@@ -78,12 +78,12 @@ def request_false_alarms(spark, sf):
     requests.publish(spark, alarms=requests.alarm_summary(found, CONDITIONS, replicates=REPLICATES, seed=SEED))
     asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("false_alarms").alias("name"), F.to_json(F.struct(F.expr(ASKED_MODEL).alias("model"))).alias("arguments"))
     at = lambda path, kind="double": F.variant_get("result", f"$.{path}", kind)
-    return rounded(requests.answer(asked).select(
-        "id", "ok", "error", F.array_join("choices", ", ").alias("choices"), at("rate").alias("rate"), at("naive_ci95[0]").alias("naive_lo"), at("naive_ci95[1]").alias("naive_hi"),
-        at("clustered_ci95[0]").alias("clustered_lo"), at("clustered_ci95[1]").alias("clustered_hi"), at("naive_n", "bigint").alias("naive_n"),
-        F.size(at("by_clip", "array<variant>")).alias("_s"), at("by_clip[0].clip", "bigint").alias("first_clip"), at("by_clip[0].rate").alias("first_rate"),
-        F.abs(at("strongest_correlates[0].r")).alias("strongest"), F.abs(at("strongest_correlates[3].r")).alias("weakest"),
-    ).withColumn("clips", F.when(F.col("ok"), F.col("_s").cast("bigint"))).drop("_s"))
+    read = {
+        "ok": F.col("ok"), "error": F.col("error"), "choices": F.array_join("choices", ", "), "rate": at("rate"), "naive_lo": at("naive_ci95[0]"), "naive_hi": at("naive_ci95[1]"),
+        "clustered_lo": at("clustered_ci95[0]"), "clustered_hi": at("clustered_ci95[1]"), "naive_n": at("naive_n", "bigint"),
+        "clips": F.when(F.col("ok"), F.size(at("by_clip", "array<variant>")).cast("bigint")), "first_clip": at("by_clip[0].clip", "bigint"), "first_rate": at("by_clip[0].rate"),
+        "strongest": F.abs(at("strongest_correlates[0].r")), "weakest": F.abs(at("strongest_correlates[3].r"))}
+    return rounded(requests.answer(asked, read=read).select("id", *read))
 
 
 @query(f"""WITH sm AS (SELECT user_id::VARCHAR AS clip, event_type AS stream, UNNEST(['value', 'hour', 'gain']) AS "column", UNNEST([value, hour(ts)::DOUBLE, NULL]) AS v FROM events),
@@ -180,4 +180,5 @@ def request_dispatch(spark, sf):
     at = lambda path, kind="string": F.try_variant_get("result", f"$.{path}", kind)
     most = F.array_max(F.transform(at("passes", "array<variant>"), lambda p: F.variant_get(p, "$.frames", "bigint"))).cast("string")
     told = F.coalesce(at("model"), at("topic"), at("statistic"), at("status"), most, F.nullif(F.size(at("findings", "array<variant>")), F.lit(-1)).cast("string"))
-    return requests.answer(asked).select("id", "name", "ok", "error", F.coalesce(F.size("choices"), F.lit(-1)).alias("choices"), F.when(F.col("ok"), told).alias("told"))
+    read = {"ok": F.col("ok"), "error": F.col("error"), "choices": F.coalesce(F.size("choices"), F.lit(-1)), "told": F.when(F.col("ok"), told)}
+    return requests.answer(asked, read=read).select("id", "name", *read)

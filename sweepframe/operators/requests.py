@@ -15,10 +15,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import group_quantiles
+from ..plans import group_quantiles, pin
 from . import gates, stats
 from .ranking import top_per_group
 
@@ -162,7 +162,8 @@ def publish(
     """Register the summaries as views and the reports as SQL table functions; returns the functions' names.
 
     A summary that is left out is an empty view: its function then answers that nothing is published.
-    ``findings`` has ``kind, position, text``. Calling it again replaces everything.
+    ``findings`` has ``kind, position, text``. Calling it again replaces everything. Summaries are stored,
+    since a function reads one more than once.
     """
     empty = {
         "report_passes": "clip STRING, frames BIGINT", "report_alarms": "model STRING, rate DOUBLE", "report_claims": "topic STRING, statement STRING, level STRING, artifact STRING, caveat STRING",
@@ -170,19 +171,29 @@ def publish(
         "report_findings": "kind STRING, position INT, text STRING",
     }
     for view, given in zip(VIEWS, (passes, alarms, claims, telemetry, findings)):
-        (spark.createDataFrame([], empty[view]) if given is None else given).createOrReplaceTempView(view)
+        (spark.createDataFrame([], empty[view]) if given is None else pin(given)).createOrReplaceTempView(view)
     for r in reports(spec):
         parameters = ", ".join(f"{n} {t} DEFAULT {DEFAULTS[n]}" if n in DEFAULTS else f"{n} {t}" for n, t in r.parameters)
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {r.name}({parameters}) RETURNS TABLE({ANSWER}) RETURN {r.body}")
     return tuple(r.name for r in reports(spec))
 
 
-def answer(requests: DataFrame, name: str = "name", arguments: str = "arguments") -> DataFrame:
+def answer(
+    requests: DataFrame, name: str = "name", arguments: str = "arguments", read: Mapping[str, Column] | None = None
+) -> DataFrame:
     """``requests`` with ``ok, error, choices, result``; call :func:`publish` before.
 
     ``arguments`` is JSON text, an object or null for none. An unknown function, text that is no JSON
     object, a missing or unexpected argument, and whatever a function refuses, are error rows.
+    A result may be as long as a table of clips, and every request gets a copy. ``read`` names columns over
+    ``ok, error, choices, result`` to give instead: each different call is answered and read once, and
+    only what was read goes to its requests.
     """
+    if read is not None:
+        calls = requests.select(F.col(name).alias("_name"), F.col(arguments).alias("_arguments")).distinct()
+        told = pin(answer(calls, "_name", "_arguments").select("_name", "_arguments", *[c.alias(n) for n, c in read.items()]))
+        same = F.col(name).eqNullSafe(F.col("_name")) & F.col(arguments).eqNullSafe(F.col("_arguments"))
+        return requests.join(told, same).drop("_name", "_arguments")
     known = reports()
     parsed = requests.withColumn("_a", F.try_parse_json(F.coalesce(F.col(arguments), F.lit("{}"))))
     object_ = F.coalesce(F.schema_of_variant("_a").startswith("OBJECT"), F.lit(False))

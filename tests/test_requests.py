@@ -75,3 +75,12 @@ def test_profiles_without_some_columns(spark):
     a, b = requests.flight_profiles(frames).orderBy("clip").collect()
     assert (a["frames"], a["achieved_standoff_m"], a["standoff_range_m"], a["net_speed_ms"], a["commanded_standoff_m"], a["contrast"]) == (2, 1.5, [1.0, 2.0], 0.6, None, None)
     assert b["achieved_standoff_m"] is None
+
+
+def test_equal_calls_are_read_once(published):
+    calls = [("claim_for", '{"topic": "t1"}'), ("claim_for", '{"topic": "t9"}'), (None, "{}"), ("findings", None)]
+    rows = published.createDataFrame([(i, *calls[i % 4]) for i in range(400)], "id int, name string, arguments string")
+    got = requests.answer(rows, read={"ok": F.col("ok"), "level": F.variant_get("result", "$.level", "string"), "mark": F.uuid()}).collect()
+    assert sorted(r["id"] for r in got) == list(range(400)) and len({r["mark"] for r in got}) == 4
+    assert {(r["id"] % 4, r["ok"], r["level"]) for r in got} == {(0, True, "not_validated"), (1, False, None), (2, False, None), (3, True, None)}
+    assert got[0].asDict().keys() == {"id", "name", "arguments", "ok", "level", "mark"}
