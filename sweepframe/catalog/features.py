@@ -116,7 +116,7 @@ e AS (SELECT {draw_sql(0, 'vec_id')} % groups AS g, vec_id, embedding::DOUBLE[]
 m AS (SELECT 0 AS g, vec_id, v FROM one), {farthest_sql('two', 'm')}
 SELECT vec_id FROM two""")
 def kcenter_bank(spark, sf):
-    """Farthest-point picks through a tree of two levels."""
+    """Farthest-point picks from groups, then from all their picks."""
     e = embeddings(spark, sf).select("vec_id", "v")
     return vectors.kcenter_bank(e, "vec_id", "v", PICKS, held=HELD).select("vec_id")
 

@@ -366,6 +366,22 @@ def test_kcenter_where_keys_repeat(spark):
     assert vectors.kcenter_bank(spark.createDataFrame(rows[:0], "id bigint, v array<double>"), "id", "v", 3, held=12).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_kcenter_is_two_sequential_picks(spark, copies):
+    """More picks of groups than a task may hold are one set of rows all the same, and copies of a pick are no picks."""
+    from sweepframe.plans.seeded import draw
+
+    x = np.random.default_rng(8).uniform(size=(600, 3)).repeat(copies, axis=0)
+    f = features(spark, x)
+    groups = np.array([r["g"] for r in f.select("id", (draw(0, "id") % (1 << int(np.ceil(np.log2(60 * copies))))).alias("g")).orderBy("id").collect()])
+    first = np.sort(np.concatenate([np.flatnonzero(groups == g)[vectors._farthest(np.flatnonzero(groups == g), x[groups == g], 5)] for g in np.unique(groups)]))
+    want = first[vectors._farthest(first, x[first], 5)]
+    got = [r["id"] for r in vectors.kcenter_bank(f, "id", "v", 5, held=20).collect()]
+    assert len(first) > 20 and sorted(got) == sorted(want.tolist())
+    few = features(spark, np.eye(4).repeat(60, axis=0))
+    assert vectors.kcenter_bank(few, "id", "v", 5, held=20).count() == 4
+
+
 def test_random_bank_is_repeatable(spark):
     f = features(spark, np.eye(12))
     a, b = ({r["id"] for r in vectors.random_bank(f, "id", 5, seed=4).collect()} for _ in range(2))
