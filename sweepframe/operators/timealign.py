@@ -79,12 +79,15 @@ def index_times(index: DataFrame) -> DataFrame:
 def frame_records(paths: DataFrame, times: DataFrame) -> DataFrame:
     """``frame, path, clip, msg_index, t`` for every path that follows the naming convention.
 
-    A frame whose clip has no index, or whose number lies outside it, keeps ``t`` NULL.
+    A frame whose clip has no index, or whose number lies outside it, keeps ``t`` NULL. ``paths`` may
+    have a ``msg_index``, the number a frame was written under, which counts instead of the one in its
+    name: names of a fixed width lose the last digits of longer numbers.
     """
     name = stem(F.col("path"))
+    number = F.coalesce("msg_index", frame_index(name)) if "msg_index" in paths.columns else frame_index(name)
     named = paths.select(
         F.substring_index("path", "/", -1).alias("frame"), "path",
-        frame_clip(name).alias("clip"), frame_index(name).alias("msg_index"),
+        frame_clip(name).alias("clip"), number.alias("msg_index"),
     ).where(F.col("clip").isNotNull())
     return named.join(times.select("clip", "msg_index", "t"), ["clip", "msg_index"], "left").select(
         "frame", "path", "clip", "msg_index", "t"

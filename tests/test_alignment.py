@@ -62,6 +62,14 @@ def test_index_lookup_keeps_frames_outside_the_index(spark):
     assert [(r["clip"], r["msg_index"], r["t"]) for r in out] == [("clipA", 0, 5.0), ("clipA", 9, None)]
 
 
+def test_numbers_longer_than_the_name(spark):
+    """A number given beside a path counts; without one the name's is read."""
+    times = spark.createDataFrame([("c1", 1234567, 7.0), ("c1", 123456, 3.0)], "clip string, msg_index bigint, t double")
+    paths = spark.createDataFrame([("c1_video_123456.jpg", 1234567), ("c1_video_123456.png", None)], "path string, msg_index bigint")
+    out = timealign.frame_records(paths, times).orderBy("frame").collect()
+    assert [(r["frame"], r["clip"], r["msg_index"], r["t"]) for r in out] == [("c1_video_123456.jpg", "c1", 1234567, 7.0), ("c1_video_123456.png", "c1", 123456, 3.0)]
+
+
 def test_join_frames_and_coverage(spark):
     index = spark.createDataFrame([("clipA", [100.0, 500.0])], "clip string, times array<double>")
     paths = spark.createDataFrame([("clipA_video_000000.jpg",), ("clipA_video_000001.jpg",)], "path string")
