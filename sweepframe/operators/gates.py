@@ -195,10 +195,10 @@ def pass_report(
     flag = (F.col("_n") > 0).cast("double")
     trusted = F.col("status") == IN_ENVELOPE
     capture = gated.groupBy(clip).agg(
-        F.round(F.avg("standoff"), 3).alias("standoff_mean"),
+        _mean("standoff", 3).alias("standoff_mean"),
         F.round(F.min("standoff"), 2).alias("standoff_min"), F.round(F.max("standoff"), 2).alias("standoff_max"),
-        F.round(F.avg("net_speed"), 3).alias("net_speed_mean"),
-        F.round(F.avg(sharpness), 1).alias("sharpness_mean"),
+        _mean("net_speed", 3).alias("net_speed_mean"),
+        _mean(sharpness, 1).alias("sharpness_mean"),
         F.count_if(F.col("_n") > 0).alias("frames_with_detection"), F.sum("_n").alias("total_detections"),
         F.round(F.avg(F.when(trusted, flag)), 4).alias("rate_in_envelope"),
         F.round(F.avg(F.when(~trusted, flag)), 4).alias("rate_outside_envelope"),
@@ -209,6 +209,16 @@ def pass_report(
     return report.fillna(0, ["candidate_events", "confirmed_events", "longest_event"])
 
 
+def _mean(column: str, digits: int) -> Column:
+    """Rounded mean from an exact sum, so that halves are rounded alike in every order of rows.
+
+    Values count to ten decimals. Where one has no such decimal (NaN, infinite, beyond 1e18) it is the mean of doubles.
+    """
+    value, decimal = F.col(column), F.col(column).try_cast("decimal(28,10)")
+    exact = F.round(F.avg(decimal), digits).cast("double")
+    return F.when(F.count(decimal) == F.count(value), exact).otherwise(F.round(F.avg(value.cast("double")), digits))
+
+
 def _within(value: Column, band: tuple[float | None, float | None]) -> Column:
     lo, hi = band
     inside = F.lit(True)

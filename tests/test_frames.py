@@ -313,3 +313,13 @@ def test_missing_temperatures_are_unknown(spark):
         assert got[("a", 2)] is None and got[("b", 1)] is None
         want = {(r["cohort"], r["step"]): r["weight_g"] for r in grow(without, ["cohort"], ["step"]).collect()}
         assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_means_at_a_half_are_rounded_up_in_every_order(spark):
+    """Ten times 0.1 is a hair below 1 as a sum of doubles; NaN still gives the mean of doubles."""
+    kind = "clip string, i int, standoff double, net_speed double, locked boolean, sharpness double, ndet int"
+    low = [("a", i, 0.1 / 100, 0.1, True, 0.1 if i < 10 else 0.0, 0) for i in range(20)]
+    odd = [("b", 0, 1.0, 0.1, True, float("nan"), 0), ("c", 0, 1.0, 0.1, True, 1e300, 0), ("d", 0, 1.0, 0.1, True, None, 0)]
+    got = gates.pass_report(spark.createDataFrame(low + odd, kind).coalesce(1), SPEC, order=["i"], ndet="ndet")
+    means = {r["clip"]: r["sharpness_mean"] for r in got.collect()}
+    assert means["a"] == 0.1 and math.isnan(means["b"]) and means["c"] == 1e300 and means["d"] is None
