@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import mean_of, mean_positive, safe_double, stamp_seconds, vector_columns
+from ..plans import pin
+
+#: Clips whose choice of topic is sent to every task, a name and a topic each.
+SENT_CLIPS = 1_000_000
 
 # The sentinel of an absent thruster channel and the neutral pulse width.
 ABSENT_CHANNEL = 65535.0
@@ -102,12 +106,19 @@ def topic_counts(messages: DataFrame, topic: str = "topic", msgtype: str = "msgt
 def preferred_topic(messages: DataFrame, topics: Sequence[str], by: Sequence[str] = ("clip",), topic: str = "topic") -> DataFrame:
     """Messages of the first topic in the preference list that a clip has, stamped in ``source_topic``.
 
-    Which topics a clip has is a small aggregate; the messages themselves are only filtered
-    by a join on (clip, topic).
+    A single topic needs no choice. Otherwise which topic a clip has is a stored aggregate, a row per clip, sent to
+    every task up to ``SENT_CLIPS`` of them, so that messages stay where they are; beyond, they are joined by shuffle.
     """
+    if len(topics) == 1:
+        known = messages.where(F.col(topic) == topics[0])
+        for c in by:
+            known = known.where(F.col(c).isNotNull())
+        return known.withColumn("source_topic", F.col(topic))
     order = F.create_map(*[F.lit(v) for i, t in enumerate(topics) for v in (t, i)])
     known = messages.where(F.col(topic).isin(list(topics)))
-    chosen = known.groupBy(*by).agg(F.min_by(topic, order[F.col(topic)]).alias(topic))
+    chosen = pin(known.groupBy(*by).agg(F.min_by(topic, order[F.col(topic)]).alias(topic)))
+    if chosen.count() <= SENT_CLIPS:
+        chosen = F.broadcast(chosen)
     return known.join(chosen, [*by, topic]).withColumn("source_topic", F.col(topic))
 
 

@@ -143,3 +143,17 @@ def test_all_streams_extract(spark):
 def test_rate_needs_a_span(spark):
     one = stream(spark, [(5.0, 1.0)])
     assert timealign.stream_summary(one, ["clip"]).first()["rate_hz"] is None
+
+
+def test_messages_stay_where_they_are(spark):
+    """Choosing a topic never moves messages, also where no table is small enough for Spark's own broadcast."""
+    rows = [(c, t, f"{c}{t}", i, '{"altitude": 1}') for i, (c, t) in enumerate([("a", "/sensor/dvl_velocity"), ("a", "/nucleus1000dvl/bottomtrack"), ("b", "/nucleus1000dvl/bottomtrack"), (None, "/sensor/dvl_velocity"), ("a", "/bluerov2/battery"), (None, "/bluerov2/battery")])]
+    m = spark.createDataFrame(rows, "clip string, topic string, msgtype string, ts_ns bigint, payload string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, want in (("dvl", [("a", "/sensor/dvl_velocity"), ("b", "/nucleus1000dvl/bottomtrack")]), ("battery", [("a", "/bluerov2/battery")])):
+            out = telemetry.extract_stream(m, name)
+            assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+            assert sorted((r["clip"], r["source_topic"]) for r in out.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
