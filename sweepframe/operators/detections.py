@@ -148,6 +148,31 @@ def pr_curve(matches: DataFrame, truths: DataFrame, keys: Sequence[str] = ()) ->
     }).drop("_hit")
 
 
+def _hits_of_all(matches: DataFrame, truths: DataFrame, keys: list[str], levels: list[float]) -> DataFrame | None:
+    """``keys, iou_threshold, precision, recall`` at the true positives of :func:`pr_curve`, from one row a prediction.
+
+    A false positive never has the best precision of its recall. None where a prediction lacks one of the
+    ``levels`` or occurs twice: such matches have a ranking per threshold.
+    """
+    at = F.col("iou_threshold")
+    mark = F.coalesce(*[F.when(at == t, F.lit(1 << i).cast("bigint")) for i, t in enumerate(levels)])
+    rows = pin(matches.where(at.isin(levels)).groupBy(*keys, (-F.col("score")).alias("_rank"), "image", "box_id").agg(
+        F.coalesce(F.bit_or(F.when(F.col("gt_id").isNotNull(), mark)), F.lit(0).cast("bigint")).alias("_hits"),
+        F.bit_or(mark).alias("_met"), F.count(F.lit(1)).alias("_n")))
+    if not rows.where((F.col("_met") != (1 << len(levels)) - 1) | (F.col("_n") != len(levels))).isEmpty():
+        return None
+    hit = [F.shiftright("_hits", i).bitwiseAND(F.lit(1).cast("bigint")) for i in range(len(levels))]
+    ranked = ordered_columns(
+        rows.drop("_met", "_n"), keys, ["_rank", "image", "box_id"], sums={"_r": F.lit(1), **{f"_t{i}": h for i, h in enumerate(hit)}})
+    each = F.array(*[F.when(h == 1, F.struct(F.lit(t).alias("iou_threshold"), F.col(f"_t{i}").alias("tp"))) for i, (t, h) in enumerate(zip(levels, hit))])
+    points = ranked.select(*keys, "_r", F.inline(F.filter(each, lambda p: p.isNotNull())))
+    if keys:
+        points = points.join(truths.groupBy(*keys).agg(F.count(F.lit(1)).alias("gt")), keys, "left")
+    else:
+        points = points.withColumn("gt", truths.agg(F.count(F.lit(1))).scalar())
+    return points.select(*keys, "iou_threshold", (F.col("tp") / F.col("_r")).alias("precision"), F.try_divide("tp", "gt").alias("recall"))
+
+
 def average_precision(
     matches: DataFrame, truths: DataFrame, keys: Sequence[str] = (), iou_thresholds: Sequence[float] | None = None
 ) -> DataFrame:
@@ -155,9 +180,13 @@ def average_precision(
 
     A curve point counts for every recall level up to its own. The best precision is first
     taken per highest level reached, at most 101 rows, and those rows are then folded down.
+    Where several thresholds are given, a prediction is ranked once for all of them.
     """
     keys = [*keys, "iou_threshold"]
-    curve = pr_curve(matches, truths, keys[:-1])
+    several = iou_thresholds is not None and 1 < len(set(iou_thresholds)) <= 60
+    curve = _hits_of_all(matches, truths, keys[:-1], sorted({float(t) for t in iou_thresholds})) if several else None
+    if curve is None:
+        curve = pr_curve(matches, truths, keys[:-1])
     # Recall levels are i * 0.01 as doubles; the number reached is corrected at rounding edges.
     guess = F.floor(F.col("recall") * 100).cast("int")
     level = F.when(F.col("recall") >= (guess + 1) * F.lit(0.01), guess + 1).when(

@@ -202,3 +202,19 @@ def test_auroc_of_large_counts(spark):
 
     df = spark.createDataFrame([(0.5, 1), (0.5, 0)], T.StructType([T.StructField("s", T.DoubleType()), T.StructField("y", T.IntegerType())]))
     assert detections.auroc(df, "s", "y").first()["auroc"] == 0.5
+
+
+@pytest.mark.parametrize("odd", ["none", "twice", "lacking"])
+def test_one_ranking_serves_all_thresholds(spark, odd):
+    """The same values as a ranking per threshold, also where a prediction comes twice or lacks a threshold."""
+    levels = [0.5, 0.75, 0.95]
+    rows = [(c, i % 7, 100 * len(c) + i, float(i * 37 % 11), t, i if (i * 13 + j * 5 + len(c)) % 4 > j else None) for c in ("a", "bb") for i in range(60) for j, t in enumerate(levels)]
+    rows += {"none": [], "twice": rows[:9], "lacking": [("a", 8, 99, 3.0, 0.5, None)]}[odd]
+    m = spark.createDataFrame(rows, "class_name string, image int, box_id int, score double, iou_threshold double, gt_id int")
+    truths = spark.createDataFrame([(c,) for c in ["a"] * 80 + ["bb"] * 50], "class_name string")
+    for keys in ([], ["class_name"]):
+        one = detections.average_precision(m, truths, keys, levels)
+        each = [r for t in levels for r in detections.average_precision(m.where(F.col("iou_threshold") == t), truths, keys, [t]).select(one.columns).collect()]
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, each))
+        found = detections._hits_of_all(m, truths, keys, levels)
+        assert (found is None) == (odd != "none")
