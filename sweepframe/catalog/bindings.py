@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import micros
@@ -32,15 +32,19 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _corners() -> list[Column]:
+    x1, y1 = (F.col("l_partkey") % 4) * 8.0, (F.col("l_suppkey") % 4) * 8.0
+    x2, y2 = x1 + 20.0 + F.col("l_quantity") % 16, y1 + 20.0 + F.col("l_partkey") % 16
+    return [x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")]
+
+
 def box_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as boxes on order images; lines 1-2 are ground truth, the others predictions."""
-    x1, y1 = (F.col("l_partkey") % 4) * 8.0, (F.col("l_suppkey") % 4) * 8.0
     number = (
         (F.col("l_linenumber") * 1000003 + F.col("l_partkey")) * 10007 + F.col("l_suppkey")
     ) * 101 + F.col("l_quantity").cast("bigint")
     return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("image"), number.alias("box_id"), x1.alias("x1"), y1.alias("y1"),
-        (x1 + 20.0 + F.col("l_quantity") % 16).alias("x2"), (y1 + 20.0 + F.col("l_partkey") % 16).alias("y2"),
+        F.col("l_orderkey").alias("image"), number.alias("box_id"), *_corners(),
         F.col("l_linestatus").alias("class_name"), (F.col("l_discount") * 10.0).alias("score"),
         F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("clip"),
         F.when(F.col("l_tax") > 0, F.col("l_quantity") - 20.0).alias("contrast"),
@@ -60,8 +64,8 @@ def images(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderpriority").alias("set"))
 
 
-def motion(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items of a supplier in shipping order as frame motions; untaxed lines are unmatched."""
+def motion(spark: SparkSession, sf: str, boxes: bool = False) -> DataFrame:
+    """Line items of a supplier in shipping order as frame motions; untaxed lines are unmatched. ``boxes`` adds the box of each."""
     taxed = F.col("l_tax") > 0
     number = (
         (F.col("l_linenumber") * 1000003 + F.col("l_partkey")) * 10007 + F.col("l_suppkey")
@@ -74,6 +78,7 @@ def motion(spark: SparkSession, sf: str) -> DataFrame:
         (0.5 + F.round(F.col("l_discount") * 100.0) / 8.7).alias("standoff"),
         (F.col("l_quantity") / 5.0).alias("depth_m"),
         (F.col("l_extendedprice") / 1013.0).alias("travel_m"),
+        *([*_corners(), (F.col("l_discount") * 10.0).alias("score")] if boxes else []),
     )
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import group_limit, group_quantiles, group_sizes, ordered_columns, pin
@@ -54,10 +54,14 @@ def build_track(
         rows, [clip], order,
         sums={"along_m": F.col("_along"), "across_m": F.col("_across"), "drift_m": F.col("_travel")}, sizes=sizes,
     )
-    ends = rows.groupBy(clip).agg(F.round(F.sum("_along"), 4).alias("_end"))
+    if sizes[0] <= group_limit(motion.sparkSession):  # a pass lies in one task already, which sees its end
+        whole = Window.partitionBy(clip).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ended = placed.where(F.col(clip).isNotNull()).withColumn("_end", F.round(F.last("along_m").over(whole), 4))
+    else:
+        ended = placed.join(rows.groupBy(clip).agg(F.round(F.sum("_along"), 4).alias("_end")), clip)
     turn = F.when(F.col("_end") < 0, -1.0).otherwise(1.0)
     zero = F.lit(0.0)
-    return placed.join(ends, clip).withColumns({
+    return ended.withColumns({
         "orient": turn,
         "along_m": F.round(F.col("along_m") * turn, 4) + zero, "across_m": F.round(F.col("across_m") * turn, 4) + zero,
         "drift_m": F.round(F.col("drift_m") * DRIFT_FRACTION, 4),
@@ -173,11 +177,15 @@ def localise(
     ``keep`` names further track columns to hand on, such as the depth.
     """
     spots = track.select(*on, *keep, "along_m", "across_m", "mm_per_px", "orient", "drift_m")
-    joined = detections.join(spots, list(on))
+    return on_net(detections.join(spots, list(on)), image_width_px, image_height_px)
+
+
+def on_net(seen: DataFrame, image_width_px: float, image_height_px: float) -> DataFrame:
+    """:func:`localise` for rows that hold a box and the track's columns already, as a track built of its boxes' rows does."""
     scale = F.col("mm_per_px") / 1000.0
     off_x = (F.col("x1") + F.col("x2")) / 2.0 - image_width_px / 2.0
     off_y = (F.col("y1") + F.col("y2")) / 2.0 - image_height_px / 2.0
-    return joined.withColumns({
+    return seen.withColumns({
         "along_m": F.round(F.col("along_m") + F.col("orient") * off_x * scale, 3) + F.lit(0.0),
         "across_m": F.round(F.col("across_m") + F.col("orient") * off_y * scale, 3) + F.lit(0.0),
         "width_mm": F.round((F.col("x2") - F.col("x1")) * F.col("mm_per_px"), 1),
@@ -196,17 +204,27 @@ def _neighbour_cells(reach: int = 2) -> list[tuple[int, int]]:
     ]
 
 
-def link_within(points: DataFrame, radius: float, keys: Sequence[str] = ("clip",), x: str = "along_m", y: str = "across_m") -> DataFrame:
-    """Adds ``component``: points chained by steps no longer than ``radius``.
+def link_within(
+    points: DataFrame, radius: float, keys: Sequence[str] = ("clip",), x: str = "along_m", y: str = "across_m", *,
+    sizes: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Adds ``component``, a number that is unique within ``keys``: points chained by steps no longer than ``radius``.
 
     Cells of side ``radius / sqrt(2)`` hold only points within the radius of each other, so a
     crowded cell is one node and its pairs are never formed. Whether two neighbouring cells
     touch is decided by their facing outlines: for cells side by side, the outermost point of
     each row (distinct ``y``), for cells above each other, of each column. Positions are in
     whole millimetres after :func:`localise`, which bounds an outline by the cell width.
+
+    While every key's points fit a task they are dealt by key once and linked there. Otherwise cells
+    are a table, and so are the edges between them. ``sizes`` are the points of the largest key and
+    of all, where the caller has counted them.
     """
     keys = list(keys)
     side = radius / math.sqrt(2.0) * (1.0 - 1e-12)
+    if (sizes or group_sizes(points, keys))[0] <= group_limit(points.sparkSession):
+        known = points.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, x, y]))
+        return _linked_by_key(known, radius, side, keys, x, y)
     cell = [*keys, "_cx", "_cy"]
     # Read several times below, so the positions are stored rather than derived again.
     placed = pin(points.withColumns({
@@ -227,6 +245,52 @@ def link_within(points: DataFrame, radius: float, keys: Sequence[str] = ("clip",
     return celled.join(members, "_cell", "left").withColumn("component", F.coalesce("component", "_cell")).drop("_cell", "_cx", "_cy")
 
 
+#: Pairs of outline points that a task compares at a time.
+_PAIRS = 1_000_000
+
+
+def _linked_by_key(points: DataFrame, radius: float, side: float, keys: list[str], x: str, y: str) -> DataFrame:
+    """:func:`link_within` for keys that fit a task: the same cells and outlines, as arrays."""
+
+    def link(table: pa.Table) -> pa.Table:
+        at = [table.column(c).cast(pa.float64()).to_numpy() for c in (x, y)]
+        return table.append_column("component", pa.array(_chained(*at, radius, side), pa.int64()))
+
+    shape = points.withColumn("component", F.lit(0).cast("bigint")).schema
+    return points.groupBy(*keys).applyInArrow(link, shape)
+
+
+def _chained(x: np.ndarray, y: np.ndarray, radius: float, side: float) -> np.ndarray:
+    """For each point the smallest cell that its chain reaches; cells are numbered by place."""
+    cx, cy = (np.floor(v / side).astype(np.int64) for v in (x, y))
+    wide = cy.max() - cy.min() + 5
+    names, cell = np.unique((cx - cx.min() + 2) * wide + cy - cy.min() + 2, return_inverse=True)
+    ends = [np.zeros((2, 0), np.int64)]
+    for across, along, step in ((y, x, (1, 2)), (x, y, (0,))):
+        # The outline of a cell: for each row (column) of points its two outermost, a line (cell, place, lo, hi).
+        order = np.lexsort((along, across, cell))
+        c, p, v = cell[order], across[order], along[order]
+        first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (p[1:] != p[:-1])])
+        c, p, lo, hi = c[first], p[first], v[first], v[np.r_[first[1:], len(v)] - 1]
+        start, stop = (np.searchsorted(c, np.arange(len(names)), s) for s in ("left", "right"))
+        target = np.concatenate([names + dx * wide + dy for dx, dy in _neighbour_cells() if dx in step])
+        found = np.minimum(np.searchsorted(names, target), len(names) - 1)
+        met = np.flatnonzero(names[found] == target)
+        a, b = met % len(names), found[met]
+        many = stop - start
+        upto = np.r_[0, np.cumsum(many[a] * many[b])]
+        at = 0
+        while at < len(a):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + _PAIRS, "right")) - 1)
+            pair = np.repeat(np.arange(at, to), np.diff(upto[at:to + 1]))
+            nth = np.arange(upto[at], upto[to]) - upto[pair]
+            i, j = start[a[pair]] + nth // many[b[pair]], start[b[pair]] + nth % many[b[pair]]
+            near = np.unique(pair[np.hypot(lo[j] - hi[i], p[j] - p[i]) <= radius])
+            ends.append(np.stack([a[near], b[near]]))
+            at = to
+    return roots(*np.concatenate(ends, axis=1), len(names))[cell]
+
+
 def _facing(outline: DataFrame, keys: list[str], offsets: list[tuple[int, int]], across: str, radius: float) -> DataFrame:
     """Cell pairs at the given offsets whose facing outlines come within the radius."""
     shifts = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
@@ -263,9 +327,12 @@ def cluster_sites(
     is the best look. Every sighting belongs to exactly one place.
     """
     keys = list(keys)
-    linked = link_within(detections, radius_m, keys)
+    sizes, limit = group_sizes(detections, keys), group_limit(detections.sparkSession)
+    linked = link_within(detections, radius_m, keys, sizes=sizes)
     group = [*keys, "component"]
-    small = group_sizes(linked, group)[0] <= group_limit(detections.sparkSession)
+    if sizes[0] <= limit:  # dealt as rows, which are smaller than the sums of a place that most often has one row
+        linked = linked.repartition(*keys)
+    small = sizes[0] <= limit or group_sizes(linked, group)[0] <= limit
     medians = {"depth_m": "depth_m", "width_mm": "median_width_mm", "height_mm": "median_height_mm"}
     place = F.struct(*order)
     best = F.min_by(F.struct(F.col(frame).alias("frame"), "x1", "y1", "x2", "y2"), F.struct(-F.col("score"), *order))

@@ -111,6 +111,14 @@ def test_no_pairwise_joins(spark, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_places_of_small_passes_are_dealt_by_pass(spark):
+    """One shuffle by pass and one by place; it was more than ten, and two stored tables."""
+    from sweepframe.catalog import QUERIES
+
+    text = plan(QUERIES["cluster_sites"](spark, SF))
+    assert text.count("Exchange hashpartitioning") <= 2 and "pinned-" not in text
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     from sweepframe.catalog import QUERIES
 

@@ -102,6 +102,27 @@ def test_linkage_against_all_pairs(spark, seed):
             assert (label[i] == label[j]) == (find(i) == find(j))
 
 
+def test_linkage_is_the_same_within_and_across_tasks(spark, monkeypatch):
+    """Places of keys that fit a task are those of the cell tables; edges are compared a few pairs at a time."""
+    rnd = random.Random(5)
+    shape = [(round(rnd.uniform(-1.2, 1.2), 3), round(rnd.uniform(-1.2, 1.2), 3)) for _ in range(150)] + [(0.5, 0.5)] * 5
+    seen = sightings(spark, shape).unionByName(sightings(spark, [(y + 40.0, -x) for x, y in shape[:70]], "d")).cache()
+
+    def places():
+        found = {}
+        for r in spatial.link_within(seen, 0.1503).collect():
+            found.setdefault((r["clip"], r["component"]), set()).add(r["i"])
+        return sorted((clip, tuple(sorted(i))) for (clip, _), i in found.items())
+
+    monkeypatch.setattr(spatial, "_PAIRS", 7)
+    within = places()
+    spark.conf.set("spark.sweepframe.groupRows", "20")
+    try:
+        assert places() == within
+    finally:
+        spark.conf.unset("spark.sweepframe.groupRows")
+
+
 def test_min_sightings(spark):
     assert spatial.cluster_sites(sightings(spark, [(0, 0), (9, 9), (9, 9.1)]), ["i"], frame="i", min_sightings=2).count() == 1
 
