@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boxpairs, detections, gates, matching
+from ..plans import pin
 from .bindings import box_rows, gt_boxes, images, predictions
 from .registry import query, table
 from .statistics import rounded
@@ -147,7 +148,8 @@ def silent_detector(spark, sf):
 def _per_class(spark, sf, preds=None):
     keys = ["image", "class_name"]
     truths = gt_boxes(spark, sf)
-    m = matching.greedy_match(predictions(spark, sf) if preds is None else preds, truths, keys)
+    # Read by the totals, the ranking and the keys of its report.
+    m = pin(matching.greedy_match(predictions(spark, sf) if preds is None else preds, truths, keys).drop("match_iou"))
     totals = detections.match_totals(m, truths, ["class_name"])
     return totals.join(detections.average_precision(m, truths, ["class_name"]), ["class_name", "iou_threshold"]).drop("iou_threshold")
 
@@ -285,7 +287,8 @@ def ensemble_prf(spark, sf):
     keys = ["image", "variant"]
     truths = gt_boxes(spark, sf).withColumn("variant", F.explode(F.array(*[F.lit(m) for m in MODES])))
     # The union mode may hold a box id twice only if a model does; ids stay unique per variant here.
-    m = matching.greedy_match(_variants(spark, sf), truths, keys, iou_threshold=0.3)
+    m = matching.greedy_match(
+        _variants(spark, sf), gt_boxes(spark, sf), keys, iou_threshold=0.3, variants=["variant"], among=box_rows(spark, sf))
     return rounded(detections.match_totals(m, truths, ["variant"]).drop("iou_threshold"))
 
 
@@ -296,7 +299,9 @@ def ensemble_prf(spark, sf):
 def ensemble_empty_variant(spark, sf):
     """A variant that reports nothing keeps its row."""
     truths = gt_boxes(spark, sf).withColumn("variant", F.explode(F.array(*[F.lit(m) for m in MODES])))
-    m = matching.greedy_match(_variants(spark, sf).where(F.col("variant") != "agree"), truths, ["image", "variant"], iou_threshold=0.3)
+    found = _variants(spark, sf).where(F.col("variant") != "agree")
+    m = matching.greedy_match(
+        found, gt_boxes(spark, sf), ["image", "variant"], iou_threshold=0.3, variants=["variant"], among=box_rows(spark, sf))
     return rounded(detections.match_totals(m, truths, ["variant"]).drop("iou_threshold"))
 
 
@@ -317,7 +322,8 @@ def method_comparison(spark, sf):
     preds = predictions(spark, sf).withColumn("method", F.when(F.col("line") % 2 == 1, "odd").otherwise("even"))
     each = F.explode(F.array(*[F.lit(m) for m in methods]))
     truths = gt_boxes(spark, sf).withColumn("method", each)
-    m = matching.greedy_match(preds, truths, ["image", "method"])
+    # Read by the totals, the ranking and the keys of its report.
+    m = pin(matching.greedy_match(preds, gt_boxes(spark, sf), ["image", "method"], variants=["method"]).drop("match_iou"))
     slots = images(spark, sf).withColumn("method", each)
     top = preds.groupBy("image", "method").agg(F.max("score").alias("top_score"))
     known = gt_boxes(spark, sf).select("image").distinct().withColumn("damaged", F.lit(True))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import BOX, iou, named
-from ..plans import pin
+from ..plans import large_groups, pin
 
 #: Boxes of both sides that a cell holds before it is cut, and how often it may be cut.
 CROWD = 2_000
@@ -80,8 +80,15 @@ def pair_iou(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFram
 def agreeing(det: DataFrame, seg: DataFrame, keys: Sequence[str], min_iou: float = 0.30) -> DataFrame:
     """Boxes of ``det`` confirmed by some box of ``seg`` in the same image: a semi join on IoU.
 
-    Copies of one ``seg`` geometry are compared once.
+    Boxes of ordinary images are compared where they lie. Where an image is crowded, they meet through cells;
+    copies of one ``seg`` geometry are compared once.
     """
+    if large_groups(seg, keys, CROWD).isEmpty():
+        same = [F.col(f"_s_{k}") == F.col(k) for k in keys]
+        there = seg.select(*[F.col(c).alias(f"_s_{c}") for c in [*keys, *BOX]])
+        for condition in (iou(named(), named("_s_")) >= min_iou, iou(named(), named("_s_")) > 0):
+            same.append(condition)
+        return det.join(there, same, "left_semi")
     other = seg.select(*keys, *BOX).distinct()
     marked = det.select(*keys, "box_id", *BOX)
     hits = overlapping_pairs(marked, other, keys).where(F.col("iou") >= min_iou)

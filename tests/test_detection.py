@@ -218,3 +218,42 @@ def test_one_ranking_serves_all_thresholds(spark, odd):
         assert sorted(map(tuple, one.collect())) == sorted(map(tuple, each))
         found = detections._hits_of_all(m, truths, keys, levels)
         assert (found is None) == (odd != "none")
+
+
+def test_variants_share_truths_and_images_span_batches(spark):
+    """Variants are matched with the same truths as if each had its own; images go on over batch ends; ids may repeat."""
+    rnd = random.Random(8)
+    box = lambda: (x := rnd.uniform(0, 30), y := rnd.uniform(0, 30), x + rnd.uniform(10, 25), y + rnd.uniform(10, 25))
+    shape = "image string, box_id int, x1 double, y1 double, x2 double, y2 double"
+    truths = spark.createDataFrame([(f"i{i}", b, *box()) for i in range(6) for b in range(5)], shape).cache()
+    preds = spark.createDataFrame(
+        [(f"i{i}", b % 5, *box(), round(rnd.random(), 1), v) for i in range(7) for b in range(8) for v in ("a", "b")] + [(None, 1, *box(), 0.5, "a")],
+        shape + ", score double, variant string").cache()
+    keys = ["image", "variant"]
+    each = truths.withColumn("variant", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    shown = ["image", "variant", "box_id", "score", "iou_threshold", "gt_id", "match_iou"]
+    want = rows(matching.greedy_match(preds, each, keys, iou_threshold=[0.2, 0.5]).select(shown))
+    assert len(want) == 2 * (7 * 16 + 1) and any(r[5] is not None for r in want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = matching.greedy_match(preds, truths, keys, iou_threshold=[0.2, 0.5], variants=["variant"], among=preds.unionByName(truths, True))
+        assert rows(got.select(shown)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_images_are_matched_once_for_a_report(spark):
+    """Truths are not copied for every variant, and the report on classes reads stored matches."""
+    from conftest import SF
+    from sweepframe.catalog import QUERIES, detection
+
+    made = []
+    keep = matching._served
+    matching._served = lambda *a: made.append(keep(*a)) or made[-1]
+    try:
+        detection.ensemble_prf(spark, SF)
+        assert made[-1]._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0
+        report = QUERIES["macro_average"](spark, SF)
+    finally:
+        matching._served = keep
+    assert "MapInArrow" not in report._jdf.queryExecution().optimizedPlan().toString()
