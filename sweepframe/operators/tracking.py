@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -9,10 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import group_sizes, ordered_columns, pin
+from ..plans import group_limit, group_sizes, ordered_columns, pin
 from .ranking import carry_forward
 
 
+#: Frames that a task of the tracker is dealt on average, at most.
+FRAMES_PER_TASK = 250_000
+
+
 @dataclass(frozen=True)
 class Confirmation:
     """Fixed values of the tracker: association IoU, hits to confirm, frames survived unseen, score gate."""
@@ -68,9 +73,16 @@ def assign_tracks(
     count up per clip in the order tracks were opened.
     """
     gated = boxes.where(F.col("score") >= rule.conf).select(clip, order, "box_id", "x1", "y1", "x2", "y2")
-    busy = gated.select(clip, order).distinct().withColumn("_busy", F.lit(1))
-    timeline = frames.select(clip, order).join(busy, [clip, order], "left")
     sizes = group_sizes(frames, [clip])
+    spark = frames.sparkSession
+    # Tasks by the number of frames, so that what one holds does not grow with the table.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sizes[1] / FRAMES_PER_TASK))
+    either = frames.select(clip, order, F.lit(1).alias("_listed"), F.lit(None).cast("int").alias("_busy")).unionByName(
+        gated.select(clip, order, F.lit(None).cast("int").alias("_listed"), F.lit(1).alias("_busy")))
+    if sizes[0] <= group_limit(spark):  # dealt by clip once, for this and the windows
+        either = either.repartition(parts, clip)
+    timeline = either.groupBy(clip, order).agg(F.max("_listed").alias("_listed"), F.max("_busy").alias("_busy")).where(
+        F.col("_listed").isNotNull()).drop("_listed")
     counted = ordered_columns(
         timeline, [clip], [order], sums={"_empty": F.when(F.col("_busy").isNull(), 1).otherwise(0)}, sizes=sizes)
     active = ordered_columns(
@@ -83,7 +95,6 @@ def assign_tracks(
     pieces = ordered_columns(active, [clip], [order], sums={"piece": F.col("_cut")}, sizes=sizes).select(
         clip, order, "piece", "idle")
     # A fixed number of partitions: the rows are few bytes but much work, so they must not be merged.
-    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = gated.join(pieces, [clip, order]).repartition(parts, clip, "piece").sortWithinPartitions(clip, "piece", order, "box_id")
 
     kinds = dict(rows.dtypes)
@@ -121,10 +132,11 @@ def assign_tracks(
 
     followed = rows.select(clip, "piece", order, "idle", "box_id", "x1", "y1", "x2", "y2").mapInPandas(follow, shape)
     followed = pin(followed)  # read by the numbering of tracks and by the result
+    born_at = followed.where("is_new").select(clip, "piece", "track_no")
     births = ordered_columns(
-        followed.where("is_new").select(clip, "piece", "track_no"), [clip], ["piece", "track_no"], sums={"_nth": F.lit(1)}
+        born_at.repartition(parts, clip) if sizes[0] <= group_limit(spark) else born_at, [clip], ["piece", "track_no"], sums={"_nth": F.lit(1)}
     ).select(clip, "piece", "track_no", (F.col("_nth") - 1).alias("track_id"))
-    return followed.join(births, [clip, "piece", "track_no"]).select(
+    return followed.repartition(parts, clip, "piece", "track_no").join(births, [clip, "piece", "track_no"]).select(
         clip, order, "box_id", "track_id", "hits", "is_new", (F.col("hits") >= rule.min_hits).alias("confirmed")
     )
 

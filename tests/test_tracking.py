@@ -227,3 +227,14 @@ def test_run_summary(spark):
     alerts = tracking.first_alerts(tracking.assign_tracks(frames, boxes))
     r = tracking.run_summary(frames, boxes, alerts, "latency_ms").first()
     assert (r["frames"], r["raw_detections"], r["confirmed_alerts"], r["mean_latency_ms"], r["throughput_fps"]) == (4, 4, 1, 20.0, 50.0)
+
+
+def test_tasks_follow_the_number_of_frames(spark, monkeypatch):
+    """More frames are more tasks, not larger ones; boxes of frames that are not listed count for nothing."""
+    monkeypatch.setattr(tracking, "FRAMES_PER_TASK", 5)
+    frames = spark.createDataFrame([("c", i) for i in range(60)], FRAME)
+    seen = [("c", i, i, 0.0, 0.0, 10.0, 10.0, 0.9) for i in range(60)]
+    got = tracking.assign_tracks(frames, spark.createDataFrame([*seen, ("c", 99, 99, 0.0, 0.0, 10.0, 10.0, 0.9)], BOX))
+    assert [tuple(r) for r in got.select("frame_idx", "track_id", "hits").orderBy("frame_idx").collect()] == [(i, 0, i + 1) for i in range(60)]
+    dealt = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 12" in dealt and "RepartitionByExpression" in dealt
