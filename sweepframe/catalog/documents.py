@@ -103,7 +103,7 @@ COCO = BOXES + """, lb AS (SELECT o_custkey::VARCHAR AS doc, bx.*, 613 + image %
 @query(COCO + """SELECT stem || '.png' AS image, grp, CASE WHEN class_name = 'O' THEN 5 ELSE 2 END AS cls, round(x1 / w, 6) AS x1, round(y1 / 487.0, 6) AS y1, round(x2 / w, 6) AS x2, round(y2 / 487.0, 6) AS y2 FROM lb""")
 def document_coco_boxes(spark, sf):
     docs = coco_documents(spark, sf)
-    return rounded(annotations.coco_boxes(documents.coco_part(docs, "images"), documents.coco_part(docs, "annotations")))
+    return rounded(annotations.coco_boxes(*documents.coco_parts(docs, "images", "annotations")))
 
 
 @query(COCO + """SELECT stem || '.png' AS image, printf('%d %.6f %.6f %.6f %.6f', CASE WHEN class_name = 'O' THEN 1 ELSE 0 END, (x1 + (x2 - x1) / 2) / w, (y1 + (y2 - y1) / 2) / 487.0, (x2 - x1) / w, (y2 - y1) / 487.0) AS line
@@ -111,9 +111,9 @@ def document_coco_boxes(spark, sf):
 def document_coco_to_yolo(spark, sf):
     """Label lines with contiguous classes; crowds and images whose file is missing leave none."""
     docs = coco_documents(spark, sf)
-    images = documents.coco_part(docs, "images")
+    images, labels, categories = documents.coco_parts(docs, "images", "annotations", "categories")
     files = images.where("id % 5 <> 0").select("file_name")
-    return annotations.coco_to_yolo(images, documents.coco_part(docs, "annotations"), documents.coco_part(docs, "categories"), files)[0]
+    return annotations.coco_to_yolo(images, labels, categories, files)[0]
 
 
 @query("""SELECT user_id::VARCHAR AS source, (epoch_us(ts) // 1000000)::BIGINT AS time, round(value / 5, 6) AS sea_water_temperature_c, CASE WHEN event_id % 3 <> 0 THEN round(value / 60, 6) END AS sea_surface_wave_height_m FROM events WHERE user_id % 25 <> 0""")

@@ -128,7 +128,8 @@ def coco_boxes(images: DataFrame, annotations: DataFrame) -> DataFrame:
     """Boxes in image fractions; annotations of unknown images drop out."""
     im = images.select("doc", F.col("id").alias("image_id"), "file_name", F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"))
     b = F.col("bbox")
-    return annotations.join(im, ["doc", "image_id"]).select(
+    # Merged: labels look small as files, and as a broadcast they would be many times larger.
+    return annotations.join(im.hint("merge"), ["doc", "image_id"]).select(
         F.substring_index("file_name", "/", -1).alias("image"), group_of(stem(F.col("file_name"))).alias("grp"),
         F.coalesce("category_id", F.lit(0)).cast("int").alias("cls"), (b[0] / F.col("w")).alias("x1"), (b[1] / F.col("h")).alias("y1"),
         ((b[0] + b[2]) / F.col("w")).alias("x2"), ((b[1] + b[3]) / F.col("h")).alias("y2"))
@@ -161,9 +162,10 @@ def coco_to_yolo(
     present = files.select(F.col("file_name")).distinct()
     kept = images.where(sized).join(present, "file_name", "left_semi")
     skipped = images.where(~sized).select("file_name").unionByName(images.where(sized).join(present, "file_name", "left_anti").select("file_name"))
+    # Merged: labels look small as files, and as a broadcast they would be many times larger. Classes may be sent whole.
     ann = annotations.where(F.coalesce(F.col("iscrowd"), F.lit(0)) == 0).join(
-        coco_classes(categories, class_map, single_class).select("doc", "category_id", "class_id"), ["doc", "category_id"])
-    rows = ann.join(kept.select("doc", F.col("id").alias("image_id"), "file_name", "width", "height"), ["doc", "image_id"])
+        kept.select("doc", F.col("id").alias("image_id"), "file_name", "width", "height").hint("merge"), ["doc", "image_id"])
+    rows = ann.join(coco_classes(categories, class_map, single_class).select("doc", "category_id", "class_id"), ["doc", "category_id"])
     nested = F.from_json("segmentation", "ARRAY<ARRAY<DOUBLE>>")
     flat = F.from_json("segmentation", "ARRAY<DOUBLE>")
     polygons = F.when(F.coalesce(F.size(F.get(nested, F.lit(0))), F.lit(-1)) >= 0, nested).when(

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import pin
 from .annotations import DEFAULT_CLASS, VOC_SCHEMA
 from .landed import FORECAST_FIELDS, REGISTER_TEXT
 
@@ -27,8 +28,11 @@ COCO = {
 
 
 def parsed(docs: DataFrame, doc: str = "doc", text: str = "text") -> DataFrame:
-    """``doc, v``: documents as VARIANT; NULL where the text is no JSON."""
-    return docs.select(F.col(doc).alias("doc"), F.try_parse_json(F.col(text).cast("string")).alias("v"))
+    """``doc, v``: documents as VARIANT; NULL where the text is no JSON.
+
+    The parsed document comes out of an array of one: filters on it stay above, so a text is parsed once.
+    """
+    return docs.select(F.col(doc).alias("doc"), F.explode(F.array(F.try_parse_json(F.col(text).cast("string")))).alias("v"))
 
 
 def field(value: Column | str, path: str, kind: str) -> Column:
@@ -105,6 +109,17 @@ def coco_part(docs: DataFrame, part: str, doc: str = "doc", text: str = "text")
     return typed_part(items(docs, part, doc, text), part)
 
 
+def coco_parts(docs: DataFrame, *parts: str, doc: str = "doc", text: str = "text") -> list[DataFrame]:
+    """The rows of :func:`coco_part` for each of ``parts``; a document is built and parsed once for all of them."""
+    def kind(part: str) -> str:
+        return ", ".join(f"{c}: {k}" for c, k in (COCO[part] | ({"segmentation": "variant"} if part == "annotations" else {})).items())
+
+    stored = pin(_accepted(docs, doc, text).select("doc", *[field("v", p, f"array<struct<{kind(p)}>>").alias(p) for p in parts]))
+    text_of = {"segmentation": F.to_json("segmentation").alias("segmentation")}
+    rows = lambda p: stored.select("doc", F.explode(p).alias("_r")).select("doc", "_r.*")
+    return [part.select(*[text_of.get(c, F.col(c)) for c in part.columns]) for part in map(rows, parts)]
+
+
 def typed_part(rows: DataFrame, part: str) -> DataFrame:
     """The columns of a COCO part from elements ``doc, v``, whichever way they were read."""
     out = rows.select("doc", *[field("v", c, k).alias(c) for c, k in COCO[part].items()], *([F.to_json(field("v", "segmentation", "variant")).alias("segmentation")] if part == "annotations" else []))

@@ -85,3 +85,29 @@ def test_label_folder(spark, tmp_path):
     assert {r["kind"] for r in annotations.label_kinds(annotations.parse_label_lines(lines)).collect()} == {"mixed"}
     sliced = spark.read.format("label_lines").option("path", str(tmp_path)).option("sliceFiles", "2").load()
     assert sliced.rdd.getNumPartitions() == 4 and sliced.count() == 24
+
+
+ODD_COCO = [
+    None, "{", {"error": "gone", "images": [{"id": 1}]}, {}, {"images": "x", "annotations": {"a": 1}}, {"images": None, "annotations": [], "categories": [None, 3, "t", [1], {}]},
+    {"images": [{"id": "5", "width": 2.5, "height": "x", "file_name": 7}, {"id": None, "width": 2**40, "file_name": {"a": 1}}, 1, None, []], "categories": [{"id": 1, "name": None}]},
+    {"annotations": [{"image_id": 1, "bbox": [1, "2", None, "x"], "segmentation": [[1, 2, 3.5]]}, {"bbox": "x", "iscrowd": True, "segmentation": None}, {"bbox": [1e3, [2]], "segmentation": "s"}, {"category_id": 2.0, "segmentation": []}, None, 4]},
+]
+
+
+@pytest.mark.parametrize("part", ["images", "annotations", "categories"])
+def test_parts_read_together_equal_each_part(spark, part):
+    d = docs(spark, *ODD_COCO)
+    alone = documents.coco_part(d, part)
+    together = documents.coco_parts(d, "images", "annotations", "categories")[["images", "annotations", "categories"].index(part)]
+    assert together.schema == alone.schema
+    assert sorted(map(repr, together.collect())) == sorted(map(repr, alone.collect())) and alone.count()
+
+
+def parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson")
+
+
+def test_a_text_is_parsed_once(spark):
+    d = docs(spark, *ODD_COCO)
+    assert parses(documents.items(d, "images")) == parses(documents.rejected(d)) == parses(documents.register_sites(d)) == 1
+    assert sum(parses(p) for p in documents.coco_parts(d, "images", "annotations")) == 0  # stored
