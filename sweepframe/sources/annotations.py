@@ -38,15 +38,15 @@ def parse_label_lines(lines: DataFrame) -> DataFrame:
     Four coordinates are a box, an even number from six on a polygon. A box outside [0, 1] is
     kept and reported; a line that cannot be read has no ``kind``.
     """
-    parts = F.split(F.trim("line"), r"\s+")
-    numbers = F.transform(parts, lambda p: p.try_cast("double"))
-    rows = lines.where(F.trim("line") != "").select("path", "line_no", numbers.alias("_n"))
+    numbers = F.split(F.trim("line"), r"\s+").try_cast("array<double>")
+    # Out of an array of one: filters on what is derived stay above, so a line is read once.
+    rows = lines.where(F.trim("line") != "").select("path", "line_no", F.explode(F.array(numbers)).alias("_n"))
     coords = F.slice("_n", 2, F.size("_n") - 1)
     rows = rows.withColumn("coords", F.when(F.size("_n") > 1, coords).otherwise(F.array().cast("array<double>")))
     count = F.size("coords")
-    broken = F.exists("_n", lambda v: v.isNull())
+    broken = F.get(F.sort_array("_n"), F.lit(0)).isNull()  # nulls sort first
     kind = F.when(broken, None).when(count == 4, "detection").when((count >= 6) & (count % 2 == 0), "segmentation")
-    outside = F.exists("coords", lambda v: (v < 0) | (v > 1))
+    outside = (F.array_min("coords") < 0) | (F.array_max("coords") > 1)
     where = F.concat(F.substring_index("path", "/", -1), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "))
     # The sentences below are outputs that must match the published ones word for word.
     error = (
@@ -66,10 +66,18 @@ def label_kinds(parsed: DataFrame) -> DataFrame:
 
 
 def label_errors(parsed: DataFrame) -> DataFrame:
-    """``path, error``: the errors of lines, and one per file that mixes kinds."""
-    mixed = label_kinds(parsed).where(F.col("kind") == "mixed").select(
-        "path", F.concat(F.substring_index("path", "/", -1), F.lit(": mixes detection and segmentation lines")).alias("error"))
-    return parsed.where(F.col("error").isNotNull()).select("path", "error").unionByName(mixed)
+    """``path, error``: the errors of lines, and one per file that mixes kinds; lines are read once.
+
+    A line counts for its file, under no error, and for its own error if it has one.
+    """
+    own = F.struct("error", F.lit(None).cast("string").alias("kind"))
+    of_file = F.struct(F.lit(None).cast("string").alias("error"), "kind")
+    said = parsed.select("path", F.explode(F.when(F.col("error").isNull(), F.array(of_file)).otherwise(F.array(of_file, own))).alias("s")).select("path", "s.*")
+    found = said.groupBy("path", "error").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("kind") == "detection").alias("boxes"), F.bool_or(F.col("kind") == "segmentation").alias("shapes"))
+    mixed = F.when(F.col("boxes") & F.col("shapes"), F.concat(F.substring_index("path", "/", -1), F.lit(": mixes detection and segmentation lines")))
+    errors = found.select("path", F.coalesce("error", mixed).alias("error"), F.when(F.col("error").isNull(), 1).otherwise(F.col("n")).alias("n"))
+    return errors.where(F.col("error").isNotNull()).select("path", "error", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_i")).drop("_i")
 
 
 def _class_name(index: Column, classes: Sequence[str]) -> Column:

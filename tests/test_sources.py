@@ -178,3 +178,34 @@ def test_event_sink(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "e")).count() == 2
     artifacts.write_reports(spark.createDataFrame([("PASS",)], "verdict string"), str(tmp_path / "v"))
     assert spark.read.json(str(tmp_path / "v")).first()["verdict"] == "PASS"
+
+
+ODD_LINES = [
+    "0 .5 .5 .1 .1", "1  0.1 0.2 0.3 0.4 0.5 0.6", "0 .5 .5 .1 .1", "word", "", "   ", "2", "0 a b c d", "0 1.5 .5 .1 .1", "0 -1e-9 .5 .1 .1", "0 1 0 1 0", "0 NaN 0 0 0", "0 .1 NaN .2 -1", "0 Infinity 0 0 0",
+    "0 -Infinity 1 1 1", "0 1e400 0 0 0", "0 1d 1f .5 .5", "x .5 .5 .1 .1", "0.9 .5 .5 .1 .1", "0\t.5\t.5 .1 .1", "\t0 .5 .5 .1 .1", "0 .1 .2 .3", "0 .1 .2 .3 .4 .5 .6 .7", "0 0x1 .1 .1 .1", None,
+    "0 2 2 2 2 2 2", "0 .1,.2 .3 .4 .5",
+]
+
+
+def test_odd_label_lines_as_numbers_one_by_one(spark):
+    """The parser against conversions of one token at a time; a file that mixes kinds is reported once, a repeated line each time."""
+    lines = spark.createDataFrame([(p, i + 1, t) for p in ("l/a.txt", "l/b.txt") for i, t in enumerate(ODD_LINES)] + [("l/b.txt", 4, "word")] * 2 + [("l/c.txt", 1, "0 .5 .5 .1 .1")], "path string, line_no int, line string")
+    parsed = annotations.parse_label_lines(lines)
+    numbers = F.transform(F.split(F.trim("line"), r"\s+"), lambda p: p.try_cast("double"))
+    plain = lines.where(F.trim("line") != "").select(
+        "path", "line_no", numbers[0].cast("int").alias("class_id"), F.when(F.size(numbers) > 1, F.slice(numbers, 2, F.size(numbers) - 1)).otherwise(F.expr("array()")).alias("coords"),
+        F.exists(numbers, lambda v: v.isNull()).alias("broken"), F.exists(numbers, lambda v: v.isNotNull() & ((v < 0) | (v > 1))).alias("far"), F.slice(numbers, 2, 99).alias("tail"))
+    assert rows(parsed.select("path", "line_no", "class_id", F.col("coords").cast("string"))) == rows(plain.select("path", "line_no", "class_id", F.col("coords").cast("string")))
+    outside = F.exists("tail", lambda v: (v < 0) | (v > 1))
+    said = F.when(F.col("broken"), "non-numeric token").when(~(F.size("coords") == 4) & ~((F.size("coords") >= 6) & (F.size("coords") % 2 == 0)), F.concat(F.lit("expected 4 (box) or even>=6 (polygon) coords, got "), F.size("coords").cast("string"))).when(
+        (F.size("coords") == 4) & outside, "box not normalised to [0,1]")
+    want = [(r["path"], f"{r['path'][2:]}:{r['line_no']}: {r['said']}") for r in plain.withColumn("said", said).where("said IS NOT NULL").collect()]
+    assert rows(annotations.label_errors(parsed)) == sorted(want + [(p, f"{p[2:]}: mixes detection and segmentation lines") for p in ("l/a.txt", "l/b.txt")], key=repr)
+
+
+def test_a_label_line_is_read_once(spark):
+    lines = spark.createDataFrame([("l/a.txt", 1, "0 .5 .5 .1 .1")], "path string, line_no int, line string")
+    images = spark.createDataFrame([("a.png", 4, 4)], "image string, width int, height int")
+    parsed = annotations.parse_label_lines(lines)
+    for df in (annotations.label_errors(parsed), annotations.label_boxes(parsed, images), parsed.where("error IS NOT NULL")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
