@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import annotations, documents
@@ -27,8 +28,8 @@ def label_lines(spark, sf):
     text = F.expr("""CASE what WHEN 'polygon' THEN concat_ws(' ', cls, x1 / 64, y1 / 64, x2 / 64, y1 / 64, x2 / 64, y2 / 64) WHEN 'word' THEN concat_ws(' ', cls, x1 / 64, 'wide')
         WHEN 'short' THEN concat_ws(' ', cls, x1 / 64, y1 / 64) WHEN 'outside' THEN concat_ws(' ', cls, 1.5, y1 / 64, 0.5, 0.5) ELSE concat_ws('  ', cls, x1 / 64, y1 / 64, (x2 - x1) / 64, (y2 - y1) / 64) END""")
     path = F.concat(F.lit("labels/clip"), F.col("clip").cast("string"), F.lit("/"), F.col("image").cast("string"), F.lit(".txt"))
-    rows = b.select(path.alias("path"), "line", "box_id", text.alias("text")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "box_id", "text"))).alias("l"))
-    return rows.select("path", F.posexplode("l").alias("i", "l")).select("path", (F.col("i") + 1).alias("line_no"), F.col("l.text").alias("line"))
+    ordered = Window.partitionBy("path").orderBy("line", "box_id", "text")
+    return b.select(path.alias("path"), "line", "box_id", text.alias("text")).select("path", F.row_number().over(ordered).alias("line_no"), F.col("text").alias("line"))
 
 
 @query(LINES + """SELECT path, line_no, cls AS class_id, kind, array_to_string(list_transform(coords, lambda x: coalesce(round(x, 4)::VARCHAR, 'NULL')), ' ') AS coords, error FROM er""")
@@ -53,7 +54,7 @@ def label_file_errors(spark, sf):
   round((coords[1] + coords[3] / 2) * 640, 4) AS x2, round((coords[2] + coords[4] / 2) * 480, 4) AS y2, 1.0::DOUBLE AS score FROM er WHERE kind = 'detection'""")
 def label_boxes_in_pixels(spark, sf):
     lines = label_lines(spark, sf)
-    images = lines.select(F.concat(F.regexp_extract("path", r"([^/]*)\.txt$", 1), F.lit(".png")).alias("image")).distinct().withColumns({"width": F.lit(640), "height": F.lit(480)})
+    images = box_rows(spark, sf).select("image").distinct().select(F.concat(F.col("image").cast("string"), F.lit(".png")).alias("image"), F.lit(640).alias("width"), F.lit(480).alias("height"))
     return rounded(annotations.label_boxes(annotations.parse_label_lines(lines), images, ["net"]), 4)
 
 
