@@ -2,11 +2,14 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+from sweepframe.catalog import QUERIES
 from sweepframe.operators import boxpairs, governance, pens, spatial, vectors, vision
 
 MOTION = "clip string, i int, dx_px double, dy_px double, standoff double, depth_m double"
@@ -359,6 +362,29 @@ def test_nearest_in_bank_leaves_far_cells_alone(spark):
     assert sum(r["pairs"] for r in rows) < 0.5 * len(x) * len(b)
 
 
+def test_nearest_compares_in_tiles_of_fixed_size(spark):
+    """More rows and bank vectors than a tile, in parts, give the exact distances; memory does not grow with the block."""
+    rng = np.random.default_rng(5)
+    x, b = rng.normal(size=(2500, 3)), rng.normal(size=(3300, 3))
+    want = np.linalg.norm(x[:, None] - b[None], axis=2).min(axis=1)
+    assert np.allclose(vectors._nearest(x, [b[:7], b[7:1500], b[1500:]]), want)
+    found = vectors.nearest_in_bank(features(spark, x), features(spark, b), "id", "v").orderBy("id").collect()
+    assert np.allclose([r["distance"] for r in found], want)
+    peaks = []
+    for size in (4096, 65536):
+        bank = rng.normal(size=(size, 8))
+        tracemalloc.start()
+        vectors._nearest(rng.normal(size=(2048, 8)), [bank])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 40 << 20 and peaks[1] < 1.2 * peaks[0]
+
+
+@pytest.mark.parametrize("name", ["ood_calibrate_flag", "bank_threshold"])
+def test_distances_to_the_bank_are_measured_once(spark, name):
+    assert "CoGroup" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("held", [400, 40, 20])
 def test_kcenter_bank_spreads(spark, held):
     rng = np.random.default_rng(3)
