@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import mean_of
 from ..operators import detections, vectors
+from ..plans import pin
 from ..plans.seeded import draw_sql
 from .registry import query, table
 from .statistics import rounded
@@ -78,14 +79,14 @@ def nn_memory_bank(spark, sf):
 
 @query(NEAREST + "SELECT round(median(distance), 6) AS median, round(quantile_cont(distance, 0.99), 6) AS p99, round(2 * median(distance), 6) AS threshold FROM d WHERE label <> 0")
 def bank_threshold(spark, sf):
-    return rounded(vectors.bank_threshold(_nearest(spark, sf).where(F.col("label") != 0)))
+    return rounded(vectors.bank_threshold(pin(_nearest(spark, sf).where(F.col("label") != 0))))
 
 
 @query(NEAREST + """, t AS (SELECT quantile_cont(distance, 0.95) AS thr FROM d WHERE label = 1)
 SELECT label, count(*) AS frames, round(avg(CASE WHEN distance >= thr THEN 1.0 ELSE 0.0 END), 6) AS flag_rate, round(avg(distance), 6) AS mean_score,
   round(any_value(thr), 6) AS threshold FROM d, t GROUP BY 1""")
 def ood_calibrate_flag(spark, sf):
-    rows = _nearest(spark, sf).withColumnRenamed("distance", "score")
+    rows = pin(_nearest(spark, sf).withColumnRenamed("distance", "score"))  # read for the cut-off and for the flags
     threshold = detections.ood_threshold(rows.where(F.col("label") == 1))
     flagged = detections.ood_flags(rows, threshold)
     return rounded(flagged.groupBy("label").agg(
