@@ -114,3 +114,25 @@ def test_regions_own_every_window(monkeypatch, block):
                     assert anchors.setdefault(read[d][1](s + k, 1), a) == a
         for d, (codes, _) in enumerate(read):
             assert owned[d] == list(range(max(0, len(codes) - units.length + 1)))
+
+
+def test_common_phrases_are_no_repeats(spark):
+    """Texts that share phrases of 40 bytes, but no window, have no region to store, move or sort; planted windows are found all the same."""
+    rng = random.Random(8)
+    fill = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrases_ = [fill(40) for _ in range(4)]
+    rows = [(i, "".join(fill(rng.randint(5, 60)) + rng.choice(phrases_) for _ in range(30))) for i in range(60)]
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    assert regions.repeated(regions.numbered(frame(rows), "doc_id", "text"), regions.ByteUnits(400), keep=True).count() == 0
+    rows += [(100 + i, fill(300) + rows[i][1][50:50 + 400 + i] + fill(200)) for i in range(3)]
+    found = suffixes.substring_dedup(frame(rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found), key=repr) == bytes_by_hand(rows, 400)
+    assert sorted(r.doc_id for r in found if r.n_removed) == [0, 1, 2, 100, 101, 102]
+
+
+def test_long_anchors_are_hashes_of_their_bytes():
+    units = regions.ByteUnits(400)
+    text = bytes(random.Random(9).choices(b"ab", k=500)) * 2
+    hashes = units.grams(np.frombuffer(text, np.uint8)).tolist()
+    grams = [text[i:i + units.k] for i in range(len(text) - units.k + 1)]
+    assert units.k == 64 and len(hashes) == len(grams) and len(set(zip(hashes, grams))) == len(set(hashes)) == len(set(grams))
