@@ -111,14 +111,14 @@ def phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 
     whole = found.where("doc_id > least").select("file", "row", F.explode("starts").alias("start"), "windows")
     heads = found.where("head and not alone")
-    few = regions.cut_out(texts, heads.where(F.col("size") <= regions.LARGE), units)
+    few = regions.cut_out(texts, heads.where(F.col("size") <= regions.LARGE), units, F.lit(False))
     least = heads.select("anchor", "content", "least")
     met = few.join(least, ["anchor", "content"]).select("anchor", "content", "windows", "data", "least")
     met = met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         lambda batches: scan(batches, length), "anchor bigint, content bigint, first int, n int")
     large = heads.where(F.col("size") > regions.LARGE)
     if not large.isEmpty():
-        single = regions.cut_out(texts, large, units, single=True)
+        single = regions.cut_out(texts, large, units, F.lit(True)).drop("windows", "data")
         single = store(single.join(least, ["anchor", "content"]), "windows")
         first = single.groupBy("key", "check").agg(F.min("least").alias("owner"))
         hits = single.join(first, ["key", "check"]).where("owner < least")

@@ -1,13 +1,19 @@
 """Operators 4 and 8 against plain Python on texts that repeat much."""
 
 import collections
+import glob
+import os
 import random
+import tempfile
+import time
 
 import edge
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sweepframe.llm import phrases, regions, suffixes
+from sweepframe.llm.common import CLEANUP, store
 
 
 def texts(kind, n=60, seed=5):
@@ -136,3 +142,22 @@ def test_long_anchors_are_hashes_of_their_bytes():
     hashes = units.grams(np.frombuffer(text, np.uint8)).tolist()
     grams = [text[i:i + units.k] for i in range(len(text) - units.k + 1)]
     assert units.k == 64 and len(hashes) == len(grams) and len(set(zip(hashes, grams))) == len(set(hashes)) == len(set(grams))
+
+
+def test_regions_and_windows_are_cut_in_one_join(spark):
+    rows = regions.numbered(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string"), "doc_id", "text")
+    wanted = rows.select("file", "row").crossJoin(spark.createDataFrame([(5, 1, [0], 3, 9), (6, 2, [2], 1, 1)], "anchor long, content long, starts array<long>, windows int, size long"))
+    found = regions.cut_out(regions.packed(rows), wanted, regions.ByteUnits(6), F.col("size") > 4).collect()
+    assert [(r.anchor, r.content, r.windows, bytes(r.data)) for r in found if r.data is not None] == [(6, 2, 1, b"cdefgh")]
+    assert sorted((r.anchor, r.content, r.part) for r in found if r.key is not None) == [(5, 1, 0), (5, 1, 1), (5, 1, 2)]
+    assert len({(r.key, r.check) for r in found}) == 4
+
+
+def test_stored_tables_leave_no_shuffle_behind(spark):
+    files = lambda: set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    assert store(spark.range(400_000).repartition(3, "id")).count() == 400_000
+    end = time.time() + 20
+    while (left := {f for f in files() - before if os.path.getsize(f) > 10_000}) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(CLEANUP) == "false"
