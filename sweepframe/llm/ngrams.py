@@ -1,13 +1,16 @@
 """Hashed n-gram multinomials of a trusted target and of the whole corpus, and the ratio of each text.
 
 N-grams are whole words and pairs of neighbouring words, as 64-bit hashes; their table grows with
-the corpus. What moves is never a row per n-gram:
-
-1. Texts become chunks of about ``CHUNK_WORDS`` words: arrays of word hashes, each word once, and of
-   the words' numbers. They are named by their first place, and made again alike if they are lost.
-2. Each chunk asks for its different grams, sorted and cut into ranges of the hash ("parts"), one
-   compressed array per part. A part adds up what all chunks have of its grams.
+the corpus. What moves is never a row per n-gram, and not all at once: the hashes are cut into
+``PASSES`` ranges, each range is counted and scored by itself, and its shuffles are removed before the
+next. So the disk that is taken at a time is a share of what a corpus moves, and texts are read once a pass.
+
+1. Texts become chunks of about ``CHUNK_WORDS`` words: the pass's different grams, sorted, and for each
+   the texts that have it. They are named by their first place, and made again alike if they are lost.
+2. Each chunk asks for its grams, cut into ranges of the hash ("parts"), one compressed array per part.
+   A part adds up what all chunks have of its grams.
 3. The answers go back in the order asked, so they needn't name the grams again, and meet the chunk.
+4. A text's sum is that of its passes, added in their order.
 
 A gram is one entry per chunk however common it is, so no word makes a hot part. The number of parts
 follows the number of n-grams, so a part's arrays stay near ``PART_GRAMS`` entries at every size.
@@ -18,6 +21,7 @@ A gram is the upper ``GRAM_BITS`` bits of its hash, which cuts an eighth off wha
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +37,13 @@ CHUNK_WORDS = 1 << 21
 #: N-grams, repeats included, that one part stands for.
 PART_GRAMS = 1 << 21
 GRAM_BITS = 56
-#: Trusted identifiers (8 bytes each) that may be broadcast; beyond, the texts' words are joined and stored.
-BROADCAST_IDS = 1_000_000
+#: Ranges of the hash that are counted one after the other, if there are as many parts.
+PASSES = 4
+#: Trusted rows whose identifiers (8 bytes each) may be broadcast; beyond, the texts' words are joined and stored.
+TARGET_ROWS = 1_000_000
 
-CHUNK = ["chunk", "file", "row", "trusted", "lengths", "words", "numbers"]
-ASKING = ["chunk", "trusted", "lengths", "words", "numbers"]
+CHUNK = ["chunk", "file", "row", "trusted", "lengths", "grams", "met", "texts", "n"]
+ASKING = ["chunk", "trusted", "grams", "met", "texts", "n"]
 _U = np.uint64
 
 
@@ -63,19 +69,6 @@ def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
 
-def fold(words: np.ndarray) -> tuple[bytes, bytes]:
-    """The different words, frequent ones first, and the numbers of all words among them."""
-    different, which, n = np.unique(words, return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    number = np.empty(len(order), np.uint32)
-    number[order] = np.arange(len(order), dtype=np.uint32)
-    return different[order].tobytes(), squash(number[which])
-
-
-def unfold(different: bytes, numbers: bytes) -> np.ndarray:
-    return np.frombuffer(different, np.uint64)[expand(numbers, np.uint32)]
-
-
 def grams_of(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(gram, text)`` of every word and every pair of neighbouring words within a text."""
     text = np.repeat(np.arange(len(lengths)), lengths)
@@ -88,8 +81,13 @@ def grams_of(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return grams, np.concatenate([text, text[1:][within]])
 
 
-def _chunks(chunk_words: int) -> Callable:
-    """Rows ``place, trusted, words`` packed into chunks named by their first place."""
+def _edge(part: int, parts: int) -> int:
+    """The first gram of a part."""
+    return -(-(part << 32) // parts) << GRAM_BITS - 32
+
+
+def _chunks(chunk_words: int, lowest: int, end: int) -> Callable:
+    """Rows ``place, trusted, words`` packed into chunks named by their first place, with their grams from ``lowest`` on, below ``end``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -97,7 +95,14 @@ def _chunks(chunk_words: int) -> Callable:
 
         def chunk() -> pa.RecordBatch:
             file, row, trusted, lengths, words = (np.concatenate(x) for x in zip(*held))
-            values = [f"{file[0]}:{row[0]}".encode(), squash(file), squash(row), squash(trusted), squash(lengths), *fold(words)]
+            grams, text = grams_of(words, lengths)
+            wanted = (grams >= _U(lowest)) & (grams < _U(end))
+            grams, which = np.unique(grams[wanted], return_inverse=True)
+            pairs, n = np.unique(which * len(lengths) + text[wanted], return_counts=True)
+            which, text = np.divmod(pairs, len(lengths))
+            met = np.bincount(which, minlength=len(grams))
+            arrays = [file, row, trusted, lengths, steps(grams), met.astype(np.int64), text.astype(np.uint32), n.astype(np.int64)]
+            values = [f"{file[0]}:{row[0]}".encode(), *map(squash, arrays)]
             return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], names=CHUNK)
 
         for batch in batches:
@@ -127,27 +132,24 @@ def _chunks(chunk_words: int) -> Callable:
     return pack
 
 
-def _ask(parts: int) -> Callable:
+def _ask(parts: range, of: int) -> Callable:
     """The different grams of each chunk with their occurrences, in all rows and in trusted ones, by part."""
 
-    edges = np.array([-(-(p << 32) // parts) << GRAM_BITS - 32 for p in range(1, parts)], np.uint64)
+    edges = np.array([_edge(p, of) for p in parts[1:]], np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, trusted, lengths, *words in zip(*[batch.column(c).to_pylist() for c in ASKING]):
-                lengths, known = expand(lengths, np.int64), expand(trusted, np.uint8) > 0
-                grams, text = grams_of(unfold(*words), lengths)
-                known = grams[known[text]]
-                grams, n = np.unique(grams, return_counts=True)
-                known, times = np.unique(known, return_counts=True)
-                t = np.zeros(len(grams), np.int64)
-                t[np.searchsorted(grams, known)] = times
+            for chunk, trusted, grams, met, texts, n in zip(*[batch.column(c).to_pylist() for c in ASKING]):
+                grams, met, n = np.cumsum(expand(grams, np.uint64), dtype=np.uint64), expand(met, np.int64), expand(n, np.int64)
+                which = np.repeat(np.arange(len(grams)), met)
+                known = n * expand(trusted, np.uint8)[expand(texts, np.uint32)]
+                n, t = (np.bincount(which, x, len(grams)).astype(np.int64) for x in (n, known))
                 bounds = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
-                some = [(p, slice(lo, hi)) for p, (lo, hi) in enumerate(zip(bounds, bounds[1:])) if hi > lo]
+                some = [(p, slice(lo, hi)) for p, lo, hi in zip(parts, bounds, bounds[1:]) if hi > lo]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([chunk] * len(some), pa.binary()), pa.array([p for p, _ in some], pa.int32()),
                     pa.array([squash(steps(grams[s])) for _, s in some], pa.binary()),
-                    pa.array([squash(n[s].astype(np.int64)) for _, s in some], pa.binary()),
+                    pa.array([squash(n[s]) for _, s in some], pa.binary()),
                     pa.array([squash(t[s]) for _, s in some], pa.binary()),
                 ], names=["chunk", "part", "grams", "n", "t"])
 
@@ -167,18 +169,16 @@ def _answer(asked: pa.Table) -> pa.Table:
 
 
 def _score(share: float) -> Callable:
-    """``place, n_grams, log_sum`` of the texts of a chunk, from the answers to it."""
+    """``place, n_grams, log_sum`` of the texts of a chunk, from the answers to it; the sum is over the chunk's grams."""
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         lengths, trusted = expand(row["lengths"], np.int64), expand(row["trusted"], np.uint8)
         answers = sorted(answers.select(["part", "r", "t"]).to_pylist(), key=lambda a: a["part"])
-        r, t = (np.concatenate([expand(a[c], np.int64) for a in answers]) for c in ("r", "t"))
-        grams, text = grams_of(unfold(row["words"], row["numbers"]), lengths)
-        different, which = np.unique(grams, return_inverse=True)
-        own, n = np.unique(text * len(different) + which, return_counts=True)
-        text, which = np.divmod(own, len(different))
-        if share:
+        if share and answers:
+            r, t = (np.concatenate([expand(a[c], np.int64) for a in answers]) for c in ("r", "t"))
+            which = np.repeat(np.arange(len(r)), expand(row["met"], np.int64))
+            text, n = expand(row["texts"], np.uint32), expand(row["n"], np.int64)
             known = n * trusted[text]
             weight = n * np.log((t[which] - known + ALPHA * share) / (share * (r[which] - n + ALPHA)))
             total = np.bincount(text, weight, len(lengths))
@@ -201,7 +201,7 @@ def word_sums(docs: DataFrame, labels: DataFrame, wanted: Column, doc_id: str =
     count each, and rows that share an identifier are all trusted or none.
     """
     trusted = labels.where(wanted & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("target_id")).distinct()
-    few = trusted.count() <= BROADCAST_IDS
+    few = trusted.count() <= TARGET_ROWS
     rows = located(docs, F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     rows = rows.join(F.broadcast(trusted) if few else trusted, F.col("doc_id") == F.col("target_id"), "left")
     rows = rows.select(place().alias("place"), F.col("target_id").isNotNull().alias("trusted"), words_of(F.col("text")).alias("words"))
@@ -210,9 +210,20 @@ def word_sums(docs: DataFrame, labels: DataFrame, wanted: Column, doc_id: str =
     if not few:  # a join by shuffle leaves rows in any order; stored ones make the same chunks again
         hashed = rows = store(hashed, "words")
     nr, nt = (v or 0 for v in rows.agg(F.sum(n), F.sum(F.when(F.col("trusted"), n))).first())
-    # One shuffle of the chunks serves both those who ask and those who take the answers.
-    chunks = hashed.mapInArrow(_chunks(CHUNK_WORDS), ", ".join(f"{c} binary" for c in CHUNK)).repartition("chunk")
-    asked = chunks.mapInArrow(_ask(-(-nr // PART_GRAMS) or 1), "chunk binary, part int, grams binary, n binary, t binary")
-    answers = asked.groupBy("part").applyInArrow(_answer, "chunk binary, part int, r binary, t binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _score(nt / max(nr, 1)), "place struct<file: bigint, row: bigint>, n_grams long, log_sum double")
+    parts = -(-nr // PART_GRAMS) or 1
+    passes = min(PASSES, parts)
+    bounds = [p * parts // passes for p in range(passes + 1)]
+    done = []
+    for lo, hi in zip(bounds, bounds[1:]):
+        # One shuffle of the chunks serves both those who ask and those who take the answers.
+        pack = _chunks(CHUNK_WORDS, _edge(lo, parts), _edge(hi, parts))
+        chunks = hashed.mapInArrow(pack, ", ".join(f"{c} binary" for c in CHUNK)).repartition("chunk")
+        asked = chunks.mapInArrow(_ask(range(lo, hi), parts), "chunk binary, part int, grams binary, n binary, t binary")
+        answers = asked.groupBy("part").applyInArrow(_answer, "chunk binary, part int, r binary, t binary")
+        sums = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+            _score(nt / max(nr, 1)), "place struct<file: bigint, row: bigint>, n_grams long, log_sum double")
+        if passes == 1:
+            return sums
+        done.append(store(sums, "sums").withColumn("pass", F.lit(len(done))))
+    of = [F.coalesce(F.max(F.when(F.col("pass") == p, F.col("log_sum"))), F.lit(0.0)) for p in range(passes)]
+    return reduce(DataFrame.unionByName, done).groupBy("place").agg(F.max("n_grams").alias("n_grams"), reduce(Column.__add__, of).alias("log_sum"))

@@ -90,6 +90,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
 
 
+def quality_by_words(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, log_ratio`` of every row, as in ``quality_rules``, whose rules are left out."""
+    docs = on_files(docs)
+    sums = ngrams.word_sums(docs, labels, F.col("quality") == 1, doc_id, text)
+    rows = located(docs, F.col(doc_id).alias("doc_id")).withColumn("place", ngrams.place()).join(sums, "place", "left")
+    return rows.select("doc_id", F.coalesce(F.col("log_sum") / F.col("n_grams"), F.lit(0.0)).alias("log_ratio"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return quality_rules(docs, labels)

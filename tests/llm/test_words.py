@@ -63,3 +63,15 @@ def test_all_labels_count(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "documents.parquet"))
     spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(str(tmp_path / "labels.parquet"))
     assert quality.op3_quality_rules(spark, str(tmp_path)).where(F.abs("log_ratio") > 1e-12).count() == 0
+
+
+def test_passes_add_up(spark, monkeypatch):
+    """Each pass holds a range of the grams, is stored before the next, and all add up to one pass."""
+    docs = on_files(edge.frame(spark))
+    labels = spark.createDataFrame([(6, 1), (14, 1)], "doc_id long, quality int")
+    sums = lambda: sorted((*r.place, r.n_grams, round(r.log_sum, 6)) for r in ngrams.word_sums(docs, labels, F.col("quality") == 1).collect())
+    once, stored, store = sums(), [], ngrams.store
+    monkeypatch.setattr(ngrams, "PART_GRAMS", 5000)
+    monkeypatch.setattr(ngrams, "store", lambda df, kind: stored.append(kind) or store(df, kind))
+    assert sums() == once and len(once) > 10
+    assert stored == ["sums"] * ngrams.PASSES
