@@ -187,10 +187,13 @@ def _meeting(tall: DataFrame, threshold: int, parts: int, split: str) -> DataFra
 
 
 def duplicated_images(hashes: DataFrame, pairs: DataFrame, split: str = "split", image: str = "image") -> DataFrame:
-    """Images that have a near-duplicate in another split."""
-    touched = pairs.select(F.col(f"{split}_a").alias(split), F.col("hash_a").alias("h")).unionByName(
-        pairs.select(F.col(f"{split}_b").alias(split), F.col("hash_b").alias("h"))).distinct()
-    return hashes.join(touched, [split, "h"], "left_semi")
+    """Images that have a near-duplicate in another split.
+
+    Hashes are stored first: a join on a hash computed in the plan may infer filters from a lambda that lose its columns.
+    """
+    ends = F.array(*[F.struct(F.col(f"{split}_{t}").alias(split), F.col(f"hash_{t}").alias("h")) for t in "ab"])
+    touched = pairs.select(F.explode(ends).alias("_e")).select("_e.*").distinct()
+    return pin(hashes).join(touched, [split, "h"], "left_semi")
 
 
 def grid_cells(vectors: DataFrame, key: str, vector: str, columns: int) -> DataFrame:

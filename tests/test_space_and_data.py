@@ -9,7 +9,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from sweepframe.catalog import QUERIES
+from sweepframe.catalog import QUERIES, pixels
 from sweepframe.operators import boxpairs, governance, pens, spatial, vectors, vision
 
 MOTION = "clip string, i int, dx_px double, dy_px double, standoff double, depth_m double"
@@ -306,6 +306,19 @@ def test_duplicates_inside_a_split_do_not_count(spark):
     assert vision.near_duplicates(df).count() == 0
 
 
+def test_images_of_computed_hashes_are_found_without_broadcasts(spark):
+    """Sizes that join by shuffle: the join on a hash that is an expression lost the column inside its lambda."""
+    hashes = pixels.hashes(spark, SF)
+    given = [(r["split"], r["image"], r["h"]) for r in hashes.collect()]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = vision.duplicated_images(hashes, vision.near_duplicates(hashes, 4, bits=56)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    near = {(s, h) for s, _, h in given for t, _, g in given if s != t and (h ^ g).bit_count() <= 4}
+    assert sorted((r["split"], r["image"]) for r in out) == sorted((s, i) for s, i, h in given if (s, h) in near) and near
+
+
 def test_difference_hash(spark):
     df = spark.createDataFrame([([1.0, 2.0, 1.0, 5.0, 5.0, 6.0],)], "g array<double>")
     assert df.select(vision.difference_hash(F.col("g"), 3, 2)).first()[0] == 0b1001
