@@ -92,7 +92,8 @@ def coco_documents(spark, sf):
     images = orders.groupBy("c").agg(F.collect_list(F.struct("id", "width", "height", "file_name")).alias("images"))
     labels = boxes.groupBy("c").agg(F.collect_list(F.struct("image_id", "category_id", "bbox", "iscrowd")).alias("annotations"))
     kinds = F.array(F.struct(F.lit(2).alias("id"), F.lit("hole").alias("name")), F.struct(F.lit(5).alias("id"), F.lit("net").alias("name")))
-    return documents.as_documents(images.join(labels, "c"), ["c"], ["images", "annotations", kinds.alias("categories")])
+    # Merged: the size of arrays is not known to the plan.
+    return documents.as_documents(images.join(labels.hint("merge"), "c"), ["c"], ["images", "annotations", kinds.alias("categories")])
 
 
 COCO = BOXES + """, lb AS (SELECT o_custkey::VARCHAR AS doc, bx.*, 613 + image % 3 * 320 AS w, 'clip' || (o_custkey % 40) || '_' || lpad(image::VARCHAR, 9, '0') AS stem, 'clip' || (o_custkey % 40) AS grp

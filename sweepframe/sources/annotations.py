@@ -167,13 +167,13 @@ def coco_to_yolo(
     annotation that has polygons gives one line per polygon of three points or more.
     """
     sized = (F.coalesce(F.col("width"), F.lit(0)) > 0) & (F.coalesce(F.col("height"), F.lit(0)) > 0)
-    present = files.select(F.col("file_name")).distinct()
+    # Merged: names, labels and classes come out of arrays, so they look small by rows of documents, and as a broadcast they would be many times larger.
+    present = files.select(F.col("file_name")).distinct().hint("merge")
     kept = images.where(sized).join(present, "file_name", "left_semi")
     skipped = images.where(~sized).select("file_name").unionByName(images.where(sized).join(present, "file_name", "left_anti").select("file_name"))
-    # Merged: labels look small as files, and as a broadcast they would be many times larger. Classes may be sent whole.
     ann = annotations.where(F.coalesce(F.col("iscrowd"), F.lit(0)) == 0).join(
         kept.select("doc", F.col("id").alias("image_id"), "file_name", "width", "height").hint("merge"), ["doc", "image_id"])
-    rows = ann.join(coco_classes(categories, class_map, single_class).select("doc", "category_id", "class_id"), ["doc", "category_id"])
+    rows = ann.join(coco_classes(categories, class_map, single_class).select("doc", "category_id", "class_id").hint("merge"), ["doc", "category_id"])
     nested = F.from_json("segmentation", "ARRAY<ARRAY<DOUBLE>>")
     flat = F.from_json("segmentation", "ARRAY<DOUBLE>")
     polygons = F.when(F.coalesce(F.size(F.get(nested, F.lit(0))), F.lit(-1)) >= 0, nested).when(

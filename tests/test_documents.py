@@ -3,8 +3,10 @@ import json
 import random
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+from sweepframe.catalog import documents as catalog_documents
 from sweepframe.sources import annotations, documents, folders
 
 
@@ -111,3 +113,23 @@ def test_a_text_is_parsed_once(spark):
     d = docs(spark, *ODD_COCO)
     assert parses(documents.items(d, "images")) == parses(documents.rejected(d)) == parses(documents.register_sites(d)) == 1
     assert sum(parses(p) for p in documents.coco_parts(d, "images", "annotations")) == 0  # stored
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_comes_out_of_documents_is_not_sent_whole_to_write_label_lines(spark):
+    """Names, labels and classes are many rows of few documents, so their size is not what the plan takes it for."""
+    coco = {"images": [{"id": i, "width": 100, "height": 50, "file_name": f"p/{i}.png"} for i in (1, 2, 3)], "categories": [{"id": 7, "name": "x"}, {"id": 5, "name": "y"}],
+            "annotations": [{"image_id": i, "category_id": 7, "bbox": [10, 10, 20, 10]} for i in (1, 2, 3)] + [{"image_id": 1, "category_id": 5, "bbox": [0, 0, 10, 10]}]}
+    images, labels, categories = documents.coco_parts(docs(spark, coco), "images", "annotations", "categories")
+    lines, skipped = annotations.coco_to_yolo(images, labels, categories, images.where("id < 3").select("file_name"))
+    assert "Broadcast" not in plan_of(lines) and "Broadcast" not in plan_of(skipped)
+    assert sorted(map(tuple, lines.collect())) == [
+        ("1.png", "0 0.050000 0.100000 0.100000 0.200000"), ("1.png", "1 0.200000 0.300000 0.200000 0.200000"), ("2.png", "1 0.200000 0.300000 0.200000 0.200000")]
+    assert [r["file_name"] for r in skipped.collect()] == ["p/3.png"]
+
+
+def test_documents_of_labels_are_built_without_sending_arrays_whole(spark):
+    assert "Broadcast" not in plan_of(catalog_documents.coco_documents(spark, SF)).split("collect_list")[0]
