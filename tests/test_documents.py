@@ -6,6 +6,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from sweepframe.catalog import QUERIES
 from sweepframe.catalog import documents as catalog_documents
 from sweepframe.sources import annotations, documents, folders
 
@@ -131,5 +132,9 @@ def test_what_comes_out_of_documents_is_not_sent_whole_to_write_label_lines(spar
     assert [r["file_name"] for r in skipped.collect()] == ["p/3.png"]
 
 
+def test_times_of_index_documents_are_not_sent_whole(spark):
+    assert "Broadcast" not in plan_of(QUERIES["document_frame_lookup"](spark, SF))
+
+
 def test_documents_of_labels_are_built_without_sending_arrays_whole(spark):
     assert "Broadcast" not in plan_of(catalog_documents.coco_documents(spark, SF)).split("collect_list")[0]
