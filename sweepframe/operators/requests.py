@@ -190,7 +190,8 @@ def answer(
     only what was read goes to its requests.
     """
     if read is not None:
-        calls = requests.select(F.col(name).alias("_name"), F.col(arguments).alias("_arguments")).distinct()
+        # Stored: each function reads the calls, and its filters would be pushed to the requests.
+        calls = pin(requests.select(F.col(name).alias("_name"), F.col(arguments).alias("_arguments")).distinct())
         told = pin(answer(calls, "_name", "_arguments").select("_name", "_arguments", *[c.alias(n) for n, c in read.items()]))
         same = F.col(name).eqNullSafe(F.col("_name")) & F.col(arguments).eqNullSafe(F.col("_arguments"))
         return requests.join(told, same).drop("_name", "_arguments")

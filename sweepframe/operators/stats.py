@@ -376,14 +376,20 @@ def _held_rates(numbered: DataFrame, whole: DataFrame, keys: list[str], drawn: l
 
 
 def _joined_rates(numbered: DataFrame, whole: DataFrame, keys: list[str], drawn: list[tuple[int, ...]]) -> DataFrame:
-    """The same rates by joining every draw with the cluster it picks."""
-    table = numbered.sparkSession.createDataFrame([(r, *c) for r, c in enumerate(drawn)], "replicate int, _a long, _b long, _c long, _d long")
-    draws = numbered.select(*keys, F.col("_no").alias("_draw"), F.explode(F.sequence(F.lit(0), F.lit(len(drawn) - 1))).alias("replicate")).join(table, "replicate")
+    """The same rates by joining every draw with the cluster it picks.
+
+    Draws are the clusters times the replicates, but to the plan they look as small as the clusters, so every join says its way:
+    draws are never sent whole, they are dealt over tasks before they are spread, and meet the clusters of a task.
+    """
+    spark = numbered.sparkSession
+    table = spark.createDataFrame([(r, *c) for r, c in enumerate(drawn)], "replicate int, _a long, _b long, _c long, _d long")
     sizes = whole.select(*keys, "clusters")
-    draws = draws.join(sizes, keys) if keys else draws.withColumn("clusters", sizes.select("clusters").scalar())
+    sized = numbered.join(sizes.hint("merge"), keys) if keys else numbered.withColumn("clusters", sizes.select("clusters").scalar())
+    dealt = sized.select(*keys, F.col("_no").alias("_draw"), "clusters").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_draw")
+    draws = dealt.crossJoin(F.broadcast(table))
     value = _drawn([F.col(c) for c in ("_a", "_b", "_c", "_d")], F.col("_draw"))
     picked = draws.select(*keys, "replicate", F.call_function("div", value * F.col("clusters"), F.lit(DRAW_PRIME)).alias("_no"))
-    return picked.join(numbered, [*keys, "_no"]).groupBy(*keys, "replicate").agg((F.sum("s") / F.sum("n")).alias("rate"))
+    return picked.join(numbered.hint("shuffle_hash"), [*keys, "_no"]).groupBy(*keys, "replicate").agg((F.sum("s") / F.sum("n")).alias("rate"))
 
 
 def rate_spread(rates: DataFrame, rate: str = "rate", subset: Column | None = None) -> DataFrame:

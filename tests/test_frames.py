@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sweepframe.functions.intervals import wilson
 from sweepframe.operators import gates, planning, reports, rubric, stats
 from sweepframe.operators.gates import Band, Envelope
+from sweepframe.plans import pin
 
 
 def ci(spark, k, n):
@@ -137,6 +138,17 @@ def test_bootstrap_of_many_clusters_joins_and_agrees(spark):
     assert tuple(alone) == tuple(held[1])[1:]
 
 
+def test_draws_are_never_sent_whole(spark):
+    """Draws are clusters times replicates but look as small as the clusters; only the table of replicates is broadcast."""
+    numbered = pin(spark.range(40).selectExpr("if(id < 30, 'a', 'b') AS k", "id % 30 AS _no", "id % 7 + 1 AS n", "CAST(id % 5 AS DOUBLE) AS s"))
+    for keys in (["k"], []):
+        whole = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("clusters"))
+        rates = stats._joined_rates(numbered, whole, keys, stats.draw_coefficients(3, 20))
+        text = rates._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in text and text.count("BroadcastExchange") == 1 and "_a#" in text.split("BroadcastExchange")[1]
+        assert rates.count() == 20 * (2 if keys else 1)
+
+
 def test_bootstrap_of_nothing(spark):
     assert stats.cluster_bootstrap(spark.createDataFrame([], "k string, g int, e int"), "g", "e", 10, keys=["k"]).count() == 0
 
