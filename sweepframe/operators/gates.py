@@ -123,7 +123,7 @@ def validity(gated: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         frames.alias("frames"), inside.alias(IN_ENVELOPE),
         F.count_if(F.col("status") == OUT_OF_ENVELOPE).alias(OUT_OF_ENVELOPE),
         F.count_if(F.col("status") == UNKNOWN).alias(UNKNOWN),
-        F.round(share, 4).alias("compliance"), pass_verdict(F.coalesce(share, F.lit(0.0))).alias("verdict"),
+        _rounded(share, 4).alias("compliance"), pass_verdict(F.coalesce(share, F.lit(0.0))).alias("verdict"),
     )
 
 
@@ -196,19 +196,25 @@ def pass_report(
     trusted = F.col("status") == IN_ENVELOPE
     capture = gated.groupBy(clip).agg(
         _mean("standoff", 3).alias("standoff_mean"),
-        F.round(F.min("standoff"), 2).alias("standoff_min"), F.round(F.max("standoff"), 2).alias("standoff_max"),
+        _rounded(F.min("standoff"), 2).alias("standoff_min"), _rounded(F.max("standoff"), 2).alias("standoff_max"),
         _mean("net_speed", 3).alias("net_speed_mean"),
         _mean(sharpness, 1).alias("sharpness_mean"),
         F.count_if(F.col("_n") > 0).alias("frames_with_detection"), F.sum("_n").alias("total_detections"),
-        F.round(F.avg(F.when(trusted, flag)), 4).alias("rate_in_envelope"),
-        F.round(F.avg(F.when(~trusted, flag)), 4).alias("rate_outside_envelope"),
-        *([] if band is None else [F.round(F.avg(_within(F.col(sharpness), band).cast("double")), 4).alias("share_in_band")]),
+        _rounded(F.avg(F.when(trusted, flag)), 4).alias("rate_in_envelope"),
+        _rounded(F.avg(F.when(~trusted, flag)), 4).alias("rate_outside_envelope"),
+        *([] if band is None else [_rounded(F.avg(_within(F.col(sharpness), band).cast("double")), 4).alias("share_in_band")]),
     )
     events = run_summary(event_runs(gated, [clip], order, F.col("_n") > 0), [clip])
     report = validity(gated, [clip]).join(capture, clip).join(events, clip, "left")
     return report.fillna(0, ["candidate_events", "confirmed_events", "longest_event"])
 
 
+def _rounded(value: Column, digits: int) -> Column:
+    """A double rounded as SQL engines do, by its product: 0.285 lies below the half and gives 0.28; F.round reads its shortest decimal, 0.29."""
+    scaled = value.cast("double") * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / F.lit(10.0**digits)).otherwise(value.cast("double"))
+
+
 def _mean(column: str, digits: int) -> Column:
     """Rounded mean from an exact sum, so that halves are rounded alike in every order of rows.
 

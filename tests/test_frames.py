@@ -3,6 +3,7 @@
 import math
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import rows
@@ -335,3 +336,20 @@ def test_means_at_a_half_are_rounded_up_in_every_order(spark):
     got = gates.pass_report(spark.createDataFrame(low + odd, kind).coalesce(1), SPEC, order=["i"], ndet="ndet")
     means = {r["clip"]: r["sharpness_mean"] for r in got.collect()}
     assert means["a"] == 0.1 and math.isnan(means["b"]) and means["c"] == 1e300 and means["d"] is None
+
+
+def test_extremes_and_shares_are_rounded_as_in_sql(spark):
+    """A double may lie below the half that its decimal shows; infinite, NaN and missing distances stay what they are."""
+    kind = "clip string, i int, standoff double, net_speed double, locked boolean, sharpness double, ndet int"
+    data = [("a", 0, 0.285, 0.1, True, 1.0, 0), ("a", 1, 1.015, 0.1, True, 1.0, 0), ("b", 0, 0.125, 0.1, True, 1.0, 0), ("b", 1, 2.345, 0.1, True, 1.0, 0),
+            ("c", 0, math.inf, 0.1, True, 1.0, 0), ("c", 1, 1e300, 0.1, True, 1.0, 0), ("d", 0, None, 0.1, True, 1.0, 0), ("e", 0, math.nan, 0.1, True, 1.0, 0)]
+    many = [("f", i, 0.5 if i < 3 else 9.0, 0.1, True, 1.0, 1 if i < 29 else 0) for i in range(20_000)]
+    df = spark.createDataFrame(data + many, kind)
+    got = {r["clip"]: r for r in gates.pass_report(df, SPEC, order=["i"], ndet="ndet", band=(0.5, None)).collect()}
+    con = duckdb.connect()
+    sql = lambda value, digits: con.execute(f"SELECT round({value}::DOUBLE, {digits})").fetchone()[0]
+    assert (got["a"]["standoff_min"], got["a"]["standoff_max"]) == (sql("0.285", 2), sql("1.015", 2)) == (0.28, 1.01)
+    assert (got["b"]["standoff_min"], got["b"]["standoff_max"]) == (sql("0.125", 2), sql("2.345", 2)) == (0.13, 2.35)
+    assert (got["c"]["standoff_min"], got["c"]["standoff_max"]) == (sql("1e300", 2), math.inf)
+    assert got["d"]["standoff_min"] is None and math.isnan(got["e"]["standoff_max"])
+    assert got["f"]["compliance"] == sql("3 / 20000::DOUBLE", 4) == 0.0001 and got["f"]["share_in_band"] == 1.0
